@@ -1,4 +1,10 @@
 """Registered queries: Spark callables and their DuckDB twins."""
 
-from entries import guard, metrics  # noqa: F401
-from entries.tables import REGISTRY  # noqa: F401
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+from entries import functions, guard, io, metrics, retrieval, sessions, streams  # noqa: E402,F401
+from entries.tables import REGISTRY  # noqa: E402,F401
