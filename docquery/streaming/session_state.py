@@ -1,74 +1,90 @@
-"""Conversation history as keyed state with a cap and a time-out.
+"""Conversation history as keyed state with a cap and an idle time-out.
 
-State is keyed by (session, shard): each shard keeps the newest ``keep`` rows it saw, so the newest
-``keep`` of a session are among its shards' rows, and a session holding a third of the log is spread
-over all shards.
+Before the exchange every Arrow batch is cut to the newest ``keep`` rows per session, so a session
+holding a third of the log sends few rows to its task. The cut is exact: a row dropped there has
+``keep`` newer rows in the same batch.
 """
 
 from __future__ import annotations
 
+import json
+from typing import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docquery.config import SESSION_HISTORY, SESSION_TIMEOUT_MINUTES
 from docquery.functions.windows import top_per_key
 from docquery.streaming.run import run_available, session_conf
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-ITEM = T.StructType([
-    T.StructField("timestamp", T.TimestampType()), T.StructField("request_id", T.StringType()),
+FIELDS = ["micros", "request_id", "query", "response"]
+SNAPSHOT = T.StructType([
+    T.StructField("session_id", T.StringType()), T.StructField("version", T.LongType()),
+    T.StructField("micros", T.LongType()), T.StructField("request_id", T.StringType()),
     T.StructField("query", T.StringType()), T.StructField("response", T.StringType())])
-SNAPSHOT = T.StructType(
-    [T.StructField("session_id", T.StringType()), T.StructField("shard", T.IntegerType()),
-     T.StructField("version", T.LongType()), *ITEM.fields])
-
-
-class HistoryProcessor(StatefulProcessor):
-    def __init__(self, keep: int, minutes: int):
-        self.keep, self.minutes = keep, minutes
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl = self.minutes * 60 * 1000
-        self.history = handle.getListState("history", ITEM, ttlDurationMs=ttl)
-        # the version outlives the history: a returning session must not repeat old numbers
-        self.version = handle.getValueState("version", T.StructType([T.StructField("v", T.LongType())]))
-
-    def handleInputRows(self, key, rows, timerValues):
-        columns = ITEM.fieldNames()
-        kept = pd.DataFrame(list(self.history.get()), columns=columns)
-        for batch in rows:
-            # trimmed per Arrow batch: memory holds ``keep`` rows plus one batch
-            both = batch[columns] if kept.empty else pd.concat([kept, batch[columns]])
-            kept = both.sort_values(["timestamp", "request_id"]).tail(self.keep)
-        self.history.put([tuple(r) for r in kept.astype({"timestamp": object}).itertuples(index=False)])
-        version = (self.version.get()[0] if self.version.exists() else 0) + 1
-        self.version.update((version,))
-        out = kept.copy()
+STATE = T.StructType([T.StructField("history", T.StringType()), T.StructField("version", T.LongType())])
+
+
+def newest(rows: pd.DataFrame, keep: int) -> pd.DataFrame:
+    return rows.sort_values(["micros", "request_id"]).groupby("session_id", sort=False).tail(keep)
+
+
+def after_last_gap(items: list, idle_micros: int) -> list:
+    """Items since the last pause longer than the time-out."""
+    for i in range(len(items) - 1, 0, -1):
+        if items[i][0] - items[i - 1][0] > idle_micros:
+            return items[i:]
+    return items
+
+
+def history_updates(logs: DataFrame, keep: int = SESSION_HISTORY, minutes: int = SESSION_TIMEOUT_MINUTES,
+                    lateness: str = "10 minutes") -> DataFrame:
+    """A snapshot of every touched session per batch: its rows since the last idle gap, ``keep`` at most."""
+    idle = minutes * 60 * 1_000_000
+
+    def trim(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield newest(batch, keep)
+
+    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        old, version = state.get if state.exists else ("[]", 0)
+        items = [tuple(x) for x in json.loads(old)]
+        for batch in batches:
+            items = sorted(items + list(batch[FIELDS].itertuples(index=False, name=None)), key=lambda x: x[:2])[-keep:]
+        items = after_last_gap([(int(m), *rest) for m, *rest in items], idle)
+        last = items[-1][0]
+        # a session that returns after its state was dropped has a later event time, so versions only grow
+        version = max(version + 1, last)
+        state.update((json.dumps(items), version))
+        state.setTimeoutTimestamp((last + idle) // 1000 + 1)
+        out = pd.DataFrame(items, columns=FIELDS)
         out.insert(0, "version", version)
-        out.insert(0, "shard", key[1])
         out.insert(0, "session_id", key[0])
         yield out
 
-    def close(self) -> None:
-        pass
+    rows = logs.select(
+        "session_id", "timestamp", F.unix_micros("timestamp").alias("micros"), "request_id", "query", "response")
+    # the newest row of a batch survives the trim, so the watermark behind it is the same
+    trimmed = rows.mapInPandas(trim, rows.schema).withWatermark("timestamp", lateness)
+    return trimmed.groupBy("session_id").applyInPandasWithState(
+        update, SNAPSHOT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def track_history(logs: DataFrame, path: str, checkpoint: str, keep: int = SESSION_HISTORY,
-                  minutes: int = SESSION_TIMEOUT_MINUTES, shards: int = 16) -> None:
-    """Append a snapshot of every touched (session, shard) per batch."""
-    sharded = logs.select(
-        "session_id", F.pmod(F.xxhash64("request_id"), F.lit(shards)).cast("int").alias("shard"), *ITEM.fieldNames())
-    states = sharded.groupBy("session_id", "shard").transformWithStateInPandas(
-        statefulProcessor=HistoryProcessor(keep, minutes), outputStructType=SNAPSHOT,
-        outputMode="Append", timeMode="ProcessingTime")
+def track_history(logs: DataFrame, path: str, checkpoint: str, **kw) -> None:
     with session_conf(logs.sparkSession, **{"spark.sql.streaming.stateStore.providerClass": ROCKSDB}):
-        run_available(states.writeStream.format("parquet").option("path", path).outputMode("append"), checkpoint)
+        updates = history_updates(logs, **kw)
+        run_available(updates.writeStream.format("parquet").option("path", path).outputMode("append"), checkpoint)
 
 
 def read_history(spark: SparkSession, path: str, keep: int = SESSION_HISTORY) -> DataFrame:
-    """The newest ``keep`` rows per session over the newest snapshot of each shard."""
+    """The newest snapshot of each session; ``recency`` 1 is the newest row."""
     rows = spark.read.schema(SNAPSHOT).parquet(path)
-    newest = rows.groupBy("session_id", "shard").agg(F.max("version").alias("version"))
-    current = rows.join(newest, ["session_id", "shard", "version"]).drop("shard", "version")
-    return top_per_key(current, ["session_id"], [F.desc("timestamp"), F.desc("request_id")], keep, "recency")
+    latest = rows.groupBy("session_id").agg(F.max("version").alias("version"))
+    current = rows.join(latest, ["session_id", "version"]).withColumn("timestamp", F.timestamp_micros("micros"))
+    return top_per_key(current.drop("version", "micros"), ["session_id"],
+                       [F.desc("timestamp"), F.desc("request_id")], keep, "recency")

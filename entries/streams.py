@@ -60,7 +60,12 @@ def _(spark, sf):
     return spark.read.parquet(path)
 
 
-@register("stream_session_state", REGISTRY["history_trim"][1])
+@register("stream_session_state", WITH_LOGS + """,
+r AS (SELECT session_id, request_id, query, "timestamp", row_number() OVER w AS recency,
+        lag("timestamp") OVER w - "timestamp" > INTERVAL 60 MINUTES AS gap FROM logs
+      WINDOW w AS (PARTITION BY session_id ORDER BY "timestamp" DESC, request_id DESC)),
+c AS (SELECT *, sum(coalesce(gap, false)::INTEGER) OVER (PARTITION BY session_id ORDER BY recency) AS gaps FROM r WHERE recency <= 20)
+SELECT session_id, request_id, query, recency::INTEGER AS recency FROM c WHERE gaps = 0""")
 def _(spark, sf):
     path = scratch_path(spark, "history")
     session_state.track_history(log_stream(spark, sf), path, scratch_path(spark, "ckpt"))
