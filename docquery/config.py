@@ -42,5 +42,15 @@ CANARY_PERCENT = 10
 
 
 def environment_table(spark: SparkSession, rows=None) -> DataFrame:
-    """Three rows, so it is always small enough to broadcast."""
-    return spark.createDataFrame(rows or ENVIRONMENT_ROWS, ENVIRONMENT_COLUMNS)
+    """Three rows as an inline table: its size is known to the optimizer, which broadcasts it."""
+    names = [c.split()[0] for c in ENVIRONMENT_COLUMNS.split(", ")]
+    rows = ", ".join("(" + ", ".join(_literal(v) for v in r) + ")" for r in rows or ENVIRONMENT_ROWS)
+    table = spark.sql(f"SELECT * FROM VALUES {rows} AS environments({', '.join(names)})")
+    types = dict(c.split() for c in ENVIRONMENT_COLUMNS.split(", "))
+    return table.select(*[table[n].cast(types[n]).alias(n) for n in names])
+
+
+def _literal(value) -> str:
+    if isinstance(value, bool):
+        return str(value).lower()
+    return "'" + value.replace("'", "\\'") + "'" if isinstance(value, str) else f"{value!r}" + ("D" if isinstance(value, float) else "")

@@ -32,12 +32,33 @@ def gather_ranked(hits: DataFrame, text: Column, separator: str, out: str, keys:
     return hits.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda x: x["t"]), separator).alias(out))
 
 
+def context_and_sources(hits: DataFrame, doc_id: str, text: str, title: str | None = None) -> DataFrame:
+    """Context and citation list of each question from one pass over its hits."""
+    cited = _source_line(doc_id, title)
+    listed = F.array_sort(F.collect_list(F.struct(
+        F.col("rank").alias("r"), _topic_block(doc_id, text).alias("b"), cited.alias("c"))))
+    blocks = F.filter(F.transform("_l", lambda x: x["b"]), lambda b: b.isNotNull())
+    return hits.groupBy("query_id").agg(listed.alias("_l")).select(
+        "query_id", F.array_join(blocks, "\n").alias("context"),
+        F.concat(F.lit("\n\nSources:\n"), F.array_join(F.transform("_l", lambda x: x["c"]), "")).alias("sources"))
+
+
+def _topic_block(topic: str, description: str) -> Column:
+    """NULL when either field is missing."""
+    return F.concat(F.lit("Topic: "), F.col(topic).cast("string"), F.lit("\nDescription: "),
+                    F.col(description).cast("string"))
+
+
+def _source_line(doc_id: str, title: str | None) -> Column:
+    position = F.concat(F.lit("doc-"), (F.col("rank") - 1).cast("string"))
+    named = F.coalesce(F.col(title).cast("string"), F.lit("Untitled")) if title else F.lit("Untitled")
+    return F.concat(F.lit("- "), F.coalesce(F.col(doc_id).cast("string"), position), F.lit(": "), named, F.lit("\n"))
+
+
 def assemble_context(hits: DataFrame, topic: str, description: str, out: str = "context") -> DataFrame:
     """``Topic: ..`` / ``Description: ..`` blocks by rank; hits lacking either field are left out."""
     full = hits.where(F.col(topic).isNotNull() & F.col(description).isNotNull())
-    block = F.concat(F.lit("Topic: "), F.col(topic).cast("string"), F.lit("\nDescription: "),
-                     F.col(description).cast("string"))
-    return gather_ranked(full, block, "\n", out)
+    return gather_ranked(full, _topic_block(topic, description), "\n", out)
 
 
 def render_prompt(template: str, question: Column, context: Column) -> Column:
@@ -59,10 +80,7 @@ def render_prompt(template: str, question: Column, context: Column) -> Column:
 
 def cite_sources(hits: DataFrame, doc_id: str, title: str, out: str = "sources") -> DataFrame:
     """``\\n\\nSources:\\n- id: title\\n`` per question; a missing id reads doc-<position>, title Untitled."""
-    position = F.concat(F.lit("doc-"), (F.col("rank") - 1).cast("string"))
-    line = F.concat(F.lit("- "), F.coalesce(F.col(doc_id).cast("string"), position), F.lit(": "),
-                    F.coalesce(F.col(title).cast("string"), F.lit("Untitled")), F.lit("\n"))
-    cited = gather_ranked(hits, line, "", out)
+    cited = gather_ranked(hits, _source_line(doc_id, title), "", out)
     return cited.withColumn(out, F.concat(F.lit("\n\nSources:\n"), F.col(out)))
 
 

@@ -54,12 +54,10 @@ class IvfIndex:
     def write(self, vectors: DataFrame, path: str, vector_col: str = "embedding") -> None:
         """Index table laid out by cell, so a probe reads only its folders.
 
-        Rows are spread over (cell, salt) before the write: a cell holding a third of all vectors is
-        written by many tasks instead of one.
+        Rebalancing splits a cell holding a third of all vectors over many tasks.
         """
         assigned = self.assign(vectors, vector_col)
-        salt = F.pmod(F.xxhash64(*vectors.columns[:1]), F.lit(16))
-        assigned.repartition("cell", salt).write.partitionBy("cell").parquet(path)
+        assigned.hint("rebalance", "cell").write.partitionBy("cell").parquet(path)
 
     def search(self, index: DataFrame, questions: DataFrame, k: int, nprobe: int,
                id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

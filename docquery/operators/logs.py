@@ -61,8 +61,16 @@ def latest_logs(logs: DataFrame, limit: int = 100) -> DataFrame:
 
 def since(logs: DataFrame, as_of, interval: str, ts: str = "timestamp") -> DataFrame:
     """Rows not older than ``interval`` (for example '24 HOURS') before ``as_of``."""
-    return logs.where(F.col(ts) >= as_timestamp(as_of) - F.expr(f"INTERVAL {interval}"))
+    return _from(logs, as_timestamp(as_of) - F.expr(f"INTERVAL {interval}"), ts)
+
+
+def _from(logs: DataFrame, start: Column, ts: str) -> DataFrame:
+    """The day test repeats the time test on the partition column, so older folders are not read."""
+    recent = F.col(ts) >= start
+    if "date_day" in logs.columns:
+        recent = recent & (F.col("date_day") >= F.date_format(start, "yyyy-MM-dd"))
+    return logs.where(recent)
 
 
 def since_midnight(logs: DataFrame, as_of, ts: str = "timestamp") -> DataFrame:
-    return logs.where(F.col(ts) >= F.date_trunc("day", as_timestamp(as_of)))
+    return _from(logs, F.date_trunc("day", as_timestamp(as_of)), ts)

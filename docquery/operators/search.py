@@ -19,6 +19,9 @@ from docquery.functions.windows import top_per_key
 
 # Questions broadcast at once: 4,096 x 1,536 floats are 50 MB in double precision.
 MAX_BROADCAST_QUESTIONS = 4096
+# Hit lists of at most this many rows (query key, row key, score, rank) carry a broadcast hint, so joining
+# texts to them does not shuffle the corpus. Longer ones are joined as the optimizer sees fit.
+MAX_BROADCAST_HITS = 250_000
 # Vectors one co-grouped task may hold.
 VECTORS_PER_BLOCK = 50_000
 # Scores are compared after rounding, then ties fall to the smaller key.
@@ -126,7 +129,9 @@ def top_k(vectors: DataFrame, questions: DataFrame, k: int, metric: str = "cosin
     )
     best = top_per_key(scored, ["query_id"], [F.desc("_s"), F.col(id_col)], k)
     score = -F.col("_s") if metric == "l2" else F.col("_s")
-    return best.select("query_id", id_col, score.alias("score"), F.col("rank"))
+    hits = best.select("query_id", id_col, score.alias("score"), F.col("rank"))
+    small = batch is not None and len(batch) * k <= MAX_BROADCAST_HITS
+    return hits.hint("broadcast") if small else hits
 
 
 def _score_batch(board, vecs, ids, cells, q_matrix, q_cells, metric):
@@ -209,5 +214,5 @@ def keep_unanswered(questions: DataFrame, hits: DataFrame, id_col: str = "vec_id
 
 
 def hits_with_documents(hits: DataFrame, docs: DataFrame, key: str) -> DataFrame:
-    """Hits are ``questions x k`` rows; Spark broadcasts them when their measured size allows."""
+    """The corpus is scanned once for the needed columns; hits of a bounded batch are broadcast to it."""
     return docs.join(hits, key)

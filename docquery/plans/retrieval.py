@@ -12,7 +12,7 @@ from docquery import config
 from docquery.operators import answering, guardrails, rerank, routing, search
 from docquery.operators.chunking import chunk_documents
 from docquery.operators.embedding import embed_tfidf, fit_tfidf
-from docquery.session import materialise
+from docquery.session import materialise, spread
 
 
 @dataclass
@@ -40,7 +40,7 @@ def build_text_index(docs: DataFrame, id_col: str, text_col: str, store: bool =
     Both tables are written because the fit and every search read them again; a lost executor then
     re-reads files instead of re-chunking the corpus.
     """
-    chunks = chunk_documents(docs, id_col, text_col)
+    chunks = chunk_documents(spread(docs.select(id_col, text_col), id_col), id_col, text_col)
     if store:
         chunks = materialise(chunks, "chunks")
     model = fit_tfidf(chunks, "content")
@@ -66,19 +66,19 @@ def rerank_by_overlap(hits: DataFrame, questions: DataFrame, query: str = "query
 def answer_batch(questions: DataFrame, index: TextIndex,
                  provider_factory: Callable[[], object] = answering.ExtractiveProvider,
                  k: int = config.RETRIEVE_K, policy: guardrails.Policy | None = None,
-                 prompt_context: str | None = None) -> DataFrame:
+                 prompt_context: str | None = None, hits: DataFrame | None = None) -> DataFrame:
     """Every question of a frame (query_id, query) gets exactly one row.
 
     Screen -> retrieve -> re-rank -> context -> generate -> screen the answer. Blocked questions skip
     retrieval and generation. With ``prompt_context`` (a column) earlier conversation precedes the context.
+    ``hits`` of an earlier search of the same questions spares the search.
     """
     policy = policy or guardrails.Policy()
     safe, blocked = guardrails.split_blocked(questions, "query", policy)
-    hits = index.search(safe, "query_id", "query", k)
+    if hits is None:
+        hits = index.search(safe, "query_id", "query", k)
     ranked = rerank_by_overlap(hits, safe)
-    context = answering.assemble_context(ranked, "document_id", "content")
-    sources = answering.cite_sources(ranked.withColumn("_title", F.lit(None).cast("string")), "document_id", "_title")
-    ready = safe.join(context, "query_id", "left").join(sources, "query_id", "left")
+    ready = safe.join(answering.context_and_sources(ranked, "document_id", "content"), "query_id", "left")
     body = F.coalesce(F.col("context"), F.lit(""))
     if prompt_context:
         body = F.concat(F.coalesce(F.col(prompt_context), F.lit("")), body)
@@ -111,8 +111,10 @@ def passage_truth(docs: DataFrame, passages: DataFrame, doc_id: str, doc_text: s
     p = p.withColumn("_w", F.size("_anchor")).withColumn(
         "_key", F.when(F.col("_w") > 0, F.xxhash64("_anchor")).otherwise(
             F.raise_error(F.lit("a passage needs at least three words")).cast("bigint")))
-    widths = F.array(*[F.lit(w) for w in range(1, width + 1)])
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), words(doc_text).alias("_t"))
+    # at most ``width`` values; usually one
+    present = [r[0] for r in p.where("_w > 0").select("_w").distinct().collect()]
+    widths = F.array(*[F.lit(w) for w in sorted(present) or [width]])
+    tokens = spread(docs.select(doc_id, doc_text), doc_id).select(F.col(doc_id).alias("doc_id"), words(doc_text).alias("_t"))
     grams = tokens.select("doc_id", F.explode(F.array_distinct(F.flatten(F.transform(widths, lambda w: F.transform(
         F.sequence(F.lit(1), F.greatest(F.size("_t") - w + 1, F.lit(1))),
         lambda i: F.xxhash64(F.slice("_t", i, w))))))).alias("_key"))

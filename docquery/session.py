@@ -55,3 +55,12 @@ def materialise(df, name: str):
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df, key: str):
+    """Use all cores for heavy per-row work on a source that comes in fewer splits than cores.
+
+    A source with enough splits, as any large one has, is returned as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

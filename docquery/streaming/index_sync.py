@@ -1,8 +1,9 @@
 """Keeping the index in step with a changing document folder.
 
-Each batch appends its chunks under ``batch=<id>``; a repeated batch overwrites its own folder, so a
-restart after a lost driver leaves no duplicates. Readers take the newest batch of each document.
-``compact`` folds the batches when there are many.
+Each batch writes its chunks and the keys it touched under ``batch=<id>``; a repeated batch overwrites its
+own folders, so a restart after a lost driver leaves no duplicates. Readers leave out the rows of
+superseded (document, batch) pairs, found from the keys alone. ``compact`` folds the batches when
+there are many.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docquery.operators.chunking import chunk_documents
 from docquery.operators.embedding import embed_tfidf
+from docquery.session import materialise, spread
 from docquery.streaming.run import run_available
 
 
@@ -23,26 +25,34 @@ def sync_index(docs: DataFrame, model, path: str, checkpoint: str, id_col: str =
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        target = f"{path}/batch={batch_id}"
         gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
-        chunks = chunk_documents(batch.where(~gone), id_col, text_col)
-        rows = embed_tfidf(model, chunks).withColumn("deleted", F.lit(False))
-        # a document without any chunk still replaces its older version
-        heads = batch.select(F.col(id_col).cast("string").alias("document_id"), F.lit(True).alias("deleted"))
-        rows.unionByName(heads, allowMissingColumns=True).write.mode("overwrite").parquet(target)
+        chunks = chunk_documents(spread(batch.where(~gone), id_col), id_col, text_col)
+        embed_tfidf(model, chunks).write.mode("overwrite").parquet(f"{path}/chunks/batch={batch_id}")
+        # a document left without any chunk still replaces its older version
+        batch.select(F.col(id_col).cast("string").alias("document_id")).write.mode("overwrite").parquet(
+            f"{path}/keys/batch={batch_id}")
 
     run_available(docs.writeStream.foreachBatch(upsert), checkpoint)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """Current chunks: the rows of each document's newest batch."""
-    rows = spark.read.parquet(path)
-    newest = rows.where("deleted").groupBy("document_id").agg(F.max("batch").alias("batch"))
-    return rows.where(~F.col("deleted")).join(newest, ["document_id", "batch"]).drop("batch", "deleted")
+    """Current chunks: the rows of each document's newest batch.
+
+    The superseded pairs are written first: none means no join at all, few means Spark sees their size
+    and broadcasts them, so the vectors are not shuffled.
+    """
+    rows = spark.read.parquet(f"{path}/chunks")
+    keys = spark.read.parquet(f"{path}/keys")
+    touched = keys.groupBy("document_id").agg(
+        F.max("batch").alias("newest"), F.min("batch").alias("oldest")).where("oldest < newest")
+    stale = materialise(
+        keys.join(touched, "document_id").where("batch < newest").select("document_id", "batch"), "stale")
+    current = rows if stale.isEmpty() else rows.join(stale, ["document_id", "batch"], "left_anti")
+    return current.drop("batch")
 
 
 def compact(spark: SparkSession, path: str, target: str) -> None:
     """Write the current chunks as batch 0 of a new folder; later batches go on from there."""
-    current = read_index(spark, path).withColumn("deleted", F.lit(False))
-    heads = current.select("document_id").distinct().withColumn("deleted", F.lit(True))
-    current.unionByName(heads, allowMissingColumns=True).write.parquet(f"{target}/batch=0")
+    current = read_index(spark, path)
+    current.write.parquet(f"{target}/chunks/batch=0")
+    current.select("document_id").distinct().write.parquet(f"{target}/keys/batch=0")

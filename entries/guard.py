@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from docquery.operators import guardrails as G, rewrite as R, routing
+from docquery.session import spread
 
 from entries.tables import load, logs, register, WITH_LOGS
 
@@ -21,6 +22,10 @@ CUSTOM = G.Policy(
     profane=["that", "und", "elle"], template=1)
 
 
+def docs(spark, sf):
+    return spread(load(spark, sf, "documents"), "doc_id")
+
+
 def topics_sql(policy: G.Policy, text: str, prefix: str = "") -> str:
     cells = []
     for t in policy.topics():
@@ -52,32 +57,32 @@ def joined(c):
 SELECT doc_id, array_to_string({topics_sql(G.Policy(level="high"), "text")}, '; ') AS topics,
        array_to_string({topics_sql(CUSTOM, "text")}, '; ') AS custom_topics FROM documents""")
 def _(spark, sf):
-    return load(spark, sf, "documents").select(
+    return docs(spark, sf).select(
         "doc_id", joined(G.topics_detected("text", G.Policy(level="high"))).alias("topics"),
         joined(G.topics_detected("text", CUSTOM)).alias("custom_topics"))
 
 
 @register("guard_pii_legacy", f"SELECT doc_id, regexp_matches(text, '{PII_SQL}') AS pii FROM documents")
 def _(spark, sf):
-    return load(spark, sf, "documents").select("doc_id", G.has_pii("text", G.Policy()).alias("pii"))
+    return docs(spark, sf).select("doc_id", G.has_pii("text", G.Policy()).alias("pii"))
 
 
 @register("guard_pii_strict", f"SELECT doc_id, regexp_matches(text, '{STRICT_SQL}') AS pii FROM documents")
 def _(spark, sf):
-    return load(spark, sf, "documents").select(
+    return docs(spark, sf).select(
         "doc_id", G.has_pii("text", G.Policy(pii=G.PII_STRICT)).alias("pii"))
 
 
 @register("guard_email", f"SELECT doc_id, regexp_matches(text, '{EMAIL_SQL}') AS email FROM documents")
 def _(spark, sf):
-    return load(spark, sf, "documents").select("doc_id", G.has_email("text", G.Policy()).alias("email"))
+    return docs(spark, sf).select("doc_id", G.has_email("text", G.Policy()).alias("email"))
 
 
 @register("guard_profanity", f"""
 SELECT doc_id, regexp_matches(text, '{profane_sql(G.Policy())}') AS profane,
        regexp_matches(text, '{profane_sql(CUSTOM)}') AS custom_profane FROM documents""")
 def _(spark, sf):
-    return load(spark, sf, "documents").select(
+    return docs(spark, sf).select(
         "doc_id", G.has_profanity("text", G.Policy(level="high")).alias("profane"),
         G.has_profanity("text", CUSTOM).alias("custom_profane"))
 
@@ -90,7 +95,7 @@ SELECT doc_id, len(v) = 0 AS is_safe, array_to_string(v, '; ') AS violations, pi
 FROM (SELECT doc_id, {violations_sql(CUSTOM, "text", G.INPUT_MESSAGES)} AS v, {PII_ANY} AS pii_detected,
              array_to_string({topics_sql(CUSTOM, "text")}, '; ') AS topics_detected FROM documents)""")
 def _(spark, sf):
-    checked = load(spark, sf, "documents").select("doc_id", G.check_input("text", CUSTOM).alias("c"))
+    checked = docs(spark, sf).select("doc_id", G.check_input("text", CUSTOM).alias("c"))
     return checked.select("doc_id", "c.is_safe", joined("c.violations").alias("violations"), "c.pii_detected",
                           joined("c.topics_detected").alias("topics_detected"))
 
@@ -111,7 +116,7 @@ def redact_sql(text: str, profane: list[str] | None = None) -> str:
 
 @register("redact_text", f"SELECT doc_id, {redact_sql('text')} AS redacted FROM documents")
 def _(spark, sf):
-    return load(spark, sf, "documents").select("doc_id", G.redact("text").alias("redacted"))
+    return docs(spark, sf).select("doc_id", G.redact("text").alias("redacted"))
 
 
 MEDIUM = G.Policy(topics_by_level={"medium": ["alpha", "beta"]}, keywords={"alpha": ["zeit"], "beta": ["kill", "crime", "rrr"]},
@@ -124,7 +129,7 @@ SELECT doc_id, len(v) = 0 AS is_safe, array_to_string(v, '; ') AS violations,
 FROM (SELECT doc_id, {violations_sql(MEDIUM, "text", G.OUTPUT_MESSAGES)} AS v, {topics_sql(MEDIUM, "text")} AS t,
              {redact_sql('text')} AS redacted FROM documents)""")
 def _(spark, sf):
-    checked = load(spark, sf, "documents").select("doc_id", G.check_output("text", MEDIUM).alias("c"))
+    checked = docs(spark, sf).select("doc_id", G.check_output("text", MEDIUM).alias("c"))
     return checked.select("doc_id", "c.is_safe", joined("c.violations").alias("violations"), "c.safe_response")
 
 
@@ -182,7 +187,7 @@ def _(spark, sf):
     m = F.col("doc_id") % 7
     lead = (F.when(m == 0, "Show the DOCUMENT ").when(m == 1, "sales report ").when(m == 2, "an article on data ")
             .when(m == 3, "CUSTOMER ").when(m == 4, "database ").otherwise(""))
-    asked = load(spark, sf, "documents").select(
+    asked = docs(spark, sf).select(
         "doc_id", F.concat(lead, F.substring_index("text", "\n", 1)).alias("query"))
     return asked.select("doc_id", routing.route("query").alias("route"))
 
@@ -252,6 +257,6 @@ def _(spark, sf):
     n = lambda i: (i + 1).cast("string")
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.when((i + 1) % 3 == 0, x).when(
         (i + 1) % 3 == 1, F.concat(n(i), F.lit(". "), x)).otherwise(F.concat(n(i), F.lit(") "), x)))
-    d = load(spark, sf, "documents").select("doc_id", F.col("lang").alias("query"),
+    d = docs(spark, sf).select("doc_id", F.col("lang").alias("query"),
                                             F.array_join(lines, "\n").alias("generated"))
     return d.select("doc_id", F.array_join(R.parse_variants("query", "generated", 3), " | ").alias("variants"))

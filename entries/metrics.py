@@ -212,7 +212,7 @@ def _(spark, sf):
 
     df = repeated_within(logs(spark, sf), "query", 60, "cache_hit")
     flagged = df.withColumns({"blocked": F.col("metadata")["k"].like("9%"), "rewritten": F.col("tokens_input") > 2})
-    return rounded(M.kpi_summary(flagged), "avg_latency", "error_rate", "cache_hit_rate", "guardrail_rate",
+    return rounded(M.kpi_summary(flagged, logs(spark, sf)), "avg_latency", "error_rate", "cache_hit_rate", "guardrail_rate",
                    "rewrite_rate", "p95_latency", "p99_latency")
 
 
@@ -264,13 +264,13 @@ def _(spark, sf):
 @register("sliding_alerts", WITH_LOGS + """,
 spread AS (SELECT *, time_bucket(INTERVAL 5 MINUTES, "timestamp") - to_minutes(5 * i) AS window_start
            FROM logs, (SELECT unnest(range(12)) AS i))
-SELECT window_start, count(*) AS request_count, round(avg(latency_ms), 6) AS avg_latency,
+SELECT window_start, count(*) AS request_count, round(avg(latency_ms), 9) AS avg_latency,
        round(count(*) FILTER (response LIKE '%error%') * 100.0::DOUBLE / count(*), 6) AS error_rate,
-       round(avg(feedback_score), 6) AS avg_feedback
+       round(avg(feedback_score), 9) AS avg_feedback
 FROM spread GROUP BY 1""")
 def _(spark, sf):
-    out = rounded(M.sliding_alerts(logs(spark, sf)), "avg_latency", "error_rate", "avg_feedback")
-    return out.withColumn("request_count", F.col("request_count").cast("bigint"))
+    out = rounded(M.sliding_alerts(logs(spark, sf)), "error_rate")
+    return out.withColumns({c: F.round(c, 9) for c in ("avg_latency", "avg_feedback")})
 
 
 # Cache: everything before the last day of the log; requests: that last day.

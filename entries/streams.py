@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from docquery.operators.chunking import chunk_documents
 from docquery.operators.embedding import fit_tfidf
-from docquery.session import scratch_path
+from docquery.session import scratch_path, spread
 from docquery.sources.sinks import read_log
 from docquery.streaming import index_sync, logs as SL, session_state
 from docquery.streaming.run import files_as_stream
@@ -74,7 +74,7 @@ def _(spark, sf):
 
 @register("stream_index_sync", REGISTRY["chunk_packed"][1])
 def _(spark, sf):
-    docs = load(spark, sf, "documents")
+    docs = spread(load(spark, sf, "documents"), "doc_id")
     model = fit_tfidf(chunk_documents(docs, "doc_id", "text"))
     path = scratch_path(spark, "index")
     index_sync.sync_index(table_stream(spark, sf, "documents"), model, path, scratch_path(spark, "ckpt"), "doc_id", "text")
