@@ -87,9 +87,15 @@ class HyperplaneIndex:
 
         return band_keys(F.col(vector_col))
 
+    def write(self, vectors: DataFrame, path: str, vector_col: str = "embedding") -> None:
+        """Index table with the band keys stored beside the vectors; no shuffle."""
+        vectors.withColumn("band_keys", self.cells(vector_col)).write.parquet(path)
+
     def search(self, vectors: DataFrame, questions: DataFrame, k: int, metric: str = "cosine",
                id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-        index = vectors.select(id_col, vector_col, self.cells(vector_col).alias("_cells"))
+        """``vectors`` is the written index, or any vectors: then the keys are computed on the way."""
+        keys = F.col("band_keys") if "band_keys" in vectors.columns else self.cells(vector_col)
+        index = vectors.select(id_col, vector_col, keys.alias("_cells"))
         probed = questions.withColumn("query_cells", self.cells("query_vector"))
         return top_k(index, probed, k, metric, id_col, vector_col, cell_col="_cells")
 

@@ -24,6 +24,8 @@ MAX_BROADCAST_QUESTIONS = 4096
 MAX_BROADCAST_HITS = 250_000
 # Vectors one co-grouped task may hold.
 VECTORS_PER_BLOCK = 50_000
+# Questions scored at once within a task.
+QUESTION_TILE = 256
 # Scores are compared after rounding, then ties fall to the smaller key.
 SCORE_DIGITS = 9
 METRICS = ("cosine", "dot", "l2")
@@ -75,6 +77,8 @@ class _Board:
 
     def __post_init__(self):
         self.rows = [None] * self.size
+        # the k-th best score so far: a row below it cannot enter
+        self.floor = np.full(self.size, -np.inf)
 
     def offer(self, j: int, scores: np.ndarray, ids: np.ndarray) -> None:
         if not len(scores):
@@ -85,6 +89,8 @@ class _Board:
             ids = np.concatenate([self.rows[j][1], ids])
             scores, ids = _best(scores, ids, self.k)
         self.rows[j] = (scores, ids)
+        if len(scores) == self.k:
+            self.floor[j] = scores[-1]
 
     def table(self, question_ids, names, types) -> pa.RecordBatch:
         filled = [(q, r) for q, r in zip(question_ids, self.rows) if r is not None]
@@ -135,16 +141,19 @@ def top_k(vectors: DataFrame, questions: DataFrame, k: int, metric: str = "cosin
 
 
 def _score_batch(board, vecs, ids, cells, q_matrix, q_cells, metric):
-    scores = _scores(vecs, q_matrix, metric)
-    if cells is None:
-        for j in range(scores.shape[1]):
-            board.offer(j, scores[:, j], ids)
-        return
-    owner = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
-    flat = np.concatenate([np.asarray(c, dtype=np.int64) for c in cells]) if len(owner) else owner
-    for j in range(scores.shape[1]):
-        hit = np.unique(owner[np.isin(flat, q_cells[j])])
-        board.offer(j, scores[hit, j], ids[hit])
+    """Score a batch against tiles of questions, so memory holds rows x QUESTION_TILE scores."""
+    if cells is not None:
+        owner = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+        flat = np.concatenate([np.asarray(c, dtype=np.int64) for c in cells]) if len(owner) else owner
+    for start in range(0, len(q_matrix), QUESTION_TILE):
+        scores = _scores(vecs, q_matrix[start:start + QUESTION_TILE], metric)
+        enters = scores >= board.floor[start:start + scores.shape[1]]
+        for i in np.flatnonzero(enters.any(axis=0)):
+            j = start + i
+            rows = np.flatnonzero(enters[:, i])
+            if cells is not None:
+                rows = np.intersect1d(rows, owner[np.isin(flat, q_cells[j])])
+            board.offer(j, scores[rows, i], ids[rows])
 
 
 def _output_types(vectors, questions, id_col):

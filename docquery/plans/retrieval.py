@@ -82,8 +82,14 @@ def answer_batch(questions: DataFrame, index: TextIndex,
     body = F.coalesce(F.col("context"), F.lit(""))
     if prompt_context:
         body = F.concat(F.coalesce(F.col(prompt_context), F.lit("")), body)
-    ready = ready.withColumn("context", body)
+    # one task per core: the rows are few bytes, so AQE would otherwise run the provider in one task
+    cores = ready.sparkSession.sparkContext.defaultParallelism
+    ready = ready.withColumn("context", body).repartition(cores, "query_id")
     answered = answering.generate_with_retry(ready, provider_factory, wait=2.0)
+    # document questions are answered with their sources
+    cited = (routing.route("query") == "RAG") & (F.col("status") == "success") & F.col("sources").isNotNull()
+    answered = answered.withColumn(
+        "response", F.when(cited, F.concat("response", "sources")).otherwise(F.col("response")))
     screened = guardrails.apply_guardrails(answered, "query", "response", policy)
     done = screened.select(
         "query_id", "query", routing.route("query").alias("route"), "status", "response",

@@ -34,14 +34,19 @@ def apply_conf(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; in local mode one is made when unset."""
+    """The folder named by spark.checkpoint.dir; where it is unset, local mode makes one per application."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        named = tempfile.mkdtemp(prefix="docquery-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        application = spark.sparkContext.applicationId
+        if application not in _LOCAL_DIRS:
+            _LOCAL_DIRS[application] = tempfile.mkdtemp(prefix="docquery-")
+        named = _LOCAL_DIRS[application]
     return named.rstrip("/")
 
 

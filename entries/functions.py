@@ -11,7 +11,7 @@ from entries.tables import WITH_LOGS, load, logs, register
 
 
 @register("fn_string", r"""
-SELECT doc_id, source || '-' || lang AS joined, lower(substr(text, 1, 40)) AS lowered, trim('  ' || source || ' ') AS trimmed,
+SELECT doc_id, source || '-' || lang AS joined, lower(text) AS lowered, trim('  ' || source || ' ') AS trimmed,
        text LIKE '%tion%' AS liked, contains(text, 'is') AS contained, text LIKE 'E%' AS started,
        split_part(text, ' ', 1) AS first_word, length(text)::INTEGER AS characters,
        array_to_string(string_split(source, 'r'), '/') AS rejoined, regexp_matches(text, '[0-9]{4}') AS has_number,
@@ -19,7 +19,7 @@ SELECT doc_id, source || '-' || lang AS joined, lower(substr(text, 1, 40)) AS lo
 def _(spark, sf):
     t = F.col("text")
     return load(spark, sf, "documents").select(
-        "doc_id", F.concat("source", F.lit("-"), "lang").alias("joined"), F.lower(F.substring(t, 1, 40)).alias("lowered"),
+        "doc_id", F.concat("source", F.lit("-"), "lang").alias("joined"), F.lower(t).alias("lowered"),
         F.trim(F.concat(F.lit("  "), "source", F.lit(" "))).alias("trimmed"), t.like("%tion%").alias("liked"),
         t.contains("is").alias("contained"), t.startswith("E").alias("started"),
         F.split_part(t, F.lit(" "), F.lit(1)).alias("first_word"), F.length(t).alias("characters"),

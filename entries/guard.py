@@ -173,9 +173,9 @@ def _(spark, sf):
     return opened.unionByName(blocked.select("conv_id", "turn", "status", "response"))
 
 
-# Questions with route words in them: the log question with the document language and source added.
+# Whole documents as questions, most with a route word put in front.
 ROUTED = """SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'Show the DOCUMENT ' WHEN 1 THEN 'sales report ' WHEN 2 THEN 'an article on data '
-  WHEN 3 THEN 'CUSTOMER ' WHEN 4 THEN 'database ' ELSE '' END || split_part(text, chr(10), 1) AS query FROM documents"""
+  WHEN 3 THEN 'CUSTOMER ' WHEN 4 THEN 'database ' ELSE '' END || text AS query FROM documents"""
 
 
 @register("route_query", f"""
@@ -188,7 +188,7 @@ def _(spark, sf):
     lead = (F.when(m == 0, "Show the DOCUMENT ").when(m == 1, "sales report ").when(m == 2, "an article on data ")
             .when(m == 3, "CUSTOMER ").when(m == 4, "database ").otherwise(""))
     asked = docs(spark, sf).select(
-        "doc_id", F.concat(lead, F.substring_index("text", "\n", 1)).alias("query"))
+        "doc_id", F.concat(lead, "text").alias("query"))
     return asked.select("doc_id", routing.route("query").alias("route"))
 
 

@@ -1,18 +1,18 @@
 """Chunking, embedding, search, ranking, context and answers."""
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from docquery import config
 from docquery.functions.text import token_count
 from docquery.functions.windows import top_per_key
-from docquery.operators import answering as A, rerank as R, rewrite, search, sessions as S
+from docquery.operators import answering as A, rerank as R, rewrite, search
 from docquery.operators.chunking import chunk_documents
 from docquery.operators.embedding import embed_tfidf, fit_tfidf
 from docquery.operators.index import HyperplaneIndex, IvfIndex, check_dimension
 from docquery.plans import retrieval as P
+from docquery.plans.ask import ask_batch, log_rows
 from docquery.session import materialise, scratch_path
+from docquery.sources.sinks import append_log, read_log
 
 from entries.guard import PAIRS, docs, pairs
 from entries.tables import knn_sql, load, questions, register
@@ -93,7 +93,11 @@ def _(spark, sf):
 
 @register("knn_lsh")
 def _(spark, sf):
-    return HyperplaneIndex(64, bands=24, bits=5).search(load(spark, sf, "embeddings"), questions(spark, sf), 5)
+    """Index table with band keys; vectors sharing a band with a question are compared."""
+    index = HyperplaneIndex(64, bands=24, bits=5)
+    path = scratch_path(spark, "lsh")
+    index.write(load(spark, sf, "embeddings"), path)
+    return index.search(spark.read.parquet(path), questions(spark, sf), 5)
 
 
 @register("index_build")
@@ -220,17 +224,15 @@ def _(spark, sf):
                        F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("squared_norm"))
 
 
-@lru_cache(maxsize=8)
-def _stored_index(application: str, sf: str):
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.active()
-    return P.build_text_index(load(spark, sf, "documents"), "doc_id", "text")
+_INDEXES: dict = {}
 
 
 def text_index(spark, sf):
     """The corpus index, built once per application and kept as tables in the shared folder."""
-    return _stored_index(spark.sparkContext.applicationId, sf)
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        _INDEXES[key] = P.build_text_index(load(spark, sf, "documents"), "doc_id", "text")
+    return _INDEXES[key]
 
 
 def asked_passages(spark, sf):
@@ -327,15 +329,39 @@ def _(spark, sf):
     return A.run_report(A.generate_answers(_turns(spark, sf), UnsteadyProvider))
 
 
-@register("answer_session")
-def _(spark, sf):
-    """The last user turn of each conversation, answered with the turns before it as context."""
+def session_requests(spark, sf):
+    """(requests, history): the last user turn of each conversation and the exchanges before it.
+
+    Conversations have no clock, so the turn number stands for the minute.
+    """
     turns = load(spark, sf, "conversations").where("role = 'user'")
     asked = top_per_key(turns, ["conv_id"], [F.desc("turn")], 1, "r").select(
-        "conv_id", F.col("turn").alias("last_turn"), F.col("text").alias("query"))
-    earlier = pairs(spark, sf).join(asked.select("conv_id", "last_turn"), "conv_id").where("turn < last_turn")
-    context = S.conversation_context(earlier, "conv_id", ["turn"], "query", "response").withColumnRenamed(
-        "context", "history")
-    ready = asked.join(context, "conv_id", "left").select(
-        F.col("conv_id").alias("query_id"), "query", F.coalesce("history", F.lit("")).alias("history"))
-    return P.answer_batch(ready, text_index(spark, sf), prompt_context="history")
+        F.col("conv_id").alias("session_id"), F.col("turn").alias("last_turn"), F.col("text").alias("query"))
+    history = pairs(spark, sf).withColumnRenamed("conv_id", "session_id").join(
+        asked.select("session_id", "last_turn"), "session_id").where("turn < last_turn").select(
+        "session_id", F.timestamp_seconds(F.col("turn") * 60).alias("timestamp"),
+        F.col("turn").cast("string").alias("request_id"), "query", "response")
+    return asked.select(F.col("session_id").alias("query_id"), "session_id", "query"), history
+
+
+@register("answer_session")
+def _(spark, sf):
+    requests, history = session_requests(spark, sf)
+    expand = lambda c: rewrite.expand(c, synonyms={"that": "which"}, stop_words=["the", "le"])
+    return ask_batch(requests, history, text_index(spark, sf), expand)
+
+
+@register("answer_log", """WITH u AS (SELECT conv_id, max(turn) AS last_turn FROM conversations WHERE role = 'user' GROUP BY 1),
+p AS (SELECT conv_id, turn FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
+      WHERE role = 'user' AND n = 'assistant')
+SELECT u.conv_id::VARCHAR AS request_id, u.conv_id::VARCHAR AS session_id, '2024-02-01' AS date_day,
+  CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.conv_id = u.conv_id AND p.turn < u.last_turn) THEN 'success' ELSE 'error' END AS status
+FROM u""")
+def _(spark, sf):
+    """Answers written to the day-partitioned log and read back."""
+    requests, history = session_requests(spark, sf)
+    rows = log_rows(ask_batch(requests, history, text_index(spark, sf)), "dev", "rag-assistant-dev", "extractive",
+                    F.lit("2024-02-01 08:00:00").cast("timestamp"))
+    path = scratch_path(spark, "log")
+    append_log(rows, path)
+    return read_log(spark, path).select("request_id", "session_id", "date_day", "status")

@@ -9,10 +9,11 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from docquery import schemas
-from docquery.operators import answering as A, changes as C, logs as L, metrics as M, sessions as S
+from docquery.operators import answering as A, changes as C, guardrails as G, logs as L, metrics as M, sessions as S
 from docquery.operators.chunking import chunk_documents
 from docquery.operators.embedding import embedding_udf, fit_tfidf, with_embeddings
 from docquery.plans import dashboards, retrieval as P
+from docquery.plans.ask import ask_batch, log_rows
 from docquery.sources import generators, readers, sinks
 from docquery.streaming import index_sync, logs as SL, session_state
 from docquery.streaming.run import files_as_stream
@@ -152,13 +153,35 @@ def test_prompt_keeps_braces_of_the_context(spark):
 def test_answer_batch_gives_one_row_per_question(spark):
     docs = spark.createDataFrame([(1, "Spark runs jobs.\nIt is fast."), (2, "Cats sleep all day.")], "id int, content string")
     index = P.build_text_index(docs, "id", "content")
-    asked = spark.createDataFrame([("a", "what do cats do all day"), ("b", "how to hack it"), ("c", "")], "query_id string, query string")
+    asked = spark.createDataFrame([("a", "what do cats do all day"), ("b", "how to hack it"), ("c", ""),
+                                   ("d", "the document on cats sleep")], "query_id string, query string")
     rows = {r.query_id: r for r in P.answer_batch(asked, index).collect()}
-    assert set(rows) == {"a", "b", "c"}
+    assert set(rows) == {"a", "b", "c", "d"}
+    assert rows["d"].route == "RAG" and rows["d"].safe_response.endswith("\n\nSources:\n- 2: Untitled\n")
     assert rows["a"].safe_response == "Description: Cats sleep all day." and "- 2: Untitled" in rows["a"].sources
     assert rows["b"].status == "blocked" and rows["c"].status == "success"
 
 
+def test_requests_through_the_whole_path(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Spark runs jobs."), (2, "Cats sleep all day.")], "id int, content string")
+    index = P.build_text_index(docs, "id", "content")
+    history = make_logs(spark, [("s1", 0), ("s1", 1)])
+    requests = spark.createDataFrame(
+        [(1, "s1", "WHAT DO CATS DO"), (2, "nobody", "hi there"), (3, "s1", "how to hack this"), (4, "s1", "Two words")],
+        "query_id int, session_id string, query string")
+    out = ask_batch(requests, history, index, lambda c: F.lower(c))
+    rows = {r.query_id: r for r in out.collect()}
+    assert len(rows) == 4
+    assert (rows[1].status, rows[1].effective_query, rows[1].rewritten) == ("success", "what do cats do", True)
+    assert (rows[2].status, rows[2].error) == ("error", "SESSION_NOT_FOUND")
+    assert (rows[3].status, rows[3].safe_response) == ("blocked", G.BLOCKED_ANSWER)
+    assert (rows[4].effective_query, rows[4].rewritten) == ("Two words", False)
+    stored = log_rows(out, "dev", "e", "m", F.lit(T0))
+    assert stored.schema.fieldNames() == schemas.INFERENCE_LOG.fieldNames()
+    sinks.append_log(stored, str(tmp_path / "log"))
+    assert sinks.read_log(spark, str(tmp_path / "log")).where("date_day = '2024-01-01'").count() == 4
+
+
 def test_plugged_in_embedding(spark):
     df = with_embeddings(spark.createDataFrame([("ab",), (None,)], "content string"),
                          embedding_udf(lambda: (lambda texts: [[float(len(t)), 1.0] for t in texts])))
