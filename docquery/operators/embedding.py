@@ -14,13 +14,12 @@ from pyspark.ml.feature import HashingTF, IDF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from docquery.functions.text import words
-
 DIMENSION = 512
 
 
 def _tokens(df: DataFrame, text_col: str) -> DataFrame:
-    return df.withColumn("_tokens", words(F.lower(F.regexp_replace(text_col, r"[^\p{L}\p{N}]+", " "))))
+    parts = F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+")
+    return df.withColumn("_tokens", F.filter(parts, lambda w: w != ""))
 
 
 def fit_tfidf(df: DataFrame, text_col: str = "content", dimension: int = DIMENSION) -> PipelineModel:

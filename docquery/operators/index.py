@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, functions as F
 from docquery.operators.search import top_k
 
 
+def _has_length(vector_col: str):
+    return F.exists(vector_col, lambda x: x != 0)
+
+
 class IvfIndex:
     """Inverted-file index: each vector belongs to the cell of its nearest centre."""
 
@@ -24,15 +28,17 @@ class IvfIndex:
     @classmethod
     def fit(cls, vectors: DataFrame, cells: int, vector_col: str = "embedding", metric: str = "cosine",
             seed: int = 7) -> "IvfIndex":
-        rows = vectors.select(array_to_vector(F.col(vector_col)).alias("features"))
+        rows = vectors.where(_has_length(vector_col)).select(array_to_vector(F.col(vector_col)).alias("features"))
         kmeans = KMeans(k=cells, seed=seed, maxIter=10, initSteps=2,
                         distanceMeasure="cosine" if metric == "cosine" else "euclidean")
         return cls(kmeans.fit(rows), metric)
 
     def assign(self, vectors: DataFrame, vector_col: str = "embedding") -> DataFrame:
-        """Adds ``cell``; runs in the JVM, no shuffle."""
+        """Adds ``cell``; runs in the JVM, no shuffle. Vectors of length zero go with the first centre."""
+        first = F.array(*[F.lit(float(x)) for x in self.centres[0]])
+        placed = F.when(_has_length(vector_col), F.col(vector_col).cast("array<double>")).otherwise(first)
         out = self.model.setFeaturesCol("_f").setPredictionCol("cell").transform(
-            vectors.withColumn("_f", array_to_vector(F.col(vector_col)))
+            vectors.withColumn("_f", array_to_vector(placed))
         )
         return out.drop("_f")
 

@@ -12,39 +12,56 @@ from docquery import config
 from docquery.operators import answering, guardrails, rerank, routing, search
 from docquery.operators.chunking import chunk_documents
 from docquery.operators.embedding import embed_tfidf, fit_tfidf
-from docquery.session import materialise, spread
+from docquery.operators.index import IvfIndex
+from docquery.session import materialise, scratch_path, spread
 
 
 @dataclass
 class TextIndex:
-    """Chunk table with vectors, and the model that embeds questions the same way."""
+    """Chunk table with vectors, the model that embeds questions the same way, and the cells if any."""
 
     chunks: DataFrame
     model: PipelineModel
+    cells: IvfIndex | None = None
 
     def embed_questions(self, questions: DataFrame, query_id: str, query: str) -> DataFrame:
         return embed_tfidf(self.model, questions, query, "query_vector").withColumnRenamed(query_id, "query_id")
 
     def search(self, questions: DataFrame, query_id: str, query: str, k: int = config.RETRIEVE_K,
-               metric: str = "cosine") -> DataFrame:
-        """(query_id, chunk_id, score, rank) with the chunk's document and text."""
+               metric: str = "cosine", nprobe: int | None = None) -> DataFrame:
+        """(query_id, chunk_id, score, rank) with the chunk's document and text.
+
+        With ``nprobe`` only that many cells per question are read: faster, not exact.
+        """
         asked = self.embed_questions(questions.select(query_id, query), query_id, query)
-        hits = search.top_k(self.chunks, asked, k, metric, id_col="chunk_id")
+        if nprobe and self.cells is None:
+            raise ValueError("the index has no cells")
+        if nprobe:
+            hits = self.cells.search(self.chunks, asked, k, nprobe, id_col="chunk_id")
+        else:
+            hits = search.top_k(self.chunks, asked, k, metric, id_col="chunk_id")
         text = self.chunks.select("chunk_id", "document_id", "content")
         return search.hits_with_documents(hits, text, "chunk_id")
 
 
-def build_text_index(docs: DataFrame, id_col: str, text_col: str, store: bool = True) -> TextIndex:
+def build_text_index(docs: DataFrame, id_col: str, text_col: str, store: bool = True,
+                     cells: int | None = None) -> TextIndex:
     """Chunk once, write the chunks, fit document frequencies, write the vectors.
 
     Both tables are written because the fit and every search read them again; a lost executor then
-    re-reads files instead of re-chunking the corpus.
+    re-reads files instead of re-chunking the corpus. With ``cells`` the vectors are laid out by cell.
     """
     chunks = chunk_documents(spread(docs.select(id_col, text_col), id_col), id_col, text_col)
     if store:
         chunks = materialise(chunks, "chunks")
     model = fit_tfidf(chunks, "content")
     embedded = embed_tfidf(model, chunks, "content", "embedding")
+    if cells:
+        embedded = materialise(embedded, "vectors")
+        ivf = IvfIndex.fit(embedded, cells)
+        path = scratch_path(docs.sparkSession, "index")
+        ivf.write(embedded, path)
+        return TextIndex(docs.sparkSession.read.parquet(path), model, ivf)
     return TextIndex(materialise(embedded, "index") if store else embedded, model)
 
 

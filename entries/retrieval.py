@@ -220,8 +220,7 @@ def _(spark, sf):
 def _(spark, sf):
     chunks = materialise(chunk_documents(docs(spark, sf), "doc_id", "text"), "chunks")
     made = embed_tfidf(fit_tfidf(chunks), chunks)
-    return made.select("chunk_id", F.size("embedding").alias("dimension"),
-                       F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("squared_norm"))
+    return made.select("chunk_id", F.size("embedding").alias("dimension"), F.array_max("embedding").alias("largest"))
 
 
 _INDEXES: dict = {}
@@ -291,9 +290,23 @@ def _turns(spark, sf):
         "conv_id", "turn", "query", F.col("response").alias("context"))
 
 
-@register("generate_batch")
+# The extractive provider answers with the context line sharing most words, the first of equals.
+SPLIT = "list_distinct(list_filter(regexp_split_to_array(lower({}), '\\s+'), lambda x: x <> ''))"
+
+
+@register("generate_batch", f"""WITH {PAIRS},
+l AS (SELECT conv_id, turn, query, unnest(string_split(response, chr(10))) AS line,
+             generate_subscripts(string_split(response, chr(10)), 1) AS pos FROM pairs),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn
+        ORDER BY len(list_intersect({SPLIT.format('query')}, {SPLIT.format('line')})) DESC, pos) AS place
+      FROM l WHERE trim(line) <> '')
+SELECT conv_id, turn, line AS response, 'success' AS status,
+  len(list_filter(regexp_split_to_array(query, '\\s+'), lambda x: x <> ''))::INTEGER AS prompt_tokens,
+  len(list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> ''))::INTEGER AS completion_tokens
+FROM r WHERE place = 1""")
 def _(spark, sf):
-    return A.generate_answers(_turns(spark, sf), A.ExtractiveProvider)
+    out = A.generate_answers(_turns(spark, sf), A.ExtractiveProvider)
+    return out.select("conv_id", "turn", "response", "status", "prompt_tokens", "completion_tokens")
 
 
 class UnsteadyProvider(A.ExtractiveProvider):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docquery import schemas
 from docquery.operators import answering as A, changes as C, guardrails as G, logs as L, metrics as M, sessions as S
 from docquery.operators.chunking import chunk_documents
-from docquery.operators.embedding import embedding_udf, fit_tfidf, with_embeddings
+from docquery.operators.embedding import embed_tfidf, embedding_udf, fit_tfidf, with_embeddings
 from docquery.plans import dashboards, retrieval as P
 from docquery.plans.ask import ask_batch, log_rows
 from docquery.sources import generators, readers, sinks
@@ -162,6 +162,18 @@ def test_answer_batch_gives_one_row_per_question(spark):
     assert rows["b"].status == "blocked" and rows["c"].status == "success"
 
 
+def test_text_index_with_cells(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} common text number{i}") for i in range(60)] + [(99, "...")], "id int, content string")
+    index = P.build_text_index(docs, "id", "content", cells=4)
+    assert index.chunks.count() == 61
+    asked = spark.createDataFrame([(1, "number17 word3"), (2, "number40 word5")], "query_id int, query string")
+    every = index.search(asked, "query_id", "query", 3, nprobe=4)
+    exact = index.search(asked, "query_id", "query", 3)
+    key = lambda df: {(r.query_id, r.chunk_id, r.rank) for r in df.collect()}
+    assert key(every) == key(exact)
+    assert {r.document_id for r in index.search(asked, "query_id", "query", 1, nprobe=2).collect()} == {"17", "40"}
+
+
 def test_requests_through_the_whole_path(spark, tmp_path):
     docs = spark.createDataFrame([(1, "Spark runs jobs."), (2, "Cats sleep all day.")], "id int, content string")
     index = P.build_text_index(docs, "id", "content")
@@ -182,6 +194,13 @@ def test_requests_through_the_whole_path(spark, tmp_path):
     assert sinks.read_log(spark, str(tmp_path / "log")).where("date_day = '2024-01-01'").count() == 4
 
 
+def test_tfidf_vectors_have_unit_length(spark):
+    df = spark.createDataFrame([("Cats, cats AND dogs!",), ("dogs only",), ("birds fly",), ("",)], "content string")
+    vectors = [r.embedding for r in embed_tfidf(fit_tfidf(df), df).collect()]
+    assert [round(sum(x * x for x in v), 4) for v in vectors] == [1.0, 1.0, 1.0, 0.0]
+    assert {len(v) for v in vectors} == {512}
+
+
 def test_plugged_in_embedding(spark):
     df = with_embeddings(spark.createDataFrame([("ab",), (None,)], "content string"),
                          embedding_udf(lambda: (lambda texts: [[float(len(t)), 1.0] for t in texts])))
