@@ -7,14 +7,12 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
-def files_as_stream(spark: SparkSession, folder: str, schema, glob: str | None = None,
-                    files_per_batch: int | None = None) -> DataFrame:
+def files_as_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """Parquet files of a folder, or of all paths matching a pattern, in order of arrival."""
     reader = spark.readStream.schema(schema)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return reader.parquet(path)
 
 
 def run_available(writer, checkpoint: str) -> None:

@@ -14,7 +14,8 @@ from entries.tables import REGISTRY, WITH_LOGS, as_log, load, register
 
 
 def table_stream(spark, sf, table):
-    return files_as_stream(spark, sf, load(spark, sf, table).schema, f"{table}.parquet")
+    # a pattern, because a stream takes a plain path for a folder and a table may be one file
+    return files_as_stream(spark, f"{sf}/{table}.parque[t]", load(spark, sf, table).schema)
 
 
 def log_stream(spark, sf):
