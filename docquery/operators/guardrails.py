@@ -110,19 +110,44 @@ OUTPUT_MESSAGES = ("Banned topic in response: ", "PII detected in response",
                    "Email address detected in response", "Profanity detected in response")
 
 
-def _check(text, policy: Policy, level: str | None, messages) -> Column:
-    topic, pii, email, profanity = messages
-    cells = [F.when(topic_hit(text, t, policy), F.lit(topic + t)) for t in policy.topics(level)]
-    cells += [F.when(has_pii(text, policy), F.lit(pii)), F.when(has_email(text, policy), F.lit(email)),
-              F.when(has_profanity(text, policy, level), F.lit(profanity))]
-    violations = F.array_compact(F.array(*cells))
-    return F.struct(
-        (F.size(violations) == 0).alias("is_safe"),
-        violations.alias("violations"),
-        F.coalesce(has_pii(text, policy) | has_email(text, policy), F.lit(False)).alias("pii_detected"),
-        topics_detected(text, policy, level).alias("topics_detected"),
+def _check(text, policy: Policy, level: str | None, messages, with_text: bool = False) -> Column:
+    """Every test runs once per row: the flags are bound to a variable of a one-element transform, because
+    the optimizer would otherwise repeat a test for each field that reads it."""
+    topic_message, *flag_messages = messages
+    text = _text(text)
+    flags = F.struct(
+        topics_detected(text, policy, level).alias("topics"),
+        *[F.coalesce(c, F.lit(False)).alias(n) for n, c in (
+            ("pii", has_pii(text, policy)), ("email", has_email(text, policy)),
+            ("profanity", has_profanity(text, policy, level)))],
+        *([text.alias("text")] if with_text else []),
     )
 
+    def result(f: Column) -> Column:
+        found = [f[n] for n in ("pii", "email", "profanity")]
+        named = F.transform(f["topics"], lambda t: F.concat(F.lit(topic_message), t))
+        others = F.array_compact(F.array(*[F.when(c, F.lit(m)) for c, m in zip(found, flag_messages)]))
+        fields = [
+            ((F.size(f["topics"]) == 0) & ~found[0] & ~found[1] & ~found[2]).alias("is_safe"),
+            F.concat(named, others).alias("violations"),
+            (found[0] | found[1]).alias("pii_detected"),
+            f["topics"].alias("topics_detected"),
+        ]
+        if with_text:
+            first = F.get(f["topics"], F.lit(0))
+            fields.append(F.when(first.isNotNull(), template_answer(first, f["text"], policy)).otherwise(
+                _redact(f["text"], policy, *found)).alias("safe_response"))
+        return F.struct(*fields)
+
+    return F.get(F.transform(F.array(flags), result), F.lit(0))
+
+
+def _redact(text: Column, policy: Policy, pii, email, profanity) -> Column:
+    """Replace what was found, in the order PII, email, profanity."""
+    out = F.when(pii, F.regexp_replace(text, policy.pii, "[REDACTED PII]")).otherwise(text)
+    out = F.when(email, F.regexp_replace(out, policy.email, "[REDACTED EMAIL]")).otherwise(out)
+    return F.when(profanity, F.regexp_replace(out, profanity_pattern(policy), "[REDACTED]")).otherwise(out)
+
 
 def check_input(text, policy: Policy = Policy(), level: str | None = None) -> Column:
     """struct(is_safe, violations, pii_detected, topics_detected); order topics, PII, email, profanity."""
@@ -132,9 +157,7 @@ def check_input(text, policy: Policy = Policy(), level: str | None = None) -> Co
 def redact(text, policy: Policy = Policy(), level: str | None = None) -> Column:
     out = F.regexp_replace(_text(text), policy.pii, "[REDACTED PII]")
     out = F.regexp_replace(out, policy.email, "[REDACTED EMAIL]")
-    if policy.profanity_active(level):
-        out = F.regexp_replace(out, profanity_pattern(policy), "[REDACTED]")
-    return out
+    return F.regexp_replace(out, profanity_pattern(policy), "[REDACTED]") if policy.profanity_active(level) else out
 
 
 def template_answer(topic: Column, key: Column, policy: Policy) -> Column:
@@ -146,14 +169,7 @@ def template_answer(topic: Column, key: Column, policy: Policy) -> Column:
 
 def check_output(text, policy: Policy = Policy(), level: str | None = None) -> Column:
     """As check_input with response messages, plus safe_response: redacted, or a template on a topic hit."""
-    found = _check(text, policy, level, OUTPUT_MESSAGES)
-    first_topic = F.get(found["topics_detected"], F.lit(0))
-    safe = F.when(first_topic.isNotNull(), template_answer(first_topic, _text(text), policy)).otherwise(
-        redact(text, policy, level)
-    )
-    return F.struct(found["is_safe"].alias("is_safe"), found["violations"].alias("violations"),
-                    found["pii_detected"].alias("pii_detected"),
-                    found["topics_detected"].alias("topics_detected"), safe.alias("safe_response"))
+    return _check(text, policy, level, OUTPUT_MESSAGES, with_text=True)
 
 
 def apply_guardrails(df: DataFrame, query: str, response: str, policy: Policy = Policy(),

@@ -29,14 +29,14 @@ def _(spark, sf):
 
 @register("fn_date", WITH_LOGS + """
 SELECT request_id, date_trunc('hour', "timestamp") AS hour, date_trunc('day', "timestamp")::TIMESTAMP AS day,
-       "timestamp" - INTERVAL 24 HOURS AS day_before, strftime("timestamp", '%Y-%m-%d') AS date_day, "timestamp"::DATE AS on_date,
+       "timestamp" - INTERVAL 24 HOURS AS day_before, strftime("timestamp", '%Y-%m-%d') AS date_day, "timestamp"::DATE::VARCHAR AS on_date,
        round((epoch_us("timestamp") - epoch_us(date_trunc('hour', "timestamp"))) / 1000.0::DOUBLE, 3) AS ms_into_hour FROM logs""")
 def _(spark, sf):
     ts, hour = F.col("timestamp"), F.date_trunc("hour", "timestamp")
     return logs(spark, sf).select(
         "request_id", hour.alias("hour"), F.date_trunc("day", ts).alias("day"),
         (ts - F.expr("INTERVAL 24 HOURS")).alias("day_before"), F.date_format(ts, "yyyy-MM-dd").alias("date_day"),
-        F.to_date(ts).alias("on_date"),
+        F.to_date(ts).cast("string").alias("on_date"),
         F.round((F.unix_micros(ts) - F.unix_micros(hour)) / 1000, 3).alias("ms_into_hour"))
 
 

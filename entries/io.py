@@ -133,7 +133,7 @@ def _(spark, sf):
 
 
 @register("flatten_metadata", """
-SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE json_extract_string(props, '$.k')::INTEGER END AS k,
+SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE json_extract_string(props, '$.k') END AS k,
        CASE WHEN event_id % 9 = 0 THEN '{"k": ' ELSE props END AS props FROM events""")
 def _(spark, sf):
     from pyspark.sql import types as T
@@ -141,7 +141,7 @@ def _(spark, sf):
     # every ninth record is cut off in the middle
     cut = load(spark, sf, "events").select(
         "event_id", F.when(F.col("event_id") % 9 == 0, '{"k": ').otherwise(F.col("props")).alias("props"))
-    return R.parse_metadata(cut, T.StructType([T.StructField("k", T.IntegerType())]), "props")
+    return R.parse_metadata(cut, T.StructType([T.StructField("k", T.IntegerType())]), "props").withColumn("k", F.col("k").cast("string"))
 
 
 @register("project_rename", """

@@ -66,11 +66,14 @@ for _m in ("l2", "dot"):
 
 
 @register("knn_left", f"""WITH {knn_sql(5)}
-SELECT q.query_id, h.vec_id, round(h.score, 6) AS score, h.rank FROM q LEFT JOIN (SELECT * FROM hits WHERE score >= 0.7) h USING (query_id)""")
+SELECT q.query_id, coalesce(h.vec_id, -1) AS vec_id, round(h.score, 6) AS score, coalesce(h.rank, 0)::INTEGER AS rank
+FROM q LEFT JOIN (SELECT * FROM hits WHERE score >= 0.4) h USING (query_id)""")
 def _(spark, sf):
     asked = questions(spark, sf)
-    hits = search.top_k(load(spark, sf, "embeddings"), asked, 5).where("score >= 0.7")
-    return search.keep_unanswered(asked, hits).withColumn("score", F.round("score", 6))
+    hits = search.top_k(load(spark, sf, "embeddings"), asked, 5).where("score >= 0.4")
+    kept = search.keep_unanswered(asked, hits)
+    return kept.select("query_id", F.coalesce("vec_id", F.lit(-1)).alias("vec_id"), F.round("score", 6).alias("score"),
+                       F.coalesce("rank", F.lit(0)).alias("rank"))
 
 
 @register("hits_with_docs", f"""WITH {knn_sql(5)}

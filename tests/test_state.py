@@ -1,5 +1,6 @@
 """Sessions, logs, cache, changes, answers and streams over several batches."""
 
+import json
 import os
 import sys
 from datetime import datetime, timedelta
@@ -9,6 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from docquery import schemas
+from docquery.functions.registered import register_functions
 from docquery.operators import answering as A, changes as C, guardrails as G, logs as L, metrics as M, sessions as S
 from docquery.operators.chunking import chunk_documents
 from docquery.operators.embedding import embed_tfidf, embedding_udf, fit_tfidf, with_embeddings
@@ -207,6 +209,15 @@ def test_plugged_in_embedding(spark):
     assert [r.embedding for r in df.collect()] == [[2.0, 1.0], [0.0, 1.0]]
 
 
+def test_functions_from_sql(spark):
+    register_functions(spark, load_model=lambda: (lambda texts: [[float(len(t))] for t in texts]))
+    row = spark.sql("SELECT embed_text('abc') AS v, ask('which line', 's', 'a line\nwhich line is it') AS a").first()
+    assert row.v == [3.0]
+    assert json.loads(row.a) == {"query": "which line", "response": "which line is it", "status": "success", "session_id": "s"}
+    pieces = spark.sql("SELECT * FROM split_text('ab\n\ncdefg', 'paragraph', 2)").collect()
+    assert [(r.position, r.chunk) for r in pieces] == [(0, "ab"), (1, "cd"), (2, "ef"), (3, "g")]
+
+
 def test_passage_truth_against_brute_force(spark):
     docs = spark.createDataFrame([(1, "xone two three four fivey"), (2, "two three"), (3, "one two\nthree four"), (4, "")], "d int, t string")
     passages = spark.createDataFrame([("p", "one two three four five"), ("q", "two three four"), ("r", "one two\nthree"), ("s", "two three fo")], "p string, t string")
