@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from docquery import config
 from docquery.functions.quantiles import percentile_exact
 from docquery.functions.text import hash_bits
-from docquery.operators.logs import as_timestamp, since, since_midnight
+from docquery.operators.logs import since, since_midnight
 from docquery.operators.routing import is_prefixed_error, mentions_error, response_type
 
 

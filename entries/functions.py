@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from docquery.functions.registered import register_functions
 from docquery.operators import answering as A
-from docquery.plans import retrieval as P
 
 from entries.retrieval import PIECES, asked_passages, text_index
 from entries.tables import WITH_LOGS, load, logs, register

@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 
 from docquery import config
 from docquery.operators import logs as L, metrics as M, routing
-from docquery.operators.cache import build_cache, cache_hits, cache_misses, query_hash
+from docquery.operators.cache import build_cache, cache_hits, cache_misses
 from docquery.operators.guardrails import Policy, audit, check_input
 from docquery.plans import dashboards
 
-from entries.tables import WITH_LOGS, knn_sql, load, logs, questions, r6, register
+from entries.tables import WITH_LOGS, knn_sql, load, logs, questions, register
 
 AS_OF = '(SELECT max("timestamp") FROM logs)'
 
@@ -186,7 +186,7 @@ m AS (SELECT avg(latency_ms) AS avg_latency,
 SELECT round(avg_latency, 6) AS avg_latency, round(error_rate, 6) AS error_rate, round(accuracy, 6) AS accuracy,
        accuracy >= 0.85 AS accuracy_ok, avg_latency <= 2000 AS latency_ok, error_rate <= 0.05 AS error_rate_ok,
        accuracy >= 0.85 AND avg_latency <= 2000 AND error_rate <= 0.05 AS promote
-FROM m, acc""".replace("logs AS", "logs AS"))
+FROM m, acc""")
 def _(spark, sf):
     labelled = load(spark, sf, "labels").join(load(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
     agree = (F.col("n_chars") >= 200).cast("int") == F.col("quality")

@@ -102,7 +102,3 @@ scored AS (SELECT query_id, vec_id, label, {fn} AS score FROM embeddings, q),
 hits AS (SELECT * FROM (SELECT query_id, vec_id, label, score,
     row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) {way}, vec_id)::INTEGER AS rank
   FROM scored) WHERE rank <= {k})"""
-
-
-def r6(name: str):
-    return F.round(name, 6).alias(name)

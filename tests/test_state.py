@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from docquery import schemas
 from docquery.functions.registered import register_functions
 from docquery.operators import answering as A, changes as C, guardrails as G, logs as L, metrics as M, sessions as S
-from docquery.operators.chunking import chunk_documents
 from docquery.operators.embedding import embed_tfidf, embedding_udf, fit_tfidf, with_embeddings
 from docquery.plans import dashboards, retrieval as P
 from docquery.plans.ask import ask_batch, log_rows

@@ -1,8 +1,10 @@
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from docquery.functions.text import strip, token_count
 from docquery.operators.chunking import chunk_documents
+from docquery.session import scratch_path, shared_dir
 
 TEXTS = ["", " ", "a", " a  b ", "x y　z", "line\none\r\ntwo\x0bthree\x1cfour\x85five", "tab\tand sep", None]
 
@@ -50,3 +52,20 @@ def test_chunks_lose_nothing(spark, texts):
         joined[int(r.document_id)] = joined.get(int(r.document_id), "") + r.content.replace("\n", "")
     for i, t in enumerate(texts):
         assert joined.get(i, "") == t.replace("\n", "")
+
+
+class _Session:
+    """Only what shared_dir reads."""
+
+    def __init__(self, master, named=None):
+        self.sparkContext = type("C", (), {"master": master, "applicationId": f"app-{master}"})()
+        self.conf = type("R", (), {"get": staticmethod(lambda key, default=None: named or default)})()
+
+
+def test_scratch_folder_comes_from_the_cluster():
+    assert shared_dir(_Session("yarn", "s3a://bucket/ckpt/")) == "s3a://bucket/ckpt"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(_Session("yarn"))
+    local = _Session("local[2]")
+    assert shared_dir(local) == shared_dir(local)
+    assert scratch_path(_Session("yarn", "hdfs://c"), "x") != scratch_path(_Session("yarn", "hdfs://c"), "x")
