@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from docquery.llm import line_dedup, pieces, simhash, token_files
-from docquery.llm.common import documents
+from docquery.llm import decontam, language, line_dedup, pieces, quality, simhash, token_files, toxicity
+from docquery.llm.common import documents, remainder
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -17,11 +17,26 @@ def op1_simhash(spark, sf_dir):
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_language(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    fold = F.coalesce(remainder(3) != 1, F.lit(True))
+    model = language.fit(docs, fold)
+    return (language.identify(docs, model, ["doc_id"]).withColumn("held_out", ~fold)
+            .select("doc_id", "held_out", "lang_pred", "score", "rejected"))
+
+
 def op4_line_dedup(spark, sf_dir):
     kept = line_dedup.dedup_lines(documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_quality(spark, sf_dir):
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    fold = F.coalesce(remainder(3) != 1, F.lit(True))
+    scored = quality.score_quality(docs, quality.fit(docs, labels, fold), ["doc_id"])
+    return scored.select("doc_id", (~fold).alias("held_out"), "score", "predicted")
+
+
 def op6_token_files(spark, sf_dir):
     manifest = token_files.write_token_files(documents(spark, sf_dir), WORD_TOKENIZER, end_id=1)
     return token_files.read_token_files(manifest)
@@ -31,9 +46,25 @@ def op7_sentencepiece(spark, sf_dir):
     return pieces.encode_pieces(documents(spark, sf_dir), PIECE_MODEL, pieces.DIGESTS, pieces.digests)
 
 
+def op9_toxicity(spark, sf_dir):
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    fold = F.coalesce(remainder(5) != 0, F.lit(True))
+    scored = toxicity.score_toxicity(docs, toxicity.fit(docs, labels, fold), ["doc_id"])
+    return scored.select("doc_id", (~fold).alias("held_out"), "score", "predicted")
+
+
+def op10_decontamination(spark, sf_dir):
+    found = decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "item_id", "edits", "first_byte", "end_byte")
+
+
 REGISTRY = {
     "op1_simhash": (op1_simhash, None),
+    "op3_language": (op3_language, None),
     "op4_line_dedup": (op4_line_dedup, line_dedup.LINE_DEDUP_SQL),
+    "op5_quality": (op5_quality, None),
     "op6_token_files": (op6_token_files, None),
     "op7_sentencepiece": (op7_sentencepiece, None),
+    "op9_toxicity": (op9_toxicity, None),
+    "op10_decontamination": (op10_decontamination, None),
 }
