@@ -66,14 +66,15 @@ class Voters:
                 else:
                     votes[PLACES[name]] = 1
         votes[PLACES["mined"]] = mined > 1
+        if not votes.any():
+            votes[PLACES["nothing found"]] = -1
+            return votes
         if len(hits) > 1:
             votes[PLACES["several"]] = 1
-        if hits and any(m[1].lower() in hits for m in ADDRESS.finditer(text)):
+        if any(m[1].lower() in hits for m in ADDRESS.finditer(text)):
             votes[PLACES["addressed"]] = 1
-        if hits and MARKS.search(text):
+        if MARKS.search(text):
             votes[PLACES["shouting"]] = 1
-        if not hits:
-            votes[PLACES["nothing found"]] = -1
         return votes
 
 
