@@ -79,7 +79,9 @@ def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     most 65 holders one step away, whatever the table: no group grows with the data.
     """
     step, reach = _masks(radius)
-    distinct = fps.select("fp").distinct()
+    # variants are many and fingerprints small: they are spread before they fan out
+    cells = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = fps.select("fp").distinct().repartition(cells, F.xxhash64("fp"))
     array = lambda masks: "array(" + ",".join(f"{_signed(m)}L" for m in masks) + ")"
     even = F.bit_count("fp") % 2 == 0
     filed = distinct.select("fp", F.explode(F.expr(array(step))).alias("mask"))
@@ -87,7 +89,9 @@ def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
                 .groupBy("variant").agg(F.min("fp").alias("holder")))
     sought = distinct.select("fp", F.explode(
         F.when(even, F.expr(array([*step, *reach]))).otherwise(F.expr(array(step)))).alias("mask"))
-    met = (sought.select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
+    # dealt out by variant, but sent as fingerprint and mask, which repeat and so compress better
+    variant = F.col("fp").bitwiseXOR(F.col("mask"))
+    met = (sought.repartition(variant).select("fp", variant.alias("variant"))
            .join(smallest.hint("shuffle_hash"), "variant"))
     return (met.where((F.col("fp") != F.col("holder"))
                       & (F.bit_count(F.col("fp").bitwiseXOR(F.col("holder"))) <= radius))
