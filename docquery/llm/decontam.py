@@ -164,9 +164,6 @@ def slices(benchmark: DataFrame, slice_bytes: int = SLICE_BYTES):
         yield rows
 
 
-FOUND = "doc_id long, item_id long, edits int, first_byte long, end_byte long"
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """``doc_id, __row, item_id, edits, first_byte, end_byte``: each benchmark item that a text holds, at its best place.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from docquery.llm import decontam, language, line_dedup, pieces, quality, simhash, token_files, toxicity
+from docquery.llm import collision_search, decontam, language, line_dedup, pieces, quality, simhash, token_files, toxicity
 from docquery.llm.common import documents, remainder
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -46,6 +46,11 @@ def op7_sentencepiece(spark, sf_dir):
     return pieces.encode_pieces(documents(spark, sf_dir), PIECE_MODEL, pieces.DIGESTS, pieces.digests)
 
 
+def op8_nearest(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return collision_search.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op9_toxicity(spark, sf_dir):
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     fold = F.coalesce(remainder(5) != 0, F.lit(True))
@@ -65,6 +70,7 @@ REGISTRY = {
     "op5_quality": (op5_quality, None),
     "op6_token_files": (op6_token_files, None),
     "op7_sentencepiece": (op7_sentencepiece, None),
+    "op8_nearest": (op8_nearest, None),
     "op9_toxicity": (op9_toxicity, None),
     "op10_decontamination": (op10_decontamination, None),
 }
