@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from docquery.llm import collision_search, decontam, language, line_dedup, pieces, quality, simhash, token_files, toxicity
+from docquery.llm import collision_search, decontam, language, line_dedup, pieces, quality, simhash, suffix_dedup, token_files, toxicity
 from docquery.llm.common import documents, remainder
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +17,10 @@ def op1_simhash(spark, sf_dir):
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), 100, suffix_dedup.DIGESTS, suffix_dedup.digests)
+
+
 def op3_language(spark, sf_dir):
     docs = documents(spark, sf_dir)
     fold = F.coalesce(remainder(3) != 1, F.lit(True))
@@ -65,6 +69,7 @@ def op10_decontamination(spark, sf_dir):
 
 REGISTRY = {
     "op1_simhash": (op1_simhash, None),
+    "op2_suffix_dedup": (op2_suffix_dedup, None),
     "op3_language": (op3_language, None),
     "op4_line_dedup": (op4_line_dedup, line_dedup.LINE_DEDUP_SQL),
     "op5_quality": (op5_quality, None),
