@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,7 +139,7 @@ class ShardReader:
         return np.concatenate([np.zeros(0, np.uint32), *self.parts(int(first), int(length))])
 
 
-def word_encoder(path: str, bits: int, cached: int = 600_000):
+def word_encoder(path: str, bits: int, cached: int = 2_000_000):
     """Text to ids, exactly as the tokenizer file has them.
 
     For a tokenizer whose normaliser and splitter look at nothing beyond white space, a text is the sequence of its
@@ -150,7 +151,7 @@ def word_encoder(path: str, bits: int, cached: int = 600_000):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    kind = "<u2" if bits <= 16 else "<u4"
+    kind, code = ("<u2", "H") if bits <= 16 else ("<u4", "I")
     if not _splits_at_blanks(json.loads(tokenizer.to_str())):
         return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
     special = any(not set(t["content"]) <= set("<|>_abcdefghijklmnopqrstuvwxyz")
@@ -169,7 +170,7 @@ def word_encoder(path: str, bits: int, cached: int = 600_000):
         for start in range(0, len(new), 4096):
             some = new[start:start + 4096]
             for part, found in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                store[part] = np.array(found.ids, kind).tobytes()
+                store[part] = array(code, found.ids).tobytes()
         for piece, own in parts.items():
             store[piece] = b"".join([store[q] for q in own])
 
@@ -285,5 +286,5 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         [ids, pa.array(part[:, 1] + before), pa.array(part[:, 2].copy()), pa.array(sums, pa.int64())],
                         names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    shards = placed.select("path", F.col("before").cast("long")).repartition("path")
+    shards = placed.select("path", F.col("before").cast("long")).repartition(max(1, manifest.count()), "path")
     return shards.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
