@@ -136,12 +136,16 @@ def _entries(rows: DataFrame, find) -> DataFrame:
     return small_batches(rows).mapInArrow(run, ENTRIES)
 
 
+def _ranked(entries: DataFrame) -> DataFrame:
+    """A bucket's entries in one place, sorted by content and place; equal ones numbered (streamed, with spill)."""
+    return entries.where("NOT later").repartition("h1").withColumn(
+        "nth", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("doc", "place")))
+
+
 def _settled(entries: DataFrame) -> DataFrame:
     """``contested``: first of its content in a bucket that holds others (or repeats itself); ``covered``: not first."""
-    spread = entries.where("NOT later").repartition("h1")
-    same = Window.partitionBy("h1", "h2").orderBy("doc", "place")
     bucket = Window.partitionBy("h1")
-    return (spread.withColumn("nth", F.row_number().over(same))
+    return (_ranked(entries)
             .withColumn("mixed", F.min("h2").over(bucket) != F.max("h2").over(bucket))
             .select("doc", "place", (F.col("nth") > 1).alias("covered"),
                     ((F.col("nth") == 1) & (F.col("mixed") | (F.col("place") % 2 != 0))).alias("contested"))
@@ -165,7 +169,7 @@ def _spans(places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, starts + (places >> 1 & ((1 << LENGTH_BITS) - 1)) + length - 1
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``doc_id, text, spans``: each row's bytes and its maximal runs of bytes that repeat something earlier.
 
     A byte is covered if a string of ``length`` bytes that holds it also starts earlier: in a smaller doc_id, or
@@ -183,7 +187,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                         F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
 
     def of_text(hashes, row, text):
-        for name, content, starts, counts, again in runs(text, hashes, length):
+        for name, content, starts, counts, again in runs(text, hashes, length, gram):
             yield name, content, _place(row, starts, counts, again)
 
     def of_windows(hashes, row, text, places):
@@ -192,19 +196,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for first, end in zip(starts.tolist(), ends.tolist()):
             part = data[first:end]
             at = np.arange(len(part) - length + 1)
-            sums = hashes.sums(part, 0), hashes.sums(part, 1)
-            yield (*(hashes.of(s, at, at + length, k).view(np.int64) for k, s in enumerate(sums)),
+            one = hashes.sums(part, 0)
+            grams = np.arange(length - gram + 1)
+            name = hashes.of(one, grams, grams + gram, 0).min()  # of the run, as all its windows share it
+            yield (np.full(len(at), name).view(np.int64),
+                   hashes.of(hashes.sums(part, 1), at, at + length, 1).view(np.int64),
                    _place(row, at + first, np.ones(len(at), np.int64), np.zeros(len(at), np.int64)))
 
     found = _entries(texts, of_text)
     settled = materialise(_settled(found), "runs")
     asked = settled.where("contested").select("doc", "place")
     distinct = _joined(texts, asked, "inner").select("doc", "row", "text", "places")
-    windows = materialise(_entries(distinct, of_windows), "windows")
-    first = windows.where("NOT later").groupBy("h1", "h2").agg(
-        F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    repeated = (windows.where("NOT later").join(first, ["h1", "h2"])
-                .where((F.col("doc") != F.col("first.doc")) | (F.col("place") != F.col("first.place"))))
+    windows = _entries(distinct, of_windows)
+    repeated = _ranked(windows).where("nth > 1")
     covered = (found.where("later").select("doc", "place")
                .union(settled.where("covered").select("doc", "place"))
                .union(windows.where("later").select("doc", "place"))
