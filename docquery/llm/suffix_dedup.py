@@ -21,6 +21,7 @@ LENGTH = 100  # bytes of a repeated string
 GRAM = 37  # bytes of a sample gram; a window has LENGTH - GRAM + 1 of them
 CHUNK = 1 << 18  # windows of a text handled at once
 GROUP = 8 << 20  # bytes of text whose runs are pre-aggregated in a task
+GROUP_ENTRIES = 400_000  # and the most entries
 NO_ID = -(1 << 63)
 # A row's place: 15 bits of text hash (rows that share a doc_id), 31 bits of start, 16 of length, 1 of self-repeat.
 LENGTH_BITS, START_BITS = 16, 31
@@ -114,7 +115,7 @@ def _entries(rows: DataFrame, find) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        hashes, held, size = Hashes(), [], 0
+        hashes, held, size, count = Hashes(), [], 0, 0
 
         def flush():
             h1, h2, doc, place = (np.concatenate(c) for c in zip(*held))
@@ -126,10 +127,14 @@ def _entries(rows: DataFrame, find) -> DataFrame:
             for values in zip(*(c.to_pylist() for c in batch.columns)):
                 for h1, h2, place in find(hashes, *values[1:]):
                     held.append((h1, h2, np.full(len(h1), values[0]), place))
+                    count += len(h1)
+                    if count >= GROUP_ENTRIES:
+                        yield flush()
+                        held, size, count = [], 0, 0
                 size += len(values[2])
                 if size >= GROUP and held:
                     yield flush()
-                    held, size = [], 0
+                    held, size, count = [], 0, 0
         if held:
             yield flush()
 
@@ -137,18 +142,23 @@ def _entries(rows: DataFrame, find) -> DataFrame:
 
 
 def _ranked(entries: DataFrame) -> DataFrame:
-    """A bucket's entries in one place, sorted by content and place; equal ones numbered (streamed, with spill)."""
-    return entries.where("NOT later").repartition("h1").withColumn(
-        "nth", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("doc", "place")))
+    """A bucket's entries in one place, sorted by content and place; equal ones numbered (streamed, with spill).
+
+    Entries already known to repeat an earlier one need no bucket: they are dealt out by their own place.
+    """
+    bucket = F.when(F.col("later"), F.xxhash64("doc", "place")).otherwise(F.col("h1"))
+    same = Window.partitionBy("bucket", "h2").orderBy("doc", "place")
+    return (entries.withColumn("bucket", bucket).repartition("bucket").withColumn("nth", F.row_number().over(same))
+            .withColumn("covered", F.col("later") | (F.col("nth") > 1)))
 
 
 def _settled(entries: DataFrame) -> DataFrame:
     """``contested``: first of its content in a bucket that holds others (or repeats itself); ``covered``: not first."""
-    bucket = Window.partitionBy("h1")
+    whole = Window.partitionBy("bucket")
     return (_ranked(entries)
-            .withColumn("mixed", F.min("h2").over(bucket) != F.max("h2").over(bucket))
-            .select("doc", "place", (F.col("nth") > 1).alias("covered"),
-                    ((F.col("nth") == 1) & (F.col("mixed") | (F.col("place") % 2 != 0))).alias("contested"))
+            .withColumn("mixed", F.min("h2").over(whole) != F.max("h2").over(whole))
+            .select("doc", "place", "covered", (~F.col("covered") & (F.col("mixed") | (F.col("place") % 2 != 0)))
+                    .alias("contested"))
             .where("covered OR contested"))
 
 
@@ -203,16 +213,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                    hashes.of(hashes.sums(part, 1), at, at + length, 1).view(np.int64),
                    _place(row, at + first, np.ones(len(at), np.int64), np.zeros(len(at), np.int64)))
 
-    found = _entries(texts, of_text)
-    settled = materialise(_settled(found), "runs")
+    settled = materialise(_settled(_entries(texts, of_text)), "runs")
     asked = settled.where("contested").select("doc", "place")
     distinct = _joined(texts, asked, "inner").select("doc", "row", "text", "places")
-    windows = _entries(distinct, of_windows)
-    repeated = _ranked(windows).where("nth > 1")
-    covered = (found.where("later").select("doc", "place")
-               .union(settled.where("covered").select("doc", "place"))
-               .union(windows.where("later").select("doc", "place"))
-               .union(repeated.select("doc", "place")))
+    repeated = _ranked(_entries(distinct, of_windows)).where("covered")
+    covered = settled.where("covered").select("doc", "place").union(repeated.select("doc", "place"))
     marked = _joined(texts, covered, "left").select("doc", "text", "places")
 
     def make():
