@@ -112,7 +112,7 @@ class PieceEncoder:
     handed to the library as they are read; the ids are those of the whole text.
     """
 
-    def __init__(self, model: str, cached: int = 300_000):
+    def __init__(self, model: str, cached: int = 1_200_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
