@@ -144,18 +144,23 @@ def metrics_by_granularity(logs: DataFrame, widths=("1 hour", "1 day")) -> DataF
     return reduce(DataFrame.unionByName, [one(w) for w in widths])
 
 
-def rate_limit_breaches(logs: DataFrame, limits: DataFrame) -> DataFrame:
+# Limits of an environment that the table of limits does not list.
+DEFAULT_QUERIES_PER_MINUTE, DEFAULT_TOKENS_PER_MINUTE = 20, 20_000
+
+
+def rate_limit_breaches(logs: DataFrame, limits: DataFrame, default_queries: int = DEFAULT_QUERIES_PER_MINUTE,
+                        default_tokens: int = DEFAULT_TOKENS_PER_MINUTE) -> DataFrame:
     """Minutes in which an environment exceeded its query or token limit. ``limits``: one row per
-    environment with max_queries_per_minute and max_tokens_per_minute."""
+    environment with max_queries_per_minute and max_tokens_per_minute; others have the default limits."""
     per_minute = (
         logs.groupBy("environment", F.window("timestamp", "1 minute").alias("w"))
         .agg(_count().alias("queries"),
              F.sum((F.col("tokens_input") + F.col("tokens_output")).cast("bigint")).alias("tokens"))
         .select("environment", F.col("w.start").alias("minute"), "queries", "tokens")
     )
-    over_q = F.col("queries") > F.col("max_queries_per_minute")
-    over_t = F.col("tokens") > F.col("max_tokens_per_minute")
-    return per_minute.join(limits, "environment").where(over_q | over_t).select(
+    over_q = F.col("queries") > F.coalesce("max_queries_per_minute", F.lit(default_queries))
+    over_t = F.col("tokens") > F.coalesce("max_tokens_per_minute", F.lit(default_tokens))
+    return per_minute.join(limits, "environment", "left").where(over_q | over_t).select(
         "environment", "minute", "queries", "tokens", over_q.alias("over_queries"), over_t.alias("over_tokens"))
 
 

@@ -1,7 +1,5 @@
 """Edge rows worked out by hand, and properties."""
 
-import re
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,28 +15,30 @@ def check(spark, fn, rows=ROWS):
     return [r.c for r in df.select("i", fn.alias("c")).orderBy("i").collect()]
 
 
-def by_hand(text, level):
-    text = text or ""
-    out = []
-    for topic in G.TOPICS_BY_LEVEL.get(level, []):
-        if any(k in text.lower() for k in G.TOPIC_KEYWORDS.get(topic, [])):
-            out.append(f"Banned topic: {topic}")
-    if re.search(G.PII_LEGACY.removeprefix("(?U)"), text):
-        out.append("PII detected: Possible SSN or phone number")
-    if re.search(G.EMAIL.removeprefix("(?U)"), text):
-        out.append("PII detected: Email address")
-    if level == "high" and re.search(r"\b(?:" + "|".join(G.PROFANE_WORDS) + r")\b", text, re.I):
-        out.append("Profanity detected")
-    return out
+NUMBER, MAIL = "PII detected: Possible SSN or phone number", "PII detected: Email address"
+CRIME, VIOLENCE, PROFANE = "Banned topic: illegal activities", "Banned topic: violence", "Profanity detected"
+FOUND_ANYWHERE = {
+    "x(743) 555-3824": [NUMBER], "123-45-6789": [NUMBER], "123456789": [NUMBER], "1234567890": [NUMBER],
+    "a@b.co": [MAIL], "١٢٣٤٥٦٧٨٩": [NUMBER], "kill 123456789 a@b.co crime": [NUMBER, MAIL],
+}
+FOUND_BY_LEVEL = {
+    "low": {"kill 123456789 a@b.co crime": [CRIME, NUMBER, MAIL]},
+    "medium": {"skill": [VIOLENCE], "kill 123456789 a@b.co crime": [CRIME, VIOLENCE, NUMBER, MAIL]},
+    "high": {"skill": [VIOLENCE], "kill 123456789 a@b.co crime": [CRIME, VIOLENCE, NUMBER, MAIL],
+             "damn it": [PROFANE], "Hell": [PROFANE], "ass": [PROFANE]},
+    "unknown": {},
+}
 
 
-@pytest.mark.parametrize("level", ["low", "medium", "high", "unknown"])
+@pytest.mark.parametrize("level", FOUND_BY_LEVEL)
 def test_input_check(spark, level):
+    expected = FOUND_ANYWHERE | FOUND_BY_LEVEL[level]
     for text, c in zip(ROWS, check(spark, G.check_input("t", G.Policy(), level))):
-        assert c.violations == by_hand(text, level), text
-        assert c.is_safe == (not c.violations)
-        assert c.pii_detected == any(v.startswith("PII") for v in c.violations)
-        assert c.topics_detected == [v.removeprefix("Banned topic: ") for v in c.violations if v.startswith("Banned")]
+        found = expected.get(text, [])
+        assert c.violations == found, text
+        assert c.is_safe == (not found)
+        assert c.pii_detected == (NUMBER in found or MAIL in found)
+        assert c.topics_detected == [v.removeprefix("Banned topic: ") for v in found if v in (CRIME, VIOLENCE)]
 
 
 def test_bracketed_phone_needs_the_strict_pattern(spark):

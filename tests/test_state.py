@@ -270,6 +270,25 @@ def test_index_sync_over_batches(spark, tmp_path):
     folded = str(tmp_path / "folded")
     index_sync.compact(spark, path, folded)
     assert {r.content for r in index_sync.read_index(spark, folded).collect()} == {"two again"}
+    # a new checkpoint on the folded index counts its batches from zero again and must lose nothing
+    later = str(tmp_path / "later")
+    spark.createDataFrame([("4", "four", None)], schema).write.parquet(later)
+    index_sync.sync_index(files_as_stream(spark, later, schema), model, folded, str(tmp_path / "ckpt2"), deleted="gone")
+    assert {r.content for r in index_sync.read_index(spark, folded).collect()} == {"two again", "four"}
+    # chunks whose keys are not written yet are not read
+    rows = spark.read.parquet(f"{folded}/chunks").where("document_id = '4'").drop("batch")
+    rows.write.parquet(f"{folded}/chunks/batch={(1 << 32) + 9}")
+    assert index_sync.read_index(spark, folded).count() == 2
+    index_sync.compact(spark, folded, str(tmp_path / "again"))
+    assert {r.content for r in index_sync.read_index(spark, str(tmp_path / "again")).collect()} == {"two again", "four"}
+
+
+def test_unlisted_environment_has_default_limits(spark):
+    rows = [("new", at(0), 1, 1)] * 21 + [("dev", at(0), 1, 1)] * 21 + [("few", at(0), 1, 1)] * 20
+    log = spark.createDataFrame(rows, "environment string, timestamp timestamp, tokens_input int, tokens_output int")
+    limits = spark.createDataFrame([("dev", 50, 10_000)], "environment string, max_queries_per_minute int, max_tokens_per_minute int")
+    got = M.rate_limit_breaches(log, limits).collect()
+    assert [(r.environment, r.queries, r.over_queries, r.over_tokens) for r in got] == [("new", 21, True, False)]
 
 
 def test_session_state_over_batches(spark, tmp_path):
