@@ -18,7 +18,7 @@ DIMENSION = 512
 
 
 def _tokens(df: DataFrame, text_col: str) -> DataFrame:
-    parts = F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+")
+    parts = F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+")
     return df.withColumn("_tokens", F.filter(parts, lambda w: w != ""))
 
 

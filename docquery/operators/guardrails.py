@@ -193,7 +193,11 @@ def apply_guardrails(df: DataFrame, query: str, response: str, policy: Policy =
 
 def split_blocked(df: DataFrame, query: str, policy: Policy = Policy(), level: str | None = None):
     """(questions to answer, blocked records). Only the first frame reaches the answer provider."""
-    checked = df.withColumn("guardrail_results", check_input(query, policy, level))
+    return split_checked(df.withColumn("guardrail_results", check_input(query, policy, level)))
+
+
+def split_checked(checked: DataFrame):
+    """As split_blocked, over rows that already hold their ``guardrail_results``."""
     blocked = checked.where(~F.col("guardrail_results.is_safe")).withColumns(
         {"status": F.lit("blocked"), "response": F.lit(BLOCKED_ANSWER)}
     )

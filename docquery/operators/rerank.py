@@ -23,14 +23,25 @@ def hashed_score(query_id: str, doc_id: str) -> Column:
 
 
 def pair_scorer(score: Callable[[list[str], list[str]], list[float]]):
-    """Plug in a model over (question, text) batches; a failing batch scores 0.5 throughout."""
+    """Plug in a model over (question, text) batches.
+
+    When a batch fails its questions are scored one by one, so that only the failing ones get 0.5 and no
+    score depends on where a batch ends.
+    """
 
     @F.pandas_udf("double")
     def scored(query: pd.Series, text: pd.Series) -> pd.Series:
         try:
             return pd.Series(score(query.tolist(), text.tolist()), dtype="float64")
         except Exception:
-            return pd.Series([0.5] * len(query))
+            out = pd.Series(0.5, index=query.index)
+            codes = pd.Series(pd.factorize(query)[0], index=query.index)
+            for rows in codes.groupby(codes).groups.values():
+                try:
+                    out[rows] = score(query[rows].tolist(), text[rows].tolist())
+                except Exception:
+                    continue
+            return out
 
     return scored
 

@@ -92,6 +92,12 @@ def expired_sessions(records: DataFrame, as_of, minutes: int = config.SESSION_TI
     return records.where(idle > minutes * 60 * 1_000_000)
 
 
+def live_sessions(records: DataFrame, as_of, minutes: int = config.SESSION_TIMEOUT_MINUTES) -> DataFrame:
+    """The records that expired_sessions leaves; one without a time stays."""
+    idle = F.unix_micros(as_timestamp(as_of)) - F.unix_micros("last_active")
+    return records.where(F.coalesce(idle <= minutes * 60 * 1_000_000, F.lit(True)))
+
+
 def evict_sessions(records: DataFrame, capacity: int = config.SESSION_CAPACITY):
     """(kept, evicted): the ``capacity`` most recently active sessions stay."""
     kept = records.orderBy(F.desc("last_active"), "session_id").limit(capacity)

@@ -6,26 +6,33 @@ from dataclasses import dataclass
 from typing import Callable
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from docquery import config
 from docquery.operators import answering, guardrails, rerank, routing, search
 from docquery.operators.chunking import chunk_documents
-from docquery.operators.embedding import embed_tfidf, fit_tfidf
+from docquery.operators.embedding import embed_tfidf, fit_tfidf, with_embeddings
 from docquery.operators.index import IvfIndex
 from docquery.session import materialise, scratch_path, spread
 
+# Questions that one task puts to the provider.
+QUESTIONS_PER_TASK = 1_000
+# Leading characters that find a passage without inner words.
+EDGE_CHARS = 8
+
 
 @dataclass
 class TextIndex:
-    """Chunk table with vectors, the model that embeds questions the same way, and the cells if any."""
+    """Chunk table with vectors, the model (a fitted pipeline or an ``embedding_udf``) that embeds questions the
+    same way, and the cells if any."""
 
     chunks: DataFrame
-    model: PipelineModel
+    model: PipelineModel | Callable
     cells: IvfIndex | None = None
 
     def embed_questions(self, questions: DataFrame, query_id: str, query: str) -> DataFrame:
-        return embed_tfidf(self.model, questions, query, "query_vector").withColumnRenamed(query_id, "query_id")
+        embed = embed_tfidf if isinstance(self.model, PipelineModel) else embed_plugged
+        return embed(self.model, questions, query, "query_vector").withColumnRenamed(query_id, "query_id")
 
     def search(self, questions: DataFrame, query_id: str, query: str, k: int = config.RETRIEVE_K,
                metric: str = "cosine", nprobe: int | None = None) -> DataFrame:
@@ -40,22 +47,31 @@ class TextIndex:
             hits = self.cells.search(self.chunks, asked, k, nprobe, id_col="chunk_id")
         else:
             hits = search.top_k(self.chunks, asked, k, metric, id_col="chunk_id")
-        text = self.chunks.select("chunk_id", "document_id", "content")
+        titled = ["title"] if "title" in self.chunks.columns else []
+        text = self.chunks.select("chunk_id", "document_id", "content", *titled)
         return search.hits_with_documents(hits, text, "chunk_id")
 
 
+def embed_plugged(model: Callable, df: DataFrame, text_col: str, out: str) -> DataFrame:
+    return with_embeddings(df, model, text_col, out)
+
+
 def build_text_index(docs: DataFrame, id_col: str, text_col: str, store: bool = True,
-                     cells: int | None = None) -> TextIndex:
+                     cells: int | None = None, title_col: str | None = None,
+                     embedder: Callable | None = None) -> TextIndex:
     """Chunk once, write the chunks, fit document frequencies, write the vectors.
 
     Both tables are written because the fit and every search read them again; a lost executor then
     re-reads files instead of re-chunking the corpus. With ``cells`` the vectors are laid out by cell.
+    ``title_col`` is carried to the chunks as ``title``, for citations. ``embedder`` (an ``embedding_udf``)
+    takes the place of TF-IDF.
     """
-    chunks = chunk_documents(spread(docs.select(id_col, text_col), id_col), id_col, text_col)
+    read = [F.col(id_col), F.col(text_col)] + ([F.col(title_col).alias("title")] if title_col else [])
+    chunks = chunk_documents(spread(docs.select(*read), id_col), id_col, text_col, ["title"] if title_col else None)
     if store:
         chunks = materialise(chunks, "chunks")
-    model = fit_tfidf(chunks, "content")
-    embedded = embed_tfidf(model, chunks, "content", "embedding")
+    model = embedder or fit_tfidf(chunks, "content")
+    embedded = (embed_plugged if embedder else embed_tfidf)(model, chunks, "content", "embedding")
     if cells:
         embedded = materialise(embedded, "vectors")
         ivf = IvfIndex.fit(embedded, cells)
@@ -83,38 +99,50 @@ def rerank_by_overlap(hits: DataFrame, questions: DataFrame, query: str = "query
 def answer_batch(questions: DataFrame, index: TextIndex,
                  provider_factory: Callable[[], object] = answering.ExtractiveProvider,
                  k: int = config.RETRIEVE_K, policy: guardrails.Policy | None = None,
-                 prompt_context: str | None = None, hits: DataFrame | None = None) -> DataFrame:
+                 prompt_context: str | None = None, hits: DataFrame | None = None,
+                 original: str | None = None, template: str | None = None) -> DataFrame:
     """Every question of a frame (query_id, query) gets exactly one row.
 
     Screen -> retrieve -> re-rank -> context -> generate -> screen the answer. Blocked questions skip
-    retrieval and generation. With ``prompt_context`` (a column) earlier conversation precedes the context.
-    ``hits`` of an earlier search of the same questions spares the search.
+    retrieval and generation. The screened questions are written first: every later step reads the same rows,
+    also when ``questions`` comes out of a model. With ``prompt_context`` (a column) earlier conversation
+    precedes the context. ``hits`` of an earlier search of the same questions spares the search. Answers are
+    screened against the ``original`` question (a column; else the one asked). With ``template`` the provider
+    gets that prompt, rendered, in place of the bare context.
     """
     policy = policy or guardrails.Policy()
-    safe, blocked = guardrails.split_blocked(questions, "query", policy)
+    screened = materialise(
+        questions.withColumn("guardrail_results", guardrails.check_input("query", policy)), "screened")
+    safe, blocked = guardrails.split_checked(screened)
     if hits is None:
         hits = index.search(safe, "query_id", "query", k)
     ranked = rerank_by_overlap(hits, safe)
-    ready = safe.join(answering.context_and_sources(ranked, "document_id", "content"), "query_id", "left")
+    ready = safe.join(answering.context_and_sources(
+        ranked, "document_id", "content", "title" if "title" in ranked.columns else None), "query_id", "left")
     body = F.coalesce(F.col("context"), F.lit(""))
     if prompt_context:
         body = F.concat(F.coalesce(F.col(prompt_context), F.lit("")), body)
-    # one task per core: the rows are few bytes, so AQE would otherwise run the provider in one task
+    if template:
+        body = answering.render_prompt(template, F.col("query"), body)
+    # the rows are few bytes, so AQE would otherwise run the provider in one task; tasks grow with the batch
     cores = ready.sparkSession.sparkContext.defaultParallelism
-    ready = ready.withColumn("context", body).repartition(cores, "query_id")
+    tasks = max(cores, -(-screened.count() // QUESTIONS_PER_TASK))
+    ready = ready.withColumn("context", body).repartition(tasks, "query_id")
     answered = answering.generate_with_retry(ready, provider_factory, wait=2.0)
     # document questions are answered with their sources
     cited = (routing.route("query") == "RAG") & (F.col("status") == "success") & F.col("sources").isNotNull()
     answered = answered.withColumn(
         "response", F.when(cited, F.concat("response", "sources")).otherwise(F.col("response")))
-    screened = guardrails.apply_guardrails(answered, "query", "response", policy)
-    done = screened.select(
+    done = guardrails.apply_guardrails(answered, original or "query", "response", policy).select(
         "query_id", "query", routing.route("query").alias("route"), "status", "response",
-        F.col("safe_response"), F.coalesce("sources", F.lit("")).alias("sources"), "latency_ms", "is_safe")
+        F.col("safe_response"), F.coalesce("sources", F.lit("")).alias("sources"), "latency_ms", "is_safe",
+        "error_type", "error_message", "attempts", "prompt_tokens", "completion_tokens")
+    none = [F.lit(None).cast(done.schema[c].dataType).alias(c) for c in ("error_type", "error_message")]
     held = blocked.select(
         "query_id", "query", routing.route("query").alias("route"), "status", "response",
         F.col("response").alias("safe_response"), F.lit("").alias("sources"),
-        F.lit(0.0).alias("latency_ms"), F.lit(False).alias("is_safe"))
+        F.lit(0.0).alias("latency_ms"), F.lit(False).alias("is_safe"),
+        *none, *[F.lit(0).alias(c) for c in ("attempts", "prompt_tokens", "completion_tokens")])
     return done.unionByName(held)
 
 
@@ -124,23 +152,35 @@ def passage_truth(docs: DataFrame, passages: DataFrame, doc_id: str, doc_text: s
 
     The words between a passage's first and last one must occur in the document as whole words, so the
     first ``width`` of them are an equi-join key; containment is then tested on the joined rows only.
-    Passages with fewer than width + 2 words use as many inner words as they have, and need three.
+    Passages with fewer than width + 2 words use as many inner words as they have; those of one or two words
+    use their first characters (at most ``EDGE_CHARS``). An empty passage lies in every text, a NULL one in none.
     """
     from docquery.functions.text import words
 
+    passages = passages.where(F.col(passage_text).isNotNull())
     inner = F.slice(words(passage_text), F.lit(2), F.greatest(F.size(words(passage_text)) - 2, F.lit(0)))
     p = passages.select(F.col(passage_id).alias("query_id"), F.col(passage_text).alias("_passage"),
                         F.slice(inner, 1, width).alias("_anchor"))
-    p = p.withColumn("_w", F.size("_anchor")).withColumn(
-        "_key", F.when(F.col("_w") > 0, F.xxhash64("_anchor")).otherwise(
-            F.raise_error(F.lit("a passage needs at least three words")).cast("bigint")))
-    # at most ``width`` values; usually one
-    present = [r[0] for r in p.where("_w > 0").select("_w").distinct().collect()]
-    widths = F.array(*[F.lit(w) for w in sorted(present) or [width]])
-    tokens = spread(docs.select(doc_id, doc_text), doc_id).select(F.col(doc_id).alias("doc_id"), words(doc_text).alias("_t"))
-    grams = tokens.select("doc_id", F.explode(F.array_distinct(F.flatten(F.transform(widths, lambda w: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("_t") - w + 1, F.lit(1))),
-        lambda i: F.xxhash64(F.slice("_t", i, w))))))).alias("_key"))
+    # the kind of key: a number of words, or the negative of a number of characters
+    p = p.withColumn("_w", F.when(F.size("_anchor") > 0, F.size("_anchor")).otherwise(
+        -F.least(F.char_length("_passage"), F.lit(EDGE_CHARS))))
+    key = F.when(F.col("_w") > 0, F.xxhash64("_w", "_anchor")).otherwise(
+        F.xxhash64("_w", F.slice(F.split("_passage", ""), 1, EDGE_CHARS)))
+    p = p.withColumn("_key", F.when(F.col("_w") == 0, F.lit(0).cast("bigint")).otherwise(key))
+    # at most width + EDGE_CHARS + 1 values; usually one
+    present = sorted(r[0] for r in p.select("_w").distinct().collect())
+
+    def keys(w: int) -> Column:
+        if w == 0:
+            return F.array(F.lit(0).cast("bigint"))
+        parts, n = F.col("_t" if w > 0 else "_c"), abs(w)
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - n + 1, F.lit(1))),
+                           lambda i: F.xxhash64(F.lit(w), F.slice(parts, i, n)))
+
+    tokens = spread(docs.select(doc_id, doc_text), doc_id).where(F.col(doc_text).isNotNull()).select(
+        F.col(doc_id).alias("doc_id"), words(doc_text).alias("_t"), F.split(doc_text, "").alias("_c"))
+    every = F.flatten(F.array(*[keys(w) for w in present or [width]]))
+    grams = tokens.select("doc_id", F.explode(F.array_distinct(every)).alias("_key"))
     # keys and ids only: the texts join after the anchors have thinned the rows
     candidates = grams.join(p.select("_key", "query_id", "_passage"), "_key").select("doc_id", "query_id", "_passage")
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("_text"))

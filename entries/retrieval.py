@@ -8,13 +8,14 @@ from docquery.functions.windows import top_per_key
 from docquery.operators import answering as A, rerank as R, rewrite, search
 from docquery.operators.chunking import chunk_documents
 from docquery.operators.embedding import embed_tfidf, fit_tfidf
+from docquery.operators.guardrails import INPUT_MESSAGES, Policy
 from docquery.operators.index import HyperplaneIndex, IvfIndex, check_dimension
 from docquery.plans import retrieval as P
 from docquery.plans.ask import ask_batch, log_rows
 from docquery.session import materialise, scratch_path
 from docquery.sources.sinks import append_log, read_log
 
-from entries.guard import PAIRS, docs, pairs
+from entries.guard import PAIRS, docs, pairs, violations_sql
 from entries.tables import knn_sql, load, questions, register
 
 LIMIT = config.CHUNK_CHARS
@@ -363,15 +364,14 @@ def session_requests(spark, sf):
 @register("answer_session")
 def _(spark, sf):
     requests, history = session_requests(spark, sf)
-    expand = lambda c: rewrite.expand(c, synonyms={"that": "which"}, stop_words=["the", "le"])
+    expand = lambda c, _: rewrite.expand(c, synonyms={"that": "which"}, stop_words=["the", "le"])
     return ask_batch(requests, history, text_index(spark, sf), expand)
 
 
-@register("answer_log", """WITH u AS (SELECT conv_id, max(turn) AS last_turn FROM conversations WHERE role = 'user' GROUP BY 1),
-p AS (SELECT conv_id, turn FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
-      WHERE role = 'user' AND n = 'assistant')
-SELECT u.conv_id::VARCHAR AS request_id, u.conv_id::VARCHAR AS session_id, '2024-02-01' AS date_day,
-  CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.conv_id = u.conv_id AND p.turn < u.last_turn) THEN 'success' ELSE 'error' END AS status
+@register("answer_log", f"""WITH u AS (SELECT conv_id, arg_max(text, turn) AS query FROM conversations WHERE role = 'user' GROUP BY 1)
+SELECT conv_id::VARCHAR AS request_id, conv_id::VARCHAR AS session_id, '2024-02-01' AS date_day, query, 'dev' AS environment,
+  len(list_filter(regexp_split_to_array(query, '\\s+'), lambda x: x <> ''))::INTEGER AS tokens_input,
+  CASE WHEN len({violations_sql(Policy(), "query", INPUT_MESSAGES)}) > 0 THEN 'blocked' ELSE 'success' END AS status
 FROM u""")
 def _(spark, sf):
     """Answers written to the day-partitioned log and read back."""
@@ -380,4 +380,5 @@ def _(spark, sf):
                     F.lit("2024-02-01 08:00:00").cast("timestamp"))
     path = scratch_path(spark, "log")
     append_log(rows, path)
-    return read_log(spark, path).select("request_id", "session_id", "date_day", "status")
+    return read_log(spark, path).select(
+        "request_id", "session_id", "date_day", "query", "environment", "tokens_input", "status")

@@ -182,7 +182,7 @@ def test_requests_through_the_whole_path(spark, tmp_path):
     requests = spark.createDataFrame(
         [(1, "s1", "WHAT DO CATS DO"), (2, "nobody", "hi there"), (3, "s1", "how to hack this"), (4, "s1", "Two words")],
         "query_id int, session_id string, query string")
-    out = ask_batch(requests, history, index, lambda c: F.lower(c))
+    out = ask_batch(requests, history, index, lambda c, _: F.lower(c), records=history.selectExpr("session_id", "timestamp AS last_active"))
     rows = {r.query_id: r for r in out.collect()}
     assert len(rows) == 4
     assert (rows[1].status, rows[1].effective_query, rows[1].rewritten) == ("success", "what do cats do", True)
@@ -208,6 +208,14 @@ def test_plugged_in_embedding(spark):
     assert [r.embedding for r in df.collect()] == [[2.0, 1.0], [0.0, 1.0]]
 
 
+def test_text_index_with_a_plugged_in_embedding(spark):
+    docs = spark.createDataFrame([(1, "aaa"), (2, "abb"), (3, "bbb")], "id int, content string")
+    count = embedding_udf(lambda: (lambda texts: [[float(t.count("a")), float(t.count("b"))] for t in texts]))
+    asked = spark.createDataFrame([("q", "bab"), ("r", "aa")], "query_id string, query string")
+    hits = P.build_text_index(docs, "id", "content", embedder=count).search(asked, "query_id", "query", 1)
+    assert {(r.query_id, r.document_id) for r in hits.collect()} == {("q", "2"), ("r", "1")}
+
+
 def test_functions_from_sql(spark):
     register_functions(spark, load_model=lambda: (lambda texts: [[float(len(t))] for t in texts]))
     row = spark.sql("SELECT embed_text('abc') AS v, ask('which line', 's', 'a line\nwhich line is it') AS a").first()
@@ -222,8 +230,47 @@ def test_passage_truth_against_brute_force(spark):
     passages = spark.createDataFrame([("p", "one two three four five"), ("q", "two three four"), ("r", "one two\nthree"), ("s", "two three fo")], "p string, t string")
     want = {(p.p, d.d) for p in passages.collect() for d in docs.collect() if p.t in d.t}
     assert {(r.query_id, r.doc_id) for r in P.passage_truth(docs, passages, "d", "t", "p", "t").collect()} == want
-    with pytest.raises(Exception, match="three words"):
-        P.passage_truth(docs, spark.createDataFrame([("p", "two three")], "p string, t string"), "d", "t", "p", "t").collect()
+
+
+def test_passage_truth_with_short_passages(spark):
+    docs = spark.createDataFrame([(1, "two three"), (2, "xtwo threex four"), (3, "Zwölf\u4e2d\u6587\u5b57"), (4, ""), (5, None)], "d int, t string")
+    passages = spark.createDataFrame([("a", "two three"), ("b", "o"), ("c", ""), ("d", None), ("e", "\u4e2d\u6587"), ("f", "two three four"),
+                                      ("g", "absent words"), ("h", " ")], "p string, t string")
+    want = {(p.p, d.d) for p in passages.collect() for d in docs.collect() if None not in (p.t, d.t) and p.t in d.t}
+    assert {(r.query_id, r.doc_id) for r in P.passage_truth(docs, passages, "d", "t", "p", "t").collect()} == want
+    assert P.passage_truth(docs, passages.limit(0), "d", "t", "p", "t").count() == 0
+
+
+def test_session_path_rewrites_once_and_screens_the_original(spark, tmp_path):
+    from docquery.operators.rewrite import rewriter_udf
+
+    docs = spark.createDataFrame([(1, "Spark runs jobs.", "On Spark"), (2, "Cats sleep all day.", None)], "id int, content string, title string")
+    index = P.build_text_index(docs, "id", "content", title_col="title")
+    history = make_logs(spark, [("s1", 0), ("s2", 100)])
+    requests = spark.createDataFrame(
+        [(1, "s1", "my ssn 123-45-6789 what do cats do"), (2, "new", "the document on spark jobs"), (3, "s2", "please fail this one"),
+         (4, "s2", "what do cats do"), (5, "s2", None), (6, None, "no session at all")], "query_id int, session_id string, query string")
+    calls = tmp_path / "calls"
+
+    def model(query, context):
+        with open(calls, "a") as f:
+            f.write(f"{query}|{len(context)}\n")
+        if "fail" in query:
+            raise ValueError("model down")
+        return query.replace("123-45-6789", "")
+
+    udf = rewriter_udf(model)
+    out = ask_batch(requests, history, index, lambda q, c: udf(q, c))
+    rows = {r.query_id: r for r in out.collect()}
+    assert sorted(x.split("|")[0] for x in calls.read_text().splitlines()) == sorted(
+        ["my ssn 123-45-6789 what do cats do", "the document on spark jobs", "please fail this one", "what do cats do"])
+    assert rows[1].status == "success" and "sleep" in rows[1].response and "sleep" not in rows[1].safe_response
+    assert rows[2].status == "success" and rows[2].sources.startswith("\n\nSources:\n- 1: On Spark\n")
+    assert (rows[3].rewritten, rows[3].effective_query, rows[3].rewrite_error) == (False, "please fail this one", "model down")
+    assert rows[4].rewritten and rows[5].status == "success" and rows[6].error == "SESSION_NOT_FOUND"
+    records = history.selectExpr("session_id", "timestamp AS last_active")
+    late = ask_batch(requests, history, index, records=records, as_of=at(100.5))
+    assert {r.query_id: r.error for r in late.collect() if r.error} == {k: "SESSION_NOT_FOUND" for k in (1, 2, 6)}
 
 
 def test_text_files(spark, tmp_path):
