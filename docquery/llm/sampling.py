@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+TEAMS = 64
 
 def bounded(df: DataFrame, rows: int, by: str | None = None, key: str = "doc_id") -> DataFrame:
     """At most ``rows`` rows (for each value of ``by``), those whose id has the smallest hash.
@@ -17,8 +18,11 @@ def bounded(df: DataFrame, rows: int, by: str | None = None, key: str = "doc_id"
     if by is None:
         cut = ranked.orderBy("__h").limit(rows).agg(F.max("__h")).first()[0]
         return df.where(F.col(key).isNotNull() & (order <= F.lit(cut)))
-    near = ranked.where("__g IS NOT NULL").withColumn(
-        "__n", F.row_number().over(Window.partitionBy("__g").orderBy("__h"))).where(F.col("__n") <= rows)
+    # first within teams of input splits: a group's last window then meets at most TEAMS * rows ids, whatever the splits
+    near = ranked.where("__g IS NOT NULL").withColumn("__team", F.spark_partition_id() % TEAMS)
+    for keys in (["__g", "__team"], ["__g"]):
+        near = near.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("__h"))).where(
+            F.col("__n") <= rows)
     cuts = near.groupBy("__g").agg(F.max("__h").alias("__cut"))
     # one row for each group, as bounded as the groups that a model is made for
     return df.join(cuts, (F.col(by) == F.col("__g")) & (order <= F.col("__cut"))).drop("__g", "__cut")
