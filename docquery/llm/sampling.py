@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 TEAMS = 64
 
+
 def bounded(df: DataFrame, rows: int, by: str | None = None, key: str = "doc_id") -> DataFrame:
     """At most ``rows`` rows (for each value of ``by``), those whose id has the smallest hash.
 
@@ -24,8 +25,8 @@ def bounded(df: DataFrame, rows: int, by: str | None = None, key: str = "doc_id"
         near = near.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("__h"))).where(
             F.col("__n") <= rows)
     cuts = near.groupBy("__g").agg(F.max("__h").alias("__cut"))
-    # one row for each group, as bounded as the groups that a model is made for
-    return df.join(cuts, (F.col(by) == F.col("__g")) & (order <= F.col("__cut"))).drop("__g", "__cut")
+    # one row for each group, as bounded as the groups that a model is made for; the table itself is not shuffled
+    return df.join(F.broadcast(cuts), (F.col(by) == F.col("__g")) & (order <= F.col("__cut"))).drop("__g", "__cut")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: Column, rows: int) -> DataFrame:
