@@ -83,6 +83,26 @@ def flat_map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., d
     return small_batches(df.select(*columns)).mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, make: Callable[[], Callable[[bytes | None], bool]]) -> DataFrame:
+    """The rows whose ``text`` (its bytes, or None) passes, all columns as they are: one narrow pass.
+
+    ``make`` is called once in each task and returns the test.
+    """
+    taken = {c.lower() for c in df.columns}
+    name = "__text"
+    while name in taken:
+        name += "_"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = make()
+        for batch in batches:
+            keep = [test(text) for text in batch.column(batch.num_columns - 1).to_pylist()]
+            if any(keep):
+                yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep, pa.bool_()))
+
+    return small_batches(df.select("*", raw_text().alias(name))).mapInArrow(run, df.schema)
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df

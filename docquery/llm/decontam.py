@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from docquery.llm.common import flat_map_rows
+from docquery.llm.common import flat_map_rows, keep_rows
 
 Q = 12  # bytes of a q-gram of normalised text
 EDIT_SHARE = 16  # an item may differ by one edit for each so many of its normalised bytes
@@ -201,10 +201,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, slice_bytes: int = SLICE
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows whose text holds no benchmark item, all columns."""
-    held = contaminated(docs, benchmark).select(
-        F.col("doc_id").alias("__id"), F.col("__row").alias("__own")).distinct()
-    return (docs.withColumn("__row", F.xxhash64("text"))
-            .join(held, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__own")), "left_anti")
-            .drop("__row"))
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """The rows whose text holds no benchmark item (see ``contaminated``), all columns.
+
+    One narrow pass for each slice of the benchmark: no shuffle and no join. Null and empty texts stay.
+    """
+    for part in slices(benchmark, slice_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(part)
+
+        def make(shared=shared):
+            items = Items(shared.value)
+            return lambda text: not text or not items.found(normalise(text))
+
+        docs = keep_rows(docs, make)
+    return docs

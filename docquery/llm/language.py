@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docquery.llm.common import map_rows, small_batches
+from docquery.llm.common import keep_rows, map_rows, small_batches
 from docquery.llm.sampling import bounded
 
 SIZE = 4096  # hashed three-byte n-grams
@@ -149,15 +149,9 @@ def identify(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     """The rows whose language is identified and not rejected, all columns, in one narrow pass."""
     shared = docs.sparkSession.sparkContext.broadcast((model.idf, model.languages, model.centroids, model.floors))
-    kept = docs.select(*docs.columns, F.col("text").cast("binary").alias("__text"))
 
-    def run(batches):
+    def make():
         held = Model(*shared.value)
-        for batch in batches:
-            keep = [not held.predict(text)[2] for text in batch.column(batch.num_columns - 1).to_pylist()]
-            if any(keep):
-                import pyarrow as pa
-
-                yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep, pa.bool_()))
+        return lambda text: not held.predict(text)[2]
 
-    return small_batches(kept).mapInArrow(run, docs.schema)
+    return keep_rows(docs, make)

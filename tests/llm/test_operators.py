@@ -281,6 +281,12 @@ def test_decontamination_within_budget(spark):
         found = {(r.doc_id, r.item_id) for r in decontam.contaminated(
             spark.createDataFrame(rows, "doc_id long, text string"), bench, size).collect()}
         assert found == {(k, k % 20) for k in range(60)} | {(101, 50)}
+        odd = spark.createDataFrame(rows + [(5, "clean"), (5, "clean"), (None, "a tiny one"), (None, None), (7, "")], "doc_id long, text string")
+        kept = decontam.drop_contaminated(odd.withColumn("__text", F.lit(1)), bench, size)
+        assert kept.columns == ["doc_id", "text", "__text"]
+        assert sorted((str(r.doc_id), r.text) for r in kept.collect() if r.text is not None and r.doc_id not in (100, 102)) == [
+            ("5", "clean"), ("5", "clean"), ("7", "")]
+        assert kept.count() == 6
 
 
 def test_odd_rows(odd, spark):
