@@ -23,7 +23,7 @@ CHUNK = 1 << 18  # windows of a text handled at once
 GROUP = 8 << 20  # bytes of text whose runs are pre-aggregated in a task
 GROUP_ENTRIES = 400_000  # and the most entries
 NO_ID = -(1 << 63)
-# A row's place: 15 bits of text hash (rows that share a doc_id), 31 bits of start, 16 of length, 1 of self-repeat.
+# A run's place: 31 bits of start, 16 of length, 1 of self-repeat. Its text is named by doc and row (the text's hash).
 LENGTH_BITS, START_BITS = 16, 31
 
 
@@ -86,13 +86,13 @@ def runs(data: bytes, hashes: Hashes, length: int = LENGTH, gram: int = GRAM):
         yield name.view(np.int64), content.view(np.int64), starts + low, counts, left != right
 
 
-def _place(row: int, starts: np.ndarray, counts: np.ndarray, again: np.ndarray) -> np.ndarray:
-    return ((np.int64(row) << START_BITS | starts) << LENGTH_BITS | counts) << 1 | again
+def _place(starts: np.ndarray, counts: np.ndarray, again: np.ndarray) -> np.ndarray:
+    return (starts << LENGTH_BITS | counts) << 1 | again
 
 
-def _repeats(keys: list[np.ndarray], doc: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Which entries have an equal key at an earlier place among these."""
-    order = np.lexsort((place, doc, *keys[::-1]))
+def _repeats(keys: list[np.ndarray], *place: np.ndarray) -> np.ndarray:
+    """Which entries have an equal key at an earlier place (columns, most significant first) among these."""
+    order = np.lexsort((*place[::-1], *keys[::-1]))
     same = np.ones(len(order) - 1, bool)
     for key in keys:
         ordered = key[order]
@@ -102,7 +102,8 @@ def _repeats(keys: list[np.ndarray], doc: np.ndarray, place: np.ndarray) -> np.n
     return out
 
 
-ENTRIES = "h1 long, h2 long, doc long, place long, later boolean"
+ENTRIES = "h1 long, h2 long, doc long, row long, place long, later boolean"
+NAMES = ["h1", "h2", "doc", "row", "place", "later"]
 
 
 def _entries(rows: DataFrame, find) -> DataFrame:
@@ -118,15 +119,14 @@ def _entries(rows: DataFrame, find) -> DataFrame:
         hashes, held, size, count = Hashes(), [], 0, 0
 
         def flush():
-            h1, h2, doc, place = (np.concatenate(c) for c in zip(*held))
-            later = _repeats([h1, h2], doc, place)
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (h1, h2, doc, place, later)],
-                                              names=["h1", "h2", "doc", "place", "later"])
+            h1, h2, doc, row, place = (np.concatenate(c) for c in zip(*held))
+            later = _repeats([h1, h2], doc, row, place)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (h1, h2, doc, row, place, later)], names=NAMES)
 
         for batch in batches:
             for values in zip(*(c.to_pylist() for c in batch.columns)):
-                for h1, h2, place in find(hashes, *values[1:]):
-                    held.append((h1, h2, np.full(len(h1), values[0]), place))
+                for h1, h2, place in find(hashes, *values[2:]):
+                    held.append((h1, h2, *(np.full(len(h1), v, np.int64) for v in values[:2]), place))
                     count += len(h1)
                     if count >= GROUP_ENTRIES:
                         yield flush()
@@ -146,8 +146,8 @@ def _ranked(entries: DataFrame) -> DataFrame:
 
     Entries already known to repeat an earlier one need no bucket: they are dealt out by their own place.
     """
-    bucket = F.when(F.col("later"), F.xxhash64("doc", "place")).otherwise(F.col("h1"))
-    same = Window.partitionBy("bucket", "h2").orderBy("doc", "place")
+    bucket = F.when(F.col("later"), F.xxhash64("doc", "row", "place")).otherwise(F.col("h1"))
+    same = Window.partitionBy("bucket", "h2").orderBy("doc", "row", "place")
     return (entries.withColumn("bucket", bucket).repartition("bucket").withColumn("nth", F.row_number().over(same))
             .withColumn("covered", F.col("later") | (F.col("nth") > 1)))
 
@@ -157,15 +157,14 @@ def _settled(entries: DataFrame) -> DataFrame:
     whole = Window.partitionBy("bucket")
     return (_ranked(entries)
             .withColumn("mixed", F.min("h2").over(whole) != F.max("h2").over(whole))
-            .select("doc", "place", "covered", (~F.col("covered") & (F.col("mixed") | (F.col("place") % 2 != 0)))
+            .select("doc", "row", "place", "covered", (~F.col("covered") & (F.col("mixed") | (F.col("place") % 2 != 0)))
                     .alias("contested"))
             .where("covered OR contested"))
 
 
 def _by_text(places: DataFrame) -> DataFrame:
     """One row for each text with its places (at most as many as it has bytes)."""
-    return (places.groupBy("doc", F.shiftright("place", START_BITS + LENGTH_BITS + 1).alias("row"))
-            .agg(F.collect_list("place").alias("places")))
+    return places.groupBy("doc", "row").agg(F.collect_list("place").alias("places"))
 
 
 def _joined(texts: DataFrame, places: DataFrame, how: str) -> DataFrame:
@@ -193,14 +192,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """
     kind = dict(docs.dtypes)["doc_id"]
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"),
-                        F.shiftrightunsigned(F.xxhash64("text"), 49).alias("row"),
+                        F.xxhash64("text").alias("row"),
                         F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
 
-    def of_text(hashes, row, text):
+    def of_text(hashes, text):
         for name, content, starts, counts, again in runs(text, hashes, length, gram):
-            yield name, content, _place(row, starts, counts, again)
+            yield name, content, _place(starts, counts, again)
 
-    def of_windows(hashes, row, text, places):
+    def of_windows(hashes, text, places):
         data = np.frombuffer(text, np.uint8)
         starts, ends = _spans(np.array(places), length)
         for first, end in zip(starts.tolist(), ends.tolist()):
@@ -211,13 +210,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             name = hashes.of(one, grams, grams + gram, 0).min()  # of the run, as all its windows share it
             yield (np.full(len(at), name).view(np.int64),
                    hashes.of(hashes.sums(part, 1), at, at + length, 1).view(np.int64),
-                   _place(row, at + first, np.ones(len(at), np.int64), np.zeros(len(at), np.int64)))
+                   _place(at + first, np.ones(len(at), np.int64), np.zeros(len(at), np.int64)))
 
     settled = materialise(_settled(_entries(texts, of_text)), "runs")
-    asked = settled.where("contested").select("doc", "place")
+    asked = settled.where("contested").select("doc", "row", "place")
     distinct = _joined(texts, asked, "inner").select("doc", "row", "text", "places")
     repeated = _ranked(_entries(distinct, of_windows)).where("covered")
-    covered = settled.where("covered").select("doc", "place").union(repeated.select("doc", "place"))
+    covered = settled.where("covered").select("doc", "row", "place").union(
+        repeated.select("doc", "row", "place"))
     marked = _joined(texts, covered, "left").select("doc", "text", "places")
 
     def make():

@@ -340,3 +340,18 @@ def test_pipeline(spark, sf):
     assert out.columns[:2] == ["doc_id", "n_tokens"] and 0 < out.count() <= docs.count()
     kept = corpus_pipeline.dedup_lines(spark, docs, sf)
     assert kept.columns == docs.columns and kept.count() == docs.count()
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_suffix_many_texts_under_one_id(spark, doc_id):
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    shared = noise(120)
+    rows = [(doc_id, "A" + noise(rng.randint(0, 50)) + "-" + shared + "." + noise(rng.randint(0, 300))) for _ in range(600)]
+    rows = [(i, t.replace("-", f"<{k}>").replace(".", f"[{k}]")) for k, (i, t) in enumerate(rows)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5),
+                                      100, suffix_dedup.DIGESTS, suffix_dedup.digests).collect()
+    # only the first text keeps the shared string; neighbouring bytes equal by chance go with it
+    assert sorted(r.n_spans for r in got) == [0] + [1] * 599
+    removed = sorted(r.n_removed for r in got)
+    assert removed[0] == 0 and removed[1] == 122 and removed[-1] <= 128
