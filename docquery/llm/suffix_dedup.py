@@ -90,16 +90,20 @@ def _place(starts: np.ndarray, counts: np.ndarray, again: np.ndarray) -> np.ndar
     return (starts << LENGTH_BITS | counts) << 1 | again
 
 
-def _repeats(keys: list[np.ndarray], *place: np.ndarray) -> np.ndarray:
-    """Which entries have an equal key at an earlier place (columns, most significant first) among these."""
+def _repeats(keys: list[np.ndarray], *place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries without copies (equal key and place: fully repeated rows), and which of them have an equal key at
+    an earlier place (columns, most significant first) among these."""
+
+    def as_before(columns, order):
+        same = np.ones(len(order) - 1, bool)
+        for column in columns:
+            ordered = column[order]
+            same &= ordered[1:] == ordered[:-1]
+        return np.append(False, same)
+
     order = np.lexsort((*place[::-1], *keys[::-1]))
-    same = np.ones(len(order) - 1, bool)
-    for key in keys:
-        ordered = key[order]
-        same &= ordered[1:] == ordered[:-1]
-    out = np.zeros(len(order), bool)
-    out[order[1:]] = same
-    return out
+    order = order[~as_before((*keys, *place), order)]
+    return order, as_before(keys, order)
 
 
 ENTRIES = "h1 long, h2 long, doc long, row long, place long, later boolean"
@@ -120,8 +124,9 @@ def _entries(rows: DataFrame, find) -> DataFrame:
 
         def flush():
             h1, h2, doc, row, place = (np.concatenate(c) for c in zip(*held))
-            later = _repeats([h1, h2], doc, row, place)
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (h1, h2, doc, row, place, later)], names=NAMES)
+            kept, later = _repeats([h1, h2], doc, row, place)
+            return pa.RecordBatch.from_arrays(
+                [*(pa.array(c[kept]) for c in (h1, h2, doc, row, place)), pa.array(later)], names=NAMES)
 
         for batch in batches:
             for values in zip(*(c.to_pylist() for c in batch.columns)):
@@ -144,11 +149,12 @@ def _entries(rows: DataFrame, find) -> DataFrame:
 def _ranked(entries: DataFrame) -> DataFrame:
     """A bucket's entries in one place, sorted by content and place; equal ones numbered (streamed, with spill).
 
+    Copies of an entry (fully repeated rows, met in different tasks) have one number: none is earlier than another.
     Entries already known to repeat an earlier one need no bucket: they are dealt out by their own place.
     """
     bucket = F.when(F.col("later"), F.xxhash64("doc", "row", "place")).otherwise(F.col("h1"))
     same = Window.partitionBy("bucket", "h2").orderBy("doc", "row", "place")
-    return (entries.withColumn("bucket", bucket).repartition("bucket").withColumn("nth", F.row_number().over(same))
+    return (entries.withColumn("bucket", bucket).repartition("bucket").withColumn("nth", F.dense_rank().over(same))
             .withColumn("covered", F.col("later") | (F.col("nth") > 1)))
 
 
@@ -164,7 +170,7 @@ def _settled(entries: DataFrame) -> DataFrame:
 
 def _by_text(places: DataFrame) -> DataFrame:
     """One row for each text with its places (at most as many as it has bytes)."""
-    return places.groupBy("doc", "row").agg(F.collect_list("place").alias("places"))
+    return places.groupBy("doc", "row").agg(F.collect_set("place").alias("places"))
 
 
 def _joined(texts: DataFrame, places: DataFrame, how: str) -> DataFrame:

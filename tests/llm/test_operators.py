@@ -355,3 +355,27 @@ def test_suffix_many_texts_under_one_id(spark, doc_id):
     assert sorted(r.n_spans for r in got) == [0] + [1] * 599
     removed = sorted(r.n_removed for r in got)
     assert removed[0] == 0 and removed[1] == 122 and removed[-1] <= 128
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_suffix_fully_repeated_rows(spark, parts):
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    alone, twice, inner = noise(300), noise(150), noise(130)
+    # the row with id 1 stands four times; its text repeats a string of its own, and a later row repeats its end
+    again = "<" + inner + ">" + twice + "(" + inner + ")"
+    rows = [(1, again)] * 4 + [(2, alone)] * 3 + [(None, "n" + noise(200))] * 2 + [(3, "own words " + twice)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = {}
+    for r in suffix_dedup.repeated_spans(frame).collect():
+        got.setdefault(r.doc_id, []).append([(s.first, s.end) for s in r.spans])
+    second = len(inner) + 2 + len(twice) + 1
+    assert got == {1: [[(second, second + len(inner))]] * 4, 2: [[]] * 3, None: [[]] * 2, 3: [[(10, 10 + len(twice))]]}
+
+
+def test_suffix_repeated_row_of_the_odd_table(odd):
+    spans = [(r.text, [tuple(s) for s in r.spans]) for r in suffix_dedup.repeated_spans(odd).collect() if r.doc_id == 4]
+    # rows without doc_id come first, so the shared lines repeat; the words of the row itself do not
+    text = next(t for t, _ in spans if t.startswith(b"A shared"))
+    cut = len(text) - len(b"own words here")
+    assert sorted(s for t, s in spans if t == text) == [[(0, cut)]] * 2
