@@ -5,7 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from docquery.llm.common import map_rows
 from docquery.llm.components import components
@@ -15,23 +15,29 @@ BITS = 64
 PIECE = 1 << 16  # shingles whose bits are summed at once
 
 
-def fingerprint(text: bytes, words: int, seed: int = 42) -> int:
-    """A bit is set if over half of the shingles' XXH64 values have it; no word: zero."""
+def shingle_hashes(text: bytes, words: int, seed: int = 42):
+    """The shingles' XXH64 values in order, with repeats, in pieces; a text of fewer words is one shingle, no word: none."""
     from xxhash import xxh64_intdigest
 
     tokens = text.lower().split()  # bytes: A-Z and ASCII white space only
     if not tokens:
-        return 0
+        return
     shingles = max(1, len(tokens) - words + 1)
     width = min(words, len(tokens))
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
     starts = np.concatenate([[0], ends[:-1]])
-    votes = np.zeros(BITS, np.int64)
     for low in range(0, shingles, PIECE):
         high = min(low + PIECE, shingles)
-        hashes = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(
+        yield np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(
             starts[low:high].tolist(), (ends[low + width - 1:high + width - 1] - 1).tolist())], np.uint64)
+
+
+def fingerprint(text: bytes, words: int, seed: int = 42) -> int:
+    """A bit is set if over half of the shingles' XXH64 values have it; no word: zero."""
+    votes, shingles = np.zeros(BITS, np.int64), 0
+    for hashes in shingle_hashes(text, words, seed):
+        shingles += len(hashes)
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         votes += bits.sum(axis=0, dtype=np.uint32)
     return int(np.packbits(votes * 2 > shingles, bitorder="little").view(np.int64)[0])
@@ -99,7 +105,10 @@ def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, words: int = 5, radius: int = 3) -> DataFrame:
-    """``doc_id, __row, fp, component_id``: the smallest doc_id that links, over any number of steps, lead to.
+    """``doc_id, __row, fp, component_id, root``: the smallest doc_id that links, over any number of steps, lead to.
+
+    ``root`` names the group itself (its smallest fingerprint): groups that hold texts of one doc_id share its
+    ``component_id`` and differ by ``root``.
 
     Fingerprints are taken over whole texts: lower-cased A-Z, ASCII white space, shingles of ``words`` words with
     their repeats; a shorter text is one shingle, a text without words (null too) has fingerprint zero. Copies share
@@ -113,8 +122,8 @@ def near_groups(docs: DataFrame, words: int = 5, radius: int = 3) -> DataFrame:
     named = firsts.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     groups = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = named.join(groups, "root").select("fp", "component_id")
-    return stored.join(by_fp, "fp").select("doc_id", "__row", "fp", "component_id")
+    by_fp = named.join(groups, "root").select("fp", "component_id", "root")
+    return stored.join(by_fp, "fp").select("doc_id", "__row", "fp", "component_id", "root")
 
 
 def keep_first(docs: DataFrame, words: int = 5, radius: int = 3) -> DataFrame:
@@ -122,17 +131,19 @@ def keep_first(docs: DataFrame, words: int = 5, radius: int = 3) -> DataFrame:
 
     Fully repeated rows count as copies: one stays. Rows without doc_id stay only where no other row of the group has one.
     """
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
-    groups = near_groups(docs, words, radius)
-    # a group whose id is null consists of rows without doc_id: their fingerprints keep those groups apart
-    kept = (groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("apart"))
-            .agg(F.min(order).alias("k"))
-            .select(F.col("k.doc_id").alias("__id"), F.col("k.__row").alias("__own")))
-    found = docs.withColumn("__row", F.xxhash64("text")).join(
-        kept.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__own")),
-        "left_semi")
-    from pyspark.sql import Window
-
-    alike = Window.partitionBy("doc_id", "__row").orderBy(F.lit(0))
+    return first_rows(docs, near_groups(docs, words, radius).groupBy("root"))
+
+
+def first_rows(docs: DataFrame, groups) -> DataFrame:
+    """Of each group of (doc_id, __row) its first row: smallest doc_id, rows without one last, then by text hash."""
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
+    return rows_of(docs, groups.agg(first.alias("k")).select(F.xxhash64("k.doc_id", "k.__row").alias("__key")))
+
+
+def rows_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose hash of doc_id and text hash is a ``__key`` of the table, one of each; texts are shuffled once."""
+    found = docs.withColumn("__key", F.xxhash64("doc_id", F.xxhash64("text"))).join(
+        keys.hint("shuffle_hash"), "__key", "left_semi")
+    alike = Window.partitionBy("__key").orderBy(F.lit(0))
     return (found.withColumn("__copy", F.row_number().over(alike)).where("__copy = 1")
             .select(*docs.columns))

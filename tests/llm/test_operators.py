@@ -379,3 +379,15 @@ def test_suffix_repeated_row_of_the_odd_table(odd):
     text = next(t for t, _ in spans if t.startswith(b"A shared"))
     cut = len(text) - len(b"own words here")
     assert sorted(s for t, s in spans if t == text) == [[(0, cut)]] * 2
+
+
+def test_keep_first_tells_groups_of_one_id_apart(odd, spark):
+    kept = sorted((str(r.doc_id), (r.text or "")[:7]) for r in simhash.keep_first(odd).collect())
+    # id 4 has two texts in two groups: both stay, and so does one row of every other group
+    assert [t for i, t in kept if i == "4"] == ["A share", "another"]
+    assert len(kept) == len({r.root for r in simhash.near_groups(odd).collect()})
+    rng = random.Random(3)
+    rows = [(7, " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))) for _ in range(30)]
+    rows += [(100 + k, t) for k, (_, t) in enumerate(rows)]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == sorted(rows[:30])
