@@ -9,8 +9,8 @@ import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from docquery.llm import (collision_search, decontam, language, line_dedup, pieces, quality, simhash, suffix_dedup,
-                          token_files, toxicity)
+from docquery.llm import (collision_search, decontam, language, line_dedup, pieces, quality, shingles, simhash,
+                          suffix_dedup, token_files, toxicity)
 from docquery.llm.components import components
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -391,3 +391,45 @@ def test_keep_first_tells_groups_of_one_id_apart(odd, spark):
     rows += [(100 + k, t) for k, (_, t) in enumerate(rows)]
     got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(tuple(r) for r in got) == sorted(rows[:30])
+
+
+def test_similar_brute(spark):
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(5000)}"
+    rows = []
+    for k in range(40):
+        text = [word() for _ in range(rng.choice([3, 30, 120, 400]))]
+        rows.append(text)
+        for _ in range(3):  # copies of the copy before, 0 to 6 % of the words replaced
+            text = [word() if rng.random() < rng.choice([0, 0.01, 0.02, 0.04, 0.06]) else w for w in text]
+            rows.append(text)
+    rows = [(k, " ".join(t)) for k, t in enumerate(rows)] + [(500, None), (501, " \n"), (0, "one id, another text"), (None, "no id")]
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (((t or "").split()) for _, t in rows)]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    low = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if not either or 10 * both >= 8 * either:
+                low += bool(either) and both < 0.9 * either
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert low > 10
+    want = sorted(rows[k][1] or "" for k in {find(k) for k in range(len(rows))})
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows + rows[:9]], "doc_id long, text string, n int").repartition(5)
+    kept = shingles.keep_first(docs)
+    assert kept.columns == docs.columns and sorted(r.text or "" for r in kept.collect()) == want
+    import corpus_pipeline
+    assert sorted(r.text or "" for r in corpus_pipeline.dedup_near(spark, docs, "").collect()) == want
+
+
+def test_similar_odd_and_empty(odd, nothing):
+    kept = [(r.doc_id, r.text) for r in shingles.keep_first(odd).collect()]
+    assert (1, None) in kept and (4, "another text under the same id") in kept
+    assert len(kept) == len({t for _, t in kept}) and shingles.keep_first(nothing).count() == 0
