@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from docquery.llm.common import flat_map_rows, keep_rows
 
-Q = 12  # bytes of a q-gram of normalised text
-EDIT_SHARE = 16  # an item may differ by one edit for each so many of its normalised bytes
+Q = 8  # bytes of a q-gram of normalised text
+EDIT_SHARE = 10  # an item, or a window of it, may differ by one edit for each so many of its normalised bytes
+WINDOW = 13  # words of an item that count as held by themselves
+SHORT = 12  # items of fewer bytes must occur as they are, as whole words
 SLICE_BYTES = 4 << 20  # normalised benchmark bytes held by a task at once
 TABLE_BITS = 22
 # Letters and digits stay (A-Z lower-cased), all other ASCII characters separate words.
@@ -44,7 +46,16 @@ class Items:
         self.budgets = [edit_budget(len(t)) for t in self.texts]
         values = [grams(t) for t in self.texts]
         lengths = [len(v) for v in values]
-        self.short = [k for k, n in enumerate(lengths) if n == 0]
+        self.short = [k for k, t in enumerate(self.texts) if len(t) < SHORT]
+        values = [v if len(t) >= SHORT else v[:0] for v, t in zip(values, self.texts)]
+        lengths = [len(v) for v in values]
+        self.size = np.array([len(t) for t in self.texts], np.int64)
+        self.budget = np.array(self.budgets, np.int64)
+        self.windows = [windows(t) for t in self.texts]
+        # of an item's windows: the largest budget and length, the fewest q-grams (none: an item without windows)
+        self.wide = np.array([w[2].max() if len(w[0]) else 0 for w in self.windows], np.int64)
+        self.span = np.array([(w[1] - w[0]).max() if len(w[0]) else 0 for w in self.windows], np.int64)
+        self.least = np.array([w[3].min() if len(w[0]) else 0 for w in self.windows], np.int64)
         every = np.concatenate([np.zeros(0, np.uint64), *values])
         item = np.repeat(np.arange(len(rows)), lengths)
         place = np.concatenate([np.zeros(0, np.int64), *[np.arange(n) for n in lengths]])
@@ -64,46 +75,85 @@ class Items:
         place = np.repeat(at, count) + low
         return self.item[entry], place, place - self.place[entry]
 
-    def regions(self, data: bytes) -> list[tuple[int, int, int]]:
-        """(item, first, end) of text regions that hold enough q-grams of an item in one diagonal band.
+    def regions(self, data: bytes) -> tuple[set, set]:
+        """(item, first, end) of text regions that hold enough q-grams of an item in one diagonal band, and
+        (item, window, first, end) of those that hold enough of one of its windows.
 
-        A band is twice as wide as an item's edit budget and starts every budget: an alignment within the budget
-        stays in one of them. Places are cut so that memory doesn't follow the text; an item's hits of
-        neighbouring cuts meet through the longest item's length of overlap.
+        A band is twice as wide as an edit budget and starts every budget: an alignment within the budget stays in
+        one of them. Places are cut so that memory doesn't follow the text; an item's hits of neighbouring cuts meet
+        through the longest item's length of overlap.
         """
-        out = []
+        whole, partly = set(), set()
         longest = max(map(len, self.texts), default=0)
         step = 1 << 20
         for low in range(0, max(len(data) - Q + 1, 0), step):
             item, place, diagonal = self.hits(data, low, min(low + step + 2 * longest, len(data) - Q + 1))
+            # an item with fewer hits in all than any band needs is out
+            need = self.size - Q + 1 - Q * self.budget
+            least = np.where(self.least > 0, np.minimum(need, self.least), need)
+            ok = (np.bincount(item, minlength=len(self.ids)) >= least)[item]
+            item, place, diagonal = item[ok], place[ok], diagonal[ok]
             if not len(item):
                 continue
-            lengths = np.array([len(t) for t in self.texts])[item]
-            budget = np.array(self.budgets)[item]
-            width = budget + 1
-            need = lengths - Q + 1 - Q * budget
             for shift in (0, 1):
-                band = (diagonal + shift * width) // (2 * width)
-                order = np.lexsort((band, item))
-                i, b = item[order], band[order]
-                starts = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (b[1:] != b[:-1])))
-                counts = np.diff(np.append(starts, len(i)))
-                ok = counts >= need[order][starts]
-                for s, n in zip(starts[ok].tolist(), counts[ok].tolist()):
-                    d = diagonal[order[s:s + n]]
-                    k = int(i[s])
-                    out.append((k, int(d.min()) - self.budgets[k], int(d.max()) + len(self.texts[k]) + self.budgets[k]))
-        return out
+                for i, d, _, starts, counts in self._bands(item, diagonal, diagonal, self.budget, shift):
+                    ok = counts >= need[i[starts]]
+                    for s, n in zip(starts[ok].tolist(), counts[ok].tolist()):
+                        k, b = int(i[s]), self.budgets[int(i[s])]
+                        whole.add((k, int(d[s:s + n].min()) - b, int(d[s:s + n].max()) + len(self.texts[k]) + b))
+                some = self.least[item] > 0
+                at = (place - diagonal)[some]
+                for i, d, p, starts, counts in self._bands(item[some], diagonal[some], at, self.wide, shift):
+                    group = np.repeat(np.arange(len(starts)), counts)
+                    # enough hits within the length of the longest window
+                    last = np.arange(len(i)) + self.least[i] - 1
+                    inside = last < len(i)
+                    last = np.minimum(last, len(i) - 1)
+                    dense = inside & (group[last] == group) & (p[last] - p <= self.span[i] - Q)
+                    for g in np.unique(group[dense]).tolist():
+                        s, n, k = int(starts[g]), int(counts[g]), int(i[starts[g]])
+                        begins, ends, _, needs = self.windows[k]
+                        left = np.searchsorted(p[s:s + n], begins)
+                        right = np.searchsorted(p[s:s + n], ends - Q, "right")
+                        lowest, highest, b = int(d[s:s + n].min()), int(d[s:s + n].max()), int(self.wide[k])
+                        for w in np.flatnonzero(right - left >= needs).tolist():
+                            partly.add((k, w, int(begins[w]) + lowest - b, int(ends[w]) + highest + b))
+        return whole, partly
+
+    @staticmethod
+    def _bands(item, diagonal, by, budget, shift):
+        """Items, diagonals and ``by`` sorted by (item, band, ``by``), with starts and counts of the groups."""
+        if len(item):
+            width = budget[item] + 1
+            band = (diagonal + shift * width) // (2 * width)
+            order = np.lexsort((by, band, item))
+            i, b = item[order], band[order]
+            starts = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (b[1:] != b[:-1])))
+            yield i, diagonal[order], by[order], starts, np.diff(np.append(starts, len(i)))
 
     def found(self, data: bytes) -> list[tuple[int, int, int, int]]:
-        """Per item in the text its best place: (item number, edits, first, end) in normalised bytes."""
+        """Per item in the text its best place: (item number, edits, first, end) in normalised bytes.
+
+        The best place of the whole item counts; where that isn't held, the best one of a window.
+        """
         best: dict[int, tuple[int, int, int]] = {}
-        for k, first, end in set(self.regions(data)):
+        whole, partly = self.regions(data)
+        for k, first, end in whole:
             first = max(first, 0)
             got = align(self.texts[k], data[first:end], self.budgets[k])
             if got is not None:
                 place = got[0], first + got[1], first + got[2]
                 best[k] = min(best.get(k, place), place)
+        parts: dict[int, tuple[int, int, int]] = {}
+        for k, w, first, end in partly:
+            if k not in best:
+                first = max(first, 0)
+                begins, ends, budgets, _ = self.windows[k]
+                got = align(self.texts[k][begins[w]:ends[w]], data[first:end], int(budgets[w]))
+                if got is not None:
+                    place = got[0], first + got[1], first + got[2]
+                    parts[k] = min(parts.get(k, place), place)
+        best |= parts
         for k in self.short:
             if self.texts[k]:
                 at = (b" " + data + b" ").find(b" " + self.texts[k] + b" ")
@@ -112,8 +162,49 @@ class Items:
         return [(k, *place) for k, place in sorted(best.items())]
 
 
+def windows(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and end byte, edit budget and needed q-grams of each WINDOW words of an item that has more than those."""
+    lengths = np.array([len(w) for w in text.split()], np.int64)
+    ends = np.cumsum(lengths + 1) - 1
+    begins, ends = (ends - lengths)[:max(0, len(ends) - WINDOW + 1)], ends[WINDOW - 1:]
+    if len(lengths) <= WINDOW:
+        begins = ends = np.zeros(0, np.int64)
+    budgets = np.array([edit_budget(n) for n in (ends - begins).tolist()], np.int64)
+    return begins, ends, budgets, ends - begins - Q + 1 - Q * budgets
+
+
+def distances(item: bytes, text: bytes, anchored: bool = False):
+    """Edits between the item and the best part of the text (anchored: the whole of it) that ends after each byte."""
+    places: dict[int, int] = {}
+    for k, byte in enumerate(item):
+        places[byte] = places.get(byte, 0) | 1 << k
+    every, top = (1 << len(item)) - 1, 1 << len(item) - 1
+    up, down, score = every, 0, len(item)  # bits: the next row costs one more, one less
+    for byte in text:
+        equal = places.get(byte, 0)
+        across = (((equal & up) + up) ^ up) | equal
+        more, less = down | (every & ~(across | up)), up & across
+        score += bool(more & top) - bool(less & top)
+        more, less = more << 1 & every | anchored, less << 1 & every
+        equal |= down
+        up, down = less | (every & ~(equal | more)), more & equal
+        yield score
+
+
 def align(item: bytes, region: bytes, budget: int) -> tuple[int, int, int] | None:
-    """Fewest edits that turn the item into a part of the region, with that part's place; None beyond the budget.
+    """Fewest edits that turn the item into a part of the region, with that part's place; None beyond the budget."""
+    if len(item) > 4096:
+        return align_banded(item, region, budget)
+    edits, end = min(((score, k + 1) for k, score in enumerate(distances(item, region))), default=(budget + 1, 0))
+    if edits > budget:
+        return None
+    tail = region[max(0, end - len(item) - edits):end][::-1]
+    _, length = min((score, k + 1) for k, score in enumerate(distances(item[::-1], tail, True)))
+    return edits, end - length, end
+
+
+def align_banded(item: bytes, region: bytes, budget: int) -> tuple[int, int, int] | None:
+    """The same for long items. Fewest edits that turn the item into a part of the region, with that part's place; None beyond the budget.
 
     Rows of the dynamic programme run along the region, one for each byte of the item, and only over the diagonals
     that the region leaves open: the region is at most four budgets longer than the item.
@@ -167,9 +258,10 @@ def slices(benchmark: DataFrame, slice_bytes: int = SLICE_BYTES):
 def contaminated(docs: DataFrame, benchmark: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """``doc_id, __row, item_id, edits, first_byte, end_byte``: each benchmark item that a text holds, at its best place.
 
-    An item counts as held if a part of the normalised text (see ``normalise``) turns into it within
-    ``edit_budget`` edits; items shorter than a q-gram must occur as whole words. The lemma: such a part shares at least
-    length - q + 1 - q * edits q-grams with it inside one diagonal band, so nothing within the budget is missed. Places
+    An item counts as held if a part of the normalised text (see ``normalise``) turns into it, or into any WINDOW words
+    of it in a row, within ``edit_budget`` edits of what is compared; items of fewer than SHORT bytes must occur as
+    whole words. The lemma: such a part shares at least length - q + 1 - q * edits q-grams with it inside one diagonal
+    band, so nothing within the budget is missed. ``edits`` and places are the window's where only that is held. Places
     are bytes of the normalised text. Null and empty texts hold nothing; empty items are never held; repeated rows
     and repeated items each report. No shuffle: a task holds one slice of at most ``slice_bytes`` of the benchmark
     (a larger benchmark is gone through slice by slice) and one batch of texts.

@@ -433,3 +433,41 @@ def test_similar_odd_and_empty(odd, nothing):
     kept = [(r.doc_id, r.text) for r in shingles.keep_first(odd).collect()]
     assert (1, None) in kept and (4, "another text under the same id") in kept
     assert len(kept) == len({t for _, t in kept}) and shingles.keep_first(nothing).count() == 0
+
+
+def test_decontamination_of_reworded_and_partial_items(spark):
+    rng = random.Random(12)
+    noise = lambda low, high: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(low, high)))
+    words = lambda n: [noise(3, 9) for _ in range(n)]
+    items, rows = [(k, words(rng.randint(30, 60))) for k in range(20)], []
+    for k, item in items:
+        low = rng.randrange(len(item) - 15)
+        reworded = list(item)
+        for at in rng.sample(range(len(item)), round(0.08 * len(item))):
+            reworded[at] = noise(3, 9)
+        rows += [(k, words(50) + reworded + words(50)),  # 8 % of the words replaced
+                 (100 + k, words(50) + item[low:low + 15] + words(50)),  # 15 words quoted
+                 (200 + k, words(50) + item[low:low + 6] + words(50)), (300 + k, words(150))]
+    table = lambda rows, name: spark.createDataFrame([(k, " ".join(t)) for k, t in rows], f"{name} long, text string")
+    found = decontam.contaminated(table(rows, "doc_id"), table(items, "item_id")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(k + more, k) for k in range(20) for more in (0, 100)}
+    assert all(r.edits == 0 for r in found if r.doc_id >= 100)
+    kept = decontam.drop_contaminated(table(rows, "doc_id"), table(items, "item_id"))
+    assert {r.doc_id for r in kept.collect()} == {k + more for k in range(20) for more in (200, 300)}
+
+
+def test_align_brute():
+    rng = random.Random(13)
+    for _ in range(200):
+        item, region = (bytes(rng.choice(b"abc") for _ in range(rng.randint(low, 25))) for low in (1, 1))
+        row = [(0, j) for j in range(len(region) + 1)]  # cost and start for each end
+        for i, byte in enumerate(item):
+            new = [(i + 1, 0)]
+            for j, other in enumerate(region):
+                new.append(min((row[j][0] + (byte != other), row[j][1]), (row[j + 1][0] + 1, row[j + 1][1]), (new[j][0] + 1, new[j][1])))
+            row = new
+        least = min(c for c, _ in row)
+        got = decontam.align(item, region, 25)
+        assert got[0] == least and row[got[2]][0] == least
+        part = region[got[1]:got[2]]
+        assert (list(decontam.distances(item, part, True)) or [len(item)])[-1] == least
