@@ -77,7 +77,7 @@ class Items:
 
     def regions(self, data: bytes) -> tuple[set, set]:
         """(item, first, end) of text regions that hold enough q-grams of an item in one diagonal band, and
-        (item, window, first, end) of those that hold enough of one of its windows.
+        (item, lowest and highest diagonal, windows) of those that hold enough of some of its windows.
 
         A band is twice as wide as an edit budget and starts every budget: an alignment within the budget stays in
         one of them. Places are cut so that memory doesn't follow the text; an item's hits of neighbouring cuts meet
@@ -113,11 +113,12 @@ class Items:
                     for g in np.unique(group[dense]).tolist():
                         s, n, k = int(starts[g]), int(counts[g]), int(i[starts[g]])
                         begins, ends, _, needs = self.windows[k]
-                        left = np.searchsorted(p[s:s + n], begins)
-                        right = np.searchsorted(p[s:s + n], ends - Q, "right")
+                        places = np.unique(p[s:s + n])
+                        left, right = np.searchsorted(places, begins), np.searchsorted(places, ends - Q, "right")
                         lowest, highest, b = int(d[s:s + n].min()), int(d[s:s + n].max()), int(self.wide[k])
-                        for w in np.flatnonzero(right - left >= needs).tolist():
-                            partly.add((k, w, int(begins[w]) + lowest - b, int(ends[w]) + highest + b))
+                        asked = tuple(np.flatnonzero(right - left >= needs).tolist())
+                        if asked:
+                            partly.add((k, lowest - b, highest + b, asked))
         return whole, partly
 
     @staticmethod
@@ -145,14 +146,22 @@ class Items:
                 place = got[0], first + got[1], first + got[2]
                 best[k] = min(best.get(k, place), place)
         parts: dict[int, tuple[int, int, int]] = {}
-        for k, w, first, end in partly:
-            if k not in best:
-                first = max(first, 0)
-                begins, ends, budgets, _ = self.windows[k]
-                got = align(self.texts[k][begins[w]:ends[w]], data[first:end], int(budgets[w]))
-                if got is not None:
-                    place = got[0], first + got[1], first + got[2]
+        for k, lowest, highest, asked in partly:
+            if k in best:
+                continue
+            begins, ends, budgets, _ = self.windows[k]
+            clear = -1
+            for w in asked:
+                if begins[w] < clear:
+                    continue
+                first = max(int(begins[w]) + lowest, 0)
+                edits, start, end = align(self.texts[k][begins[w]:ends[w]], data[first:max(int(ends[w]) + highest, 0)],
+                                          int(budgets[w]), True)
+                if edits <= budgets[w]:
+                    place = edits, first + start, first + end
                     parts[k] = min(parts.get(k, place), place)
+                else:  # a later window has at least as many edits less the bytes between the two beginnings
+                    clear = begins[w] + edits - self.wide[k]
         best |= parts
         for k in self.short:
             if self.texts[k]:
@@ -191,13 +200,16 @@ def distances(item: bytes, text: bytes, anchored: bool = False):
         yield score
 
 
-def align(item: bytes, region: bytes, budget: int) -> tuple[int, int, int] | None:
-    """Fewest edits that turn the item into a part of the region, with that part's place; None beyond the budget."""
+def align(item: bytes, region: bytes, budget: int, beyond: bool = False) -> tuple[int, int, int] | None:
+    """Fewest edits that turn the item into a part of the region, with that part's place; beyond the budget None.
+
+    With ``beyond``, a number of edits that is not too high and above the budget instead of None, without a place.
+    """
     if len(item) > 4096:
-        return align_banded(item, region, budget)
+        return align_banded(item, region, budget) or ((budget + 1, 0, 0) if beyond else None)
     edits, end = min(((score, k + 1) for k, score in enumerate(distances(item, region))), default=(budget + 1, 0))
     if edits > budget:
-        return None
+        return (edits, 0, 0) if beyond else None
     tail = region[max(0, end - len(item) - edits):end][::-1]
     _, length = min((score, k + 1) for k, score in enumerate(distances(item[::-1], tail, True)))
     return edits, end - length, end
