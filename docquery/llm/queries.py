@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from docquery.llm import collision_search, decontam, language, line_dedup, pieces, quality, simhash, suffix_dedup, token_files, toxicity
+from docquery.llm import (codes, collision_search, decontam, language, line_dedup, mixing, pieces, quality, simhash, suffix_dedup,
+                          token_files, toxicity)
 from docquery.llm.common import documents, remainder
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -67,6 +68,16 @@ def op10_decontamination(spark, sf_dir):
     return found.select("doc_id", "item_id", "edits", "first_byte", "end_byte")
 
 
+def op12_vector_codes(spark, sf_dir):
+    coded, books = codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return coded.withColumn("codebooks_sha256", F.sha2(F.lit(books.text), 256))
+
+
+def op13_mixing(spark, sf_dir):
+    taken = mixing.words_taken(mixing.mix(documents(spark, sf_dir)))
+    return taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
 REGISTRY = {
     "op1_simhash": (op1_simhash, None),
     "op2_suffix_dedup": (op2_suffix_dedup, None),
@@ -78,4 +89,6 @@ REGISTRY = {
     "op8_nearest": (op8_nearest, None),
     "op9_toxicity": (op9_toxicity, None),
     "op10_decontamination": (op10_decontamination, None),
+    "op12_vector_codes": (op12_vector_codes, codes.compress_sql()),
+    "op13_mixing": (op13_mixing, None),
 }
