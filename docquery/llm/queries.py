@@ -5,11 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from docquery.llm import (codes, collision_search, decontam, language, line_dedup, mixing, pieces, quality, simhash, suffix_dedup,
-                          token_files, toxicity)
+from docquery.llm import (alignment, codes, collision_search, decontam, language, line_dedup, mixing, pieces, quality, simhash,
+                          suffix_dedup, token_files, toxicity)
 from docquery.llm.common import documents, remainder
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -68,6 +69,10 @@ def op10_decontamination(spark, sf_dir):
     return found.select("doc_id", "item_id", "edits", "first_byte", "end_byte")
 
 
+def op11_alignment(spark, sf_dir):
+    return alignment.link_counts(documents(spark, sf_dir), BYTE_TOKENIZER, PIECE_MODEL)
+
+
 def op12_vector_codes(spark, sf_dir):
     coded, books = codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return coded.withColumn("codebooks_sha256", F.sha2(F.lit(books.text), 256))
@@ -89,6 +94,7 @@ REGISTRY = {
     "op8_nearest": (op8_nearest, None),
     "op9_toxicity": (op9_toxicity, None),
     "op10_decontamination": (op10_decontamination, None),
+    "op11_alignment": (op11_alignment, None),
     "op12_vector_codes": (op12_vector_codes, codes.compress_sql()),
     "op13_mixing": (op13_mixing, None),
 }
