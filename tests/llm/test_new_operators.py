@@ -151,7 +151,8 @@ def test_codes_odd_vectors(spark):
     frame = spark.createDataFrame([(*r, "c", 5) for r in rows], "vec_id long, embedding array<double>, label int, code string, error int")
     out, books = codes.compress(frame)
     got = sorted(map(tuple, out.collect()), key=str)
-    assert [g[0] for g in got] == [1, 1, None] and got[0][2] == 0 and got[2][3] == got[2][2] > 0
+    away = [sum((int(256 * x) - int(e)) ** 2 for x, e in zip(v, books.entries.ravel())) for v in (good, good, good[::-1])]
+    assert [(g[0], g[2], g[3]) for g in got] == [(i, e, s) for i, e, s in zip([1, 1, None], away, [2 * away[0], 2 * away[0], away[2]])]
     assert books.entries.shape == (16, 1, 1)
     decoded = books.decoded(np.zeros((1, 16), np.int64))
     assert decoded.tolist() == [[np.floor(256 * (a + b + a) / 3) for a, b in zip(good, good[::-1])]]
@@ -222,7 +223,7 @@ def test_mixing_takes_what_it_says(spark, sf):
         assert t["size"] == len(words(texts[t.doc_id].text)) and t.taken <= 2 * t["size"]
         assert t.source_size == sizes[names.index(t.source)] and t.target == pytest.approx(float(target[t.source]))
         by_source[t.source] += t.taken
-    assert all(abs(by_source[s] - target[s]) <= mixing.BLOCK_WORDS for s in names)
+    assert all(abs(by_source[s] - target[s]) <= 1.5 * mixing.BLOCK_WORDS for s in names)  # half a block, and a short last one
     # the mix's own texts hold those words, slots are filled without gaps, and counts of a shard vary
     mixed = mixing.mixed_texts(docs, mixture).collect()
     assert sum(len(words(m.text)) for m in mixed) == sum(t.taken for t in taken)
@@ -248,7 +249,7 @@ def test_mixing_odd_rows(odd, nothing, monkeypatch):
     names = sorted({r.source for r in got} - {None}) + [None]
     sizes = [sum(r["size"] for r in got if r.source == s) for s in names]
     for name, target in zip(names, brute_targets(sizes)):
-        assert abs(sum(r.taken for r in got if r.source == name) - target) <= 4
+        assert abs(sum(r.taken for r in got if r.source == name) - target) <= 6
     assert mixing.words_taken(mixing.mix(nothing)).collect() == []
 
 
