@@ -1,4 +1,7 @@
-"""Approximate search: cells that prune the scan of an index table."""
+"""Approximate search: cells, bands and codes that spare most of the multiplications of an exact scan.
+
+Each ``search`` takes ``work``, an accumulator that adds up the pairs of vector and question multiplied in full.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +9,14 @@ from typing import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
-from docquery.operators.search import top_k
+from docquery.operators.search import (SCORE_DIGITS, STRIP, Tile, _ids, _matrix, _unit, best, every, scan, with_vector,
+                                       write_tiles)
+from docquery.session import materialise
 
 
 def _has_length(vector_col: str):
@@ -52,7 +58,8 @@ class IvfIndex:
             unit = centres / np.linalg.norm(centres, axis=1, keepdims=True).clip(1e-12)
             for rows in batches:
                 q = np.stack(rows.to_numpy()).astype(np.float64)
-                gap = -(q @ unit.T) if cosine else ((q[:, None, :] - centres[None]) ** 2).sum(2)
+                # |q - c|^2 without the part that is the same for all centres
+                gap = -(q @ unit.T) if cosine else (centres**2).sum(1) - 2 * (q @ centres.T)
                 yield pd.Series(list(np.argsort(gap, axis=1, kind="stable")[:, :nprobe].astype(np.int32)))
 
         return questions.withColumn("query_cells", nearest("query_vector"))
@@ -66,12 +73,23 @@ class IvfIndex:
         assigned.hint("rebalance", "cell").write.partitionBy("cell").parquet(path)
 
     def search(self, index: DataFrame, questions: DataFrame, k: int, nprobe: int,
-               id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-        probed = self.probes(questions, nprobe)
+               id_col: str = "vec_id", vector_col: str = "embedding", work=None) -> DataFrame:
+        """Questions are written by the cells they probe; a vector is multiplied with its own cell's questions only, and
+        folders of cells that no question probes are not read."""
+        probed = self.probes(with_vector(questions).select("query_id", "query_vector"), nprobe)
+        files = write_tiles(probed.select("query_id", "query_vector", F.explode("query_cells").alias("cell")), "cell")
+        metric = self.metric
+
+        def score(board, tiles, batch):
+            cells = batch.column(2).to_numpy(zero_copy_only=False)
+            vectors, ids = _matrix(batch.column(1)), _ids(batch.column(0))
+            for cell in np.unique(cells).tolist():
+                own = cells == cell
+                every(board, tiles, files.get(cell, []), vectors[own], ids[own], metric)
+
         # at most as many distinct cells as the index has centres
-        cells = [r[0] for r in probed.select(F.explode("query_cells")).distinct().collect()]
-        pruned = index.where(F.col("cell").isin(cells)).withColumn("_cells", F.array("cell"))
-        return top_k(pruned, probed, k, self.metric, id_col, vector_col, cell_col="_cells")
+        pruned = index.where(F.col("cell").isin(sorted(files)))
+        return best(scan(pruned, questions, ["cell"], score, k, id_col, vector_col, work=work), k, metric, id_col)
 
 
 class HyperplaneIndex:
@@ -98,12 +116,166 @@ class HyperplaneIndex:
         vectors.withColumn("band_keys", self.cells(vector_col)).write.parquet(path)
 
     def search(self, vectors: DataFrame, questions: DataFrame, k: int, metric: str = "cosine",
-               id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-        """``vectors`` is the written index, or any vectors: then the keys are computed on the way."""
+               id_col: str = "vec_id", vector_col: str = "embedding", work=None) -> DataFrame:
+        """``vectors`` is the written index, or any vectors: then the keys are computed on the way.
+
+        In each task the band keys of a batch meet those of a tile of questions; only pairs that share one are
+        multiplied, once each.
+        """
         keys = F.col("band_keys") if "band_keys" in vectors.columns else self.cells(vector_col)
-        index = vectors.select(id_col, vector_col, keys.alias("_cells"))
-        probed = questions.withColumn("query_cells", self.cells("query_vector"))
-        return top_k(index, probed, k, metric, id_col, vector_col, cell_col="_cells")
+        index = vectors.where(F.col(vector_col).isNotNull()).select(id_col, vector_col, keys.alias("_keys"))
+        asked = with_vector(questions).select("query_id", "query_vector", self.cells("query_vector").alias("query_keys"))
+        files = write_tiles(asked).get(None, [])
+
+        def score(board, tiles, batch):
+            vectors, ids, own = _matrix(batch.column(1)), _ids(batch.column(0)), _matrix(batch.column(2)).astype(np.int64)
+            for file in files:
+                tile = tiles[file]
+                for low in range(0, len(tile.numbers), STRIP):
+                    some = slice(low, low + STRIP)
+                    row, column = _shared(own, tile.keys[some])
+                    board.pairs += len(row)
+                    board.offer(tile.numbers[some][column], _pair_scores(vectors[row], tile.vectors[some][column], metric), ids[row])
+
+        columns = ("query_id", "query_vector", "query_keys")
+        return best(scan(index, questions, ["_keys"], score, k, id_col, vector_col, columns, work), k, metric, id_col)
+
+
+def _shared(rows: np.ndarray, questions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, question) of all pairs with an equal key in the same band, each once."""
+    found = []
+    for mine, theirs in zip(rows.T, questions.T):  # band by band
+        order = np.argsort(theirs, kind="stable")
+        first = np.searchsorted(theirs[order], mine, "left")
+        count = np.searchsorted(theirs[order], mine, "right") - first
+        row = np.repeat(np.arange(len(mine)), count)
+        entry = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+        found.append(row * len(questions) + order[entry])
+    return np.divmod(np.unique(np.concatenate(found)), max(len(questions), 1))
+
+
+def _pair_scores(vectors: np.ndarray, questions: np.ndarray, metric: str) -> np.ndarray:
+    """Row by row what ``_scores`` has for the pair."""
+    if metric == "l2":
+        return -np.round(np.linalg.norm(vectors - questions, axis=1), SCORE_DIGITS)
+    if metric == "cosine":
+        vectors, questions = _unit(vectors), _unit(questions)
+    return np.round(np.einsum("ij,ij->i", vectors, questions), SCORE_DIGITS)
+
+
+class CompressedIndex:
+    """Product quantisation: a vector is ``parts`` one-byte codes, a sixteenth of its bytes with four components a part.
+
+    A question is compared with codes through tables of its scores with every entry; the best ``shortlist`` vectors are
+    then scored exactly from the vectors themselves.
+    """
+
+    ENTRIES = 256
+
+    def __init__(self, books: np.ndarray, metric: str = "cosine"):
+        self.books, self.metric = books, metric  # parts x entries x components of a part
+
+    @classmethod
+    def fit(cls, vectors: DataFrame, parts: int, vector_col: str = "embedding", id_col: str = "vec_id",
+            metric: str = "cosine", sample: int = 20_000, rounds: int = 10) -> "CompressedIndex":
+        """Codebooks of at most 256 entries, one group of tasks for each part, from a bounded sample: the ``sample``
+        vectors whose ids have the smallest hashes (fewer: all). Each book starts as evenly spaced sample rows."""
+        usable = vectors.where(F.col(vector_col).isNotNull()).select(F.xxhash64(id_col).alias("_h"), F.col(vector_col).alias("_v"))
+        rows = usable.orderBy("_h").limit(sample)
+        unit = metric == "cosine"
+        schema = "part int, entry int, centre array<double>"
+
+        def learn(key, frame):
+            own = np.stack(frame["piece"].to_numpy()).astype(np.float64)
+            centres = own[np.linspace(0, len(own) - 1, min(cls.ENTRIES, len(own))).astype(int)]
+            for _ in range(rounds):
+                near = _nearest_entry(own, centres)
+                count = np.bincount(near, minlength=len(centres))
+                sums = np.stack([np.bincount(near, own[:, j], len(centres)) for j in range(own.shape[1])], axis=1)
+                centres = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centres)
+            return pd.DataFrame({"part": key[0], "entry": np.arange(len(centres)), "centre": list(centres)})
+
+        def cut(batches):
+            for batch in batches:
+                m = _matrix(batch.column(0))
+                m = (_unit(m) if unit else m).reshape(len(m), parts, -1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.tile(np.arange(parts, dtype=np.int32), len(m))), pa.array(list(m.reshape(len(m) * parts, -1)))],
+                    names=["part", "piece"])
+
+        pieces = rows.select("_v").mapInArrow(cut, "part int, piece array<double>")
+        learned = pieces.groupBy("part").applyInPandas(learn, schema).orderBy("part", "entry").collect()
+        if not learned:
+            raise ValueError("no vector to learn from")
+        return cls(np.array([r.centre for r in learned]).reshape(parts, -1, len(learned[0].centre)), metric)
+
+    def encode(self, vector_col: str = "embedding"):
+        """The codes of a vector column, one byte a part."""
+        books, unit = self.books, self.metric == "cosine"
+
+        @F.pandas_udf("binary")
+        def codes(rows: pd.Series) -> pd.Series:
+            m = np.stack(rows.to_numpy()).astype(np.float64)
+            m = (_unit(m) if unit else m).reshape(len(m), len(books), -1)
+            return pd.Series([c.tobytes() for c in np.stack(
+                [_nearest_entry(m[:, p], book) for p, book in enumerate(books)], axis=1).astype(np.uint8)])
+
+        return codes(F.col(vector_col))
+
+    def write(self, vectors: DataFrame, path: str, id_col: str = "vec_id", vector_col: str = "embedding") -> None:
+        """Ids and codes; no shuffle."""
+        vectors.where(F.col(vector_col).isNotNull()).select(id_col, self.encode(vector_col).alias("code")).write.parquet(path)
+
+    def tables(self, questions: np.ndarray) -> np.ndarray:
+        """questions x parts x entries: what an entry adds to a question's score (for l2, minus the squared distance)."""
+        cut = (_unit(questions) if self.metric == "cosine" else questions).reshape(len(questions), len(self.books), -1)
+        products = np.einsum("qpd,ped->qpe", cut, self.books)
+        if self.metric != "l2":
+            return products
+        return 2 * products - (self.books**2).sum(2)[None] - (cut**2).sum(2)[..., None]
+
+    def search(self, codes: DataFrame, vectors: DataFrame, questions: DataFrame, k: int, shortlist: int = 100,
+               id_col: str = "vec_id", vector_col: str = "embedding", work=None) -> DataFrame:
+        """The best k of each question's ``shortlist``. Codes are scanned in place; vectors only meet the short lists."""
+        asked = with_vector(questions).select("query_id", "query_vector")
+        files = write_tiles(asked).get(None, [])
+        index = self
+
+        def rough(board, tiles, batch):
+            own = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            ids = _ids(batch.column(0))
+            for file in files:
+                tile = tiles[file]
+                for low in range(0, len(tile.numbers), 64):
+                    tables = index.tables(tile.vectors[low:low + 64]).transpose(1, 2, 0)
+                    scores = np.zeros((len(own), tables.shape[2]))
+                    for part, table in enumerate(tables):
+                        scores += table[own[:, part]]
+                    board.matrix(Tile(tile.numbers[low:low + 64], tile.vectors[low:low + 64]), scores, ids)
+
+        listed = materialise(best(scan(codes, questions, [], rough, shortlist, id_col, "code"), shortlist, "dot", id_col)
+                             .select("query_id", id_col), "shortlist")
+        met = (vectors.select(id_col, vector_col).join(listed, id_col)
+               .join(asked.select(F.col("query_id").alias("_q"), "query_vector"), F.col("query_id").eqNullSafe(F.col("_q"))))
+        metric = self.metric
+        q_type, v_type = (df.schema[c].dataType.simpleString() for df, c in ((questions, "query_id"), (vectors, id_col)))
+
+        def exact(batches):
+            for batch in batches:
+                if work is not None:
+                    work.add(batch.num_rows)
+                scores = _pair_scores(_matrix(batch.column(2)), _matrix(batch.column(3)), metric)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores)], names=["query_id", id_col, "_s"])
+
+        scored = met.select("query_id", id_col, vector_col, "query_vector").mapInArrow(
+            exact, f"query_id {q_type}, `{id_col}` {v_type}, _s double")
+        return best(scored, k, metric, id_col)
+
+
+def _nearest_entry(rows: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    lengths = (entries**2).sum(1)
+    return np.concatenate([np.zeros(0, np.int64), *[
+        (lengths - 2 * (rows[low:low + 4096] @ entries.T)).argmin(1) for low in range(0, len(rows), 4096)]])
 
 
 def check_dimension(vectors: DataFrame, dimension: int, vector_col: str = "embedding") -> DataFrame:

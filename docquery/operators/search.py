@@ -1,31 +1,31 @@
 """Top-k vector search.
 
-A question batch is small beside the corpus. While it fits a checked bound it is broadcast, the
-corpus is scanned once without a shuffle, and each task keeps only the best k per question; so the
-exchange carries ``partitions x questions x k`` rows whatever the corpus size. Above the bound the
-questions are cut into blocks that meet blocks of the corpus in a co-grouped shuffle.
+The corpus stays where it lies. Questions are written to the shared folder in tiles; each scan task opens the tiles one
+after another, scores its vectors against them and keeps the best k per question, so the exchange carries at most
+``partitions x questions x k`` rows and memory holds one batch of vectors, a bounded store of tiles and those best rows,
+whatever the number of questions. Indexes narrow the tiles that a vector meets (see ``index.py``).
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
+from collections import OrderedDict
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from docquery.functions.windows import top_per_key
-
-# Questions broadcast at once: 4,096 x 1,536 floats are 50 MB in double precision.
-MAX_BROADCAST_QUESTIONS = 4096
-# Hit lists of at most this many rows (query key, row key, score, rank) carry a broadcast hint, so joining
-# texts to them does not shuffle the corpus. Longer ones are joined as the optimizer sees fit.
-MAX_BROADCAST_HITS = 250_000
-# Vectors one co-grouped task may hold.
-VECTORS_PER_BLOCK = 50_000
-# Questions scored at once within a task.
-QUESTION_TILE = 256
+from docquery.session import materialise, scratch_path
+from docquery.sources.shared import read_columns
+
+# Questions of a tile (a file), and how many of them are scored at once.
+TILE_ROWS = 4096
+STRIP = 256
+# Bytes of tiles that a task keeps open.
+TILE_STORE = 128 << 20
+# Rows that wait on a board before they are cut to the best k per question.
+PENDING = 1 << 19
 # Scores are compared after rounding, then ties fall to the smaller key.
 SCORE_DIGITS = 9
 METRICS = ("cosine", "dot", "l2")
@@ -59,47 +59,94 @@ def _scores(vectors: np.ndarray, questions: np.ndarray, metric: str) -> np.ndarr
     return -np.round(np.sqrt(np.maximum(gaps, 0.0)), SCORE_DIGITS)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(scores) > k:
-        floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-        keep = scores >= floor
-        scores, ids = scores[keep], ids[keep]
-    order = np.lexsort((ids, -scores))[:k]
-    return scores[order], ids[order]
+@dataclass
+class Tile:
+    """Some questions: their numbers on the task's board, vectors, and band keys where an index has them."""
+
+    numbers: np.ndarray
+    vectors: np.ndarray
+    keys: np.ndarray | None = None
 
 
 @dataclass
-class _Board:
-    """The best k per question seen so far in one task."""
+class Board:
+    """The best k rows per question seen so far in one task."""
 
     k: int
-    size: int
+    names: dict = field(default_factory=dict)  # question to number
+    pairs: int = 0  # vectors multiplied with questions
 
     def __post_init__(self):
-        self.rows = [None] * self.size
         # the k-th best score so far: a row below it cannot enter
-        self.floor = np.full(self.size, -np.inf)
-
-    def offer(self, j: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        if not len(scores):
-            return
-        scores, ids = _best(scores, ids, self.k)
-        if self.rows[j] is not None:
-            scores = np.concatenate([self.rows[j][0], scores])
-            ids = np.concatenate([self.rows[j][1], ids])
-            scores, ids = _best(scores, ids, self.k)
-        self.rows[j] = (scores, ids)
-        if len(scores) == self.k:
-            self.floor[j] = scores[-1]
-
-    def table(self, question_ids, names, types) -> pa.RecordBatch:
-        filled = [(q, r) for q, r in zip(question_ids, self.rows) if r is not None]
-        qs = [q for q, r in filled for _ in range(len(r[0]))]
-        ids = [i for _, r in filled for i in r[1].tolist()]
-        sc = [s for _, r in filled for s in r[0].tolist()]
+        self.floor = np.full(0, -np.inf)
+        self.rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.pending = 0
+
+    def enrol(self, questions: list) -> np.ndarray:
+        numbers = np.array([self.names.setdefault(q, len(self.names)) for q in questions], np.int64)
+        self.floor = np.append(self.floor, np.full(len(self.names) - len(self.floor), -np.inf))
+        return numbers
+
+    def offer(self, numbers: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        if len(numbers):
+            self.rows.append((numbers, scores, ids))
+            self.pending += len(numbers)
+            if self.pending > PENDING + len(self.names) * self.k:
+                self.cut()
+
+    def cut(self) -> None:
+        if self.pending:
+            numbers, scores, ids = (np.concatenate(c) for c in zip(*self.rows))
+            order = np.lexsort((ids, -scores, numbers))
+            numbers = numbers[order]
+            begins = np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1]))
+            place = np.arange(len(order)) - np.repeat(begins, np.diff(np.append(begins, len(order))))
+            keep = order[place < self.k]
+            self.rows = [(numbers[place < self.k], scores[keep], ids[keep])]
+            last = place == self.k - 1
+            self.floor[numbers[last]] = scores[order[last]]
+        self.pending = 0
+
+    def matrix(self, tile: Tile, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Every vector (row) against every question of the tile (column)."""
+        self.pairs += scores.size
+        bar = self.floor[tile.numbers]
+        crowded = np.flatnonzero((scores >= bar).sum(axis=0) > 8 * self.k)
+        if len(crowded):
+            least = np.partition(scores[:, crowded], len(scores) - self.k, axis=0)[len(scores) - self.k]
+            bar[crowded] = np.maximum(bar[crowded], least)
+        row, column = np.nonzero(scores >= bar)
+        self.offer(tile.numbers[column], scores[row, column], ids[row])
+
+    def table(self, names, types) -> pa.RecordBatch:
+        self.cut()
+        numbers, scores, ids = self.rows[0] if self.rows else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        questions = list(self.names)
         return pa.RecordBatch.from_arrays(
-            [pa.array(qs, types[0]), pa.array(ids, types[1]), pa.array(sc, pa.float64())], names=names
-        )
+            [pa.array([questions[n] for n in numbers.tolist()], types[0]), pa.array(ids.tolist(), types[1]),
+             pa.array(scores, pa.float64())], names=names)
+
+
+class TileStore:
+    """Tiles by file, the last used ones kept up to TILE_STORE bytes."""
+
+    def __init__(self, board: Board, columns: list[str]):
+        self.board, self.columns = board, columns
+        self.kept: OrderedDict[str, tuple[Tile, int]] = OrderedDict()
+        self.bytes = 0
+
+    def __getitem__(self, path: str) -> Tile:
+        if path not in self.kept:
+            table = read_columns(path, self.columns)
+            vectors = _matrix(table["query_vector"])
+            keys = _matrix(table["query_keys"]).astype(np.int64) if "query_keys" in self.columns else None
+            tile = Tile(self.board.enrol(table["query_id"].to_pylist()), vectors, keys)
+            self.kept[path] = tile, vectors.nbytes + (keys.nbytes if keys is not None else 0)
+            self.bytes += self.kept[path][1]
+            while self.bytes > TILE_STORE and len(self.kept) > 1:
+                self.bytes -= self.kept.popitem(last=False)[1][1]
+        self.kept.move_to_end(path)
+        return self.kept[path][0]
 
 
 def _ids(column) -> np.ndarray:
@@ -107,114 +154,75 @@ def _ids(column) -> np.ndarray:
     return values.astype(str) if values.dtype == object else values
 
 
-_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+def with_vector(questions: DataFrame) -> DataFrame:
+    """The questions that can be searched for: those without a vector find nothing."""
+    return questions.where(F.col("query_vector").isNotNull())
 
 
-def question_batch(questions: DataFrame, limit: int = MAX_BROADCAST_QUESTIONS):
-    """The questions as driver rows when there are at most ``limit`` of them, else None."""
-    rows = questions.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
+def write_tiles(questions: DataFrame, cell: str | None = None) -> dict:
+    """Write questions in files of at most TILE_ROWS; returns the files (by cell, or all under None)."""
+    spark = questions.sparkSession
+    path = scratch_path(spark, "questions")
+    writer = questions.hint("rebalance", cell) if cell else questions
+    writer = writer.write.option("maxRecordsPerFile", TILE_ROWS)
+    (writer.partitionBy(cell) if cell else writer).parquet(path)
+    files: dict = {}
+    for file in spark.read.schema(questions.schema).parquet(path).inputFiles():
+        files.setdefault(int(file.rpartition(f"/{cell}=")[2].partition("/")[0]) if cell else None, []).append(file)
+    return files
 
 
 def top_k(vectors: DataFrame, questions: DataFrame, k: int, metric: str = "cosine",
-          id_col: str = "vec_id", vector_col: str = "embedding", cell_col: str | None = None,
-          max_broadcast: int = MAX_BROADCAST_QUESTIONS) -> DataFrame:
+          id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Nearest k vectors per question: (query_id, <id_col>, score, rank), rank 1 = best.
 
-    ``questions`` has query_id, query_vector and, with ``cell_col``, query_cells (array<int>): then
-    only vectors sharing a cell with the question are compared. ``cell_col`` is array<int>.
+    ``questions`` has query_id and query_vector; it is evaluated once, whatever its size. Vectors that are NULL take no
+    part; those of another length than the questions fail the job.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    columns = ["query_id", "query_vector"] + (["query_cells"] if cell_col else [])
-    batch = question_batch(questions.select(*columns), max_broadcast)
-    scored = (
-        _scan(vectors, questions, batch, k, metric, id_col, vector_col, cell_col)
-        if batch is not None
-        else _blocks(vectors, questions.select(*columns), k, metric, id_col, vector_col, cell_col, max_broadcast)
-    )
-    best = top_per_key(scored, ["query_id"], [F.desc("_s"), F.col(id_col)], k)
-    score = -F.col("_s") if metric == "l2" else F.col("_s")
-    hits = best.select("query_id", id_col, score.alias("score"), F.col("rank"))
-    small = batch is not None and len(batch) * k <= MAX_BROADCAST_HITS
-    return hits.hint("broadcast") if small else hits
-
-
-def _score_batch(board, vecs, ids, cells, q_matrix, q_cells, metric):
-    """Score a batch against tiles of questions, so memory holds rows x QUESTION_TILE scores."""
-    if cells is not None:
-        owner = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
-        flat = np.concatenate([np.asarray(c, dtype=np.int64) for c in cells]) if len(owner) else owner
-    for start in range(0, len(q_matrix), QUESTION_TILE):
-        scores = _scores(vecs, q_matrix[start:start + QUESTION_TILE], metric)
-        enters = scores >= board.floor[start:start + scores.shape[1]]
-        for i in np.flatnonzero(enters.any(axis=0)):
-            j = start + i
-            rows = np.flatnonzero(enters[:, i])
-            if cells is not None:
-                rows = np.intersect1d(rows, owner[np.isin(flat, q_cells[j])])
-            board.offer(j, scores[rows, i], ids[rows])
-
-
-def _output_types(vectors, questions, id_col):
-    q_type = questions.schema["query_id"].dataType
-    v_type = vectors.schema[id_col].dataType
-    schema = T.StructType(
-        [T.StructField("query_id", q_type), T.StructField(id_col, v_type), T.StructField("_s", T.DoubleType())]
-    )
-    return schema, (_ARROW[q_type.simpleString()], _ARROW[v_type.simpleString()])
-
-
-def _scan(vectors, questions, batch, k, metric, id_col, vector_col, cell_col):
-    schema, types = _output_types(vectors, questions, id_col)
-    if not batch:
-        return vectors.sparkSession.createDataFrame([], schema)
-    shared = vectors.sparkSession.sparkContext.broadcast(
-        (
-            [r["query_id"] for r in batch],
-            np.array([r["query_vector"] for r in batch], dtype=np.float64),
-            [np.array(r["query_cells"]) for r in batch] if cell_col else None,
-        )
-    )
-    names = schema.fieldNames()
-
-    def scan(batches):
-        question_ids, matrix, q_cells = shared.value
-        board = _Board(k, len(question_ids))
-        for b in batches:
-            if b.num_rows:
-                cells = b.column(2).to_pylist() if cell_col else None
-                _score_batch(board, _matrix(b.column(1)), _ids(b.column(0)), cells, matrix, q_cells, metric)
-        yield board.table(question_ids, names, types)
-
-    cols = [id_col, vector_col] + ([cell_col] if cell_col else [])
-    return vectors.select(*cols).where(F.col(vector_col).isNotNull()).mapInArrow(scan, schema)
-
-
-def _blocks(vectors, questions, k, metric, id_col, vector_col, cell_col, block):
-    """Questions beyond the broadcast bound: every question block meets every vector block once."""
-    schema, types = _output_types(vectors, questions, id_col)
-    names = schema.fieldNames()
-    cols = [id_col, vector_col] + ([cell_col] if cell_col else [])
-    v = vectors.select(*cols).where(F.col(vector_col).isNotNull())
-    n_q = max(math.ceil(questions.count() / block), 1)
-    n_v = max(math.ceil(v.count() / VECTORS_PER_BLOCK), 1)
-    v = v.withColumn("_v", F.pmod(F.xxhash64(id_col), F.lit(n_v))).withColumn(
-        "_q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<bigint>")))
-    q = questions.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn(
-        "_v", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1)).cast("array<bigint>")))
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in zip(names, (*types, pa.float64()))})
-        board = _Board(k, right.num_rows)
-        q_cells = [np.array(c) for c in right["query_cells"].to_pylist()] if cell_col else None
-        cells = left[cell_col].to_pylist() if cell_col else None
-        _score_batch(board, _matrix(left[vector_col]), _ids(left[id_col]), cells,
-                     _matrix(right["query_vector"]), q_cells, metric)
-        return pa.Table.from_batches([board.table(right["query_id"].to_pylist(), names, types)])
-
-    return v.groupBy("_v", "_q").cogroup(q.groupBy("_v", "_q")).applyInArrow(meet, schema)
+    files = write_tiles(with_vector(questions).select("query_id", "query_vector")).get(None, [])
+
+    def score(board, tiles, batch):
+        every(board, tiles, files, _matrix(batch.column(1)), _ids(batch.column(0)), metric)
+
+    return best(scan(vectors, questions, [], score, k, id_col, vector_col), k, metric, id_col)
+
+
+def every(board: Board, tiles: TileStore, files: list[str], vectors: np.ndarray, ids: np.ndarray, metric: str) -> None:
+    for file in files:
+        tile = tiles[file]
+        for low in range(0, len(tile.numbers), STRIP):
+            strip = Tile(tile.numbers[low:low + STRIP], tile.vectors[low:low + STRIP])
+            board.matrix(strip, _scores(vectors, strip.vectors, metric), ids)
+
+
+def scan(vectors: DataFrame, questions: DataFrame, others: list[str], score, k: int, id_col: str, vector_col: str,
+         columns: tuple[str, ...] = ("query_id", "query_vector"), work=None) -> DataFrame:
+    """(query_id, <id_col>, _s): what ``score`` offers to each task's board; ``work`` adds up the pairs it multiplied."""
+    q_type, v_type = questions.schema["query_id"].dataType, vectors.schema[id_col].dataType
+    schema = T.StructType([T.StructField("query_id", q_type), T.StructField(id_col, v_type), T.StructField("_s", T.DoubleType())])
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    types, names = (to_arrow_type(q_type), to_arrow_type(v_type)), schema.fieldNames()
+
+    def run(batches):
+        board = Board(k)
+        tiles = TileStore(board, list(columns))
+        for batch in batches:
+            if batch.num_rows:
+                score(board, tiles, batch)
+        if work is not None:
+            work.add(board.pairs)
+        yield board.table(names, types)
+
+    return vectors.select(id_col, vector_col, *others).where(F.col(vector_col).isNotNull()).mapInArrow(run, schema)
+
+
+def best(scored: DataFrame, k: int, metric: str, id_col: str) -> DataFrame:
+    """The best k of all tasks, with their distance or similarity."""
+    ranked = top_per_key(scored, ["query_id"], [F.desc("_s"), F.col(id_col)], k)
+    return ranked.select("query_id", id_col, (-F.col("_s") if metric == "l2" else F.col("_s")).alias("score"), "rank")
 
 
 def keep_unanswered(questions: DataFrame, hits: DataFrame, id_col: str = "vec_id") -> DataFrame:
@@ -223,5 +231,6 @@ def keep_unanswered(questions: DataFrame, hits: DataFrame, id_col: str = "vec_id
 
 
 def hits_with_documents(hits: DataFrame, docs: DataFrame, key: str) -> DataFrame:
-    """The corpus is scanned once for the needed columns; hits of a bounded batch are broadcast to it."""
-    return docs.join(hits, key)
+    """Hits are written first, so the join knows their real size: where they are few, the corpus is scanned once for the
+    needed columns and not shuffled; where they are many, both sides are dealt by key."""
+    return docs.join(materialise(hits, "hits"), key)

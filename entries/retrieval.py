@@ -9,7 +9,7 @@ from docquery.operators import answering as A, rerank as R, rewrite, search
 from docquery.operators.chunking import chunk_documents
 from docquery.operators.embedding import embed_tfidf, fit_tfidf
 from docquery.operators.guardrails import INPUT_MESSAGES, Policy
-from docquery.operators.index import HyperplaneIndex, IvfIndex, check_dimension
+from docquery.operators.index import CompressedIndex, HyperplaneIndex, IvfIndex, check_dimension
 from docquery.plans import retrieval as P
 from docquery.plans.ask import ask_batch, log_rows
 from docquery.session import materialise, scratch_path
@@ -85,32 +85,67 @@ def _(spark, sf):
     return search.hits_with_documents(hits, docs, "doc_id").select("query_id", "rank", "doc_id", "source", "lang")
 
 
-@register("knn_ivf")
-def _(spark, sf):
-    """Index table laid out by cell, then a probe that reads eight of sixteen cells per question."""
+def ivf(spark, sf, asked, work=None):
+    """Index table laid out by cell, then a probe of eight of sixteen cells per question."""
     vectors = load(spark, sf, "embeddings")
     index = IvfIndex.fit(vectors, 16)
     path = scratch_path(spark, "ivf")
     index.write(vectors, path)
-    return index.search(spark.read.parquet(path), questions(spark, sf), 5, nprobe=8)
+    return index.search(spark.read.parquet(path), asked, 5, nprobe=8, work=work)
 
 
-@register("knn_lsh")
-def _(spark, sf):
+def lsh(spark, sf, asked, work=None):
     """Index table with band keys; vectors sharing a band with a question are compared."""
-    index = HyperplaneIndex(64, bands=24, bits=5)
+    index = HyperplaneIndex(64, bands=24, bits=6)
     path = scratch_path(spark, "lsh")
     index.write(load(spark, sf, "embeddings"), path)
-    return index.search(spark.read.parquet(path), questions(spark, sf), 5)
+    return index.search(spark.read.parquet(path), asked, 5, work=work)
+
+
+def pq(spark, sf, asked, work=None):
+    """Codes of sixteen bytes a vector; the best hundred by codes are scored exactly."""
+    vectors = load(spark, sf, "embeddings")
+    index = CompressedIndex.fit(vectors, 16)
+    path = scratch_path(spark, "codes")
+    index.write(vectors, path)
+    return index.search(spark.read.parquet(path), vectors, asked, 5, work=work)
+
+
+for _name, _find in (("ivf", ivf), ("lsh", lsh), ("pq", pq)):
+    register(f"knn_{_name}")(lambda spark, sf, find=_find: find(spark, sf, questions(spark, sf)))
+
+
+def reworded(spark, sf):
+    """Every twentieth vector as a question, moved a little by hashes of its id and component: its own vector and what
+    lies around it are to be found."""
+    shift = lambda x, i: x + (F.pmod(F.xxhash64("vec_id", i), F.lit(1000)) / 1000 - 0.5) * 0.1
+    return load(spark, sf, "embeddings").where("vec_id % 20 = 0").select(
+        F.col("vec_id").alias("query_id"), F.transform(F.col("embedding").cast("array<double>"), shift).alias("query_vector"))
+
+
+# What each index is held to: every question has five hits, its own vector first.
+for _name, _find in (("ivf", ivf), ("lsh", lsh), ("pq", pq)):
+
+    @register(f"knn_{_name}_flags", """
+SELECT vec_id AS query_id, 5::BIGINT AS hits, true AS own_first FROM embeddings WHERE vec_id % 20 = 0""")
+    def _(spark, sf, find=_find):
+        hits = find(spark, sf, materialise(reworded(spark, sf), "asked"))
+        return hits.groupBy("query_id").agg(F.count("*").alias("hits"), F.bool_or(
+            (F.col("rank") == 1) & (F.col("vec_id") == F.col("query_id"))).alias("own_first"))
 
 
-@register("index_build")
+@register("index_build", """
+SELECT (SELECT count(*) FROM embeddings) AS vectors, true AS cells_fit, 64::INTEGER AS dimension, true AS nearest""")
 def _(spark, sf):
     vectors = check_dimension(load(spark, sf, "embeddings"), 64)
     index = IvfIndex.fit(vectors, 16)
     path = scratch_path(spark, "ivf")
     index.write(vectors, path)
-    return spark.read.parquet(path).groupBy("cell").agg(F.count(F.lit(1)).alias("vectors"))
+    stored = index.probes(spark.read.parquet(path).withColumn("query_vector", F.col("embedding").cast("array<double>")), 1)
+    return stored.agg(F.count("*").alias("vectors"), F.bool_and(F.col("cell").between(0, 15)).alias("cells_fit"),
+                      F.max(F.size("embedding")).alias("dimension"),
+                      # each vector lies in the cell that a question of the same place probes first
+                      F.bool_and(F.element_at("query_cells", 1) == F.col("cell")).alias("nearest"))
 
 
 # Second-stage scores are hashes of the pair, the repeatable form of a random scorer.
