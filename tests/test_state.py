@@ -355,6 +355,18 @@ def test_session_state_over_batches(spark, tmp_path):
     assert arrive([("s", 10)], 10) == {"s": ["q3", "q4", "q10"], "t": ["q5"]}
     # t pauses for more than an hour, then returns with a new history
     assert arrive([("t", 100), ("s", 60)], 20) == {"s": ["q4", "q10", "q21"], "t": ["q20"]}
+    # state ends with the session: an hour after its last row nothing of it is held, its last snapshot stays readable
+    assert arrive([("u", 500)], 30)["u"] == ["q30"]
+    held = lambda: spark.read.format("statestore").option("path", ckpt).option("stateVarName", "history").load()
+    arrive([("u", 501)], 40)
+    assert {r.key.session_id for r in held().select("key").collect()} == {"u"}
+    # merged snapshots read alike, and an unnamed base is not read
+    before = sorted(session_state.read_history(spark, path, 3).collect())
+    session_state.merge_history(spark, path)
+    assert sorted(session_state.read_history(spark, path, 3).collect()) == before
+    spark.createDataFrame([], session_state.SNAPSHOT).write.parquet(f"{path}/base=99")  # a merge that stopped half-way
+    assert sorted(session_state.read_history(spark, path, 3).collect()) == before
+    assert arrive([("u", 502)], 50)["u"] == ["q30", "q40", "q50"]
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
