@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from docquery.llm.common import _arrow_schema, per_worker, small_batches
+from docquery.llm.common import arrow_schema, per_worker, small_batches
 from docquery.llm.pieces import PieceEncoder
 from docquery.session import materialise
 
@@ -161,7 +161,7 @@ def align(docs: DataFrame, byte_model: str, piece_model: str) -> DataFrame:
     either tokenizer does not keep byte for byte, have no tokens: zeros and an empty hash.
     """
     columns = f"doc_id {dict(docs.dtypes)['doc_id']}, {ALIGNED}"
-    schema = _arrow_schema(docs, columns)
+    schema = arrow_schema(docs, columns)
 
     def run(batches):
         import hashlib

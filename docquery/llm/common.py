@@ -31,7 +31,7 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., tuple]
     ``make`` is called once in each task (to load models); what it returns takes a row's columns in order.
     Memory: one batch of at most BATCH_ROWS rows.
     """
-    out = _arrow_schema(df, schema)
+    out = arrow_schema(df, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = make()
@@ -49,7 +49,7 @@ def flat_map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., d
 
     Rows are handed on in pieces of about 100,000, so a very long text never fills a worker.
     """
-    out = _arrow_schema(df, schema)
+    out = arrow_schema(df, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -83,10 +83,10 @@ def flat_map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., d
     return small_batches(df.select(*columns)).mapInArrow(run, schema)
 
 
-def keep_rows(df: DataFrame, make: Callable[[], Callable[[bytes | None], bool]]) -> DataFrame:
+def keep_rows(df: DataFrame, make: Callable[[], Callable[[list[bytes | None]], list[bool]]]) -> DataFrame:
     """The rows whose ``text`` (its bytes, or None) passes, all columns as they are: one narrow pass.
 
-    ``make`` is called once in each task and returns the test.
+    ``make`` is called once in each task and returns the test of a batch of texts.
     """
     taken = {c.lower() for c in df.columns}
     name = "__text"
@@ -96,19 +96,34 @@ def keep_rows(df: DataFrame, make: Callable[[], Callable[[bytes | None], bool]])
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = make()
         for batch in batches:
-            keep = [test(text) for text in batch.column(batch.num_columns - 1).to_pylist()]
+            keep = test(batch.column(batch.num_columns - 1).to_pylist())
             if any(keep):
                 yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep, pa.bool_()))
 
     return small_batches(df.select("*", raw_text().alias(name))).mapInArrow(run, df.schema)
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df
+class _Sliced:
+    """An Arrow function over batches of at most BATCH_ROWS rows, whatever size Spark sends."""
 
+    def __init__(self, df: DataFrame):
+        self.df = df
 
-def _arrow_schema(df: DataFrame, schema: str) -> pa.Schema:
+    def mapInArrow(self, run, schema) -> DataFrame:
+        rows = BATCH_ROWS
+
+        def sliced(batches):
+            return run(batch.slice(low, rows) for batch in batches for low in range(0, batch.num_rows, rows))
+
+        return self.df.mapInArrow(sliced, schema)
+
+
+def small_batches(df: DataFrame) -> _Sliced:
+    """Slices share the memory of Spark's batch, which is bounded in bytes; Python values are made a slice at a time."""
+    return _Sliced(df)
+
+
+def arrow_schema(df: DataFrame, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 

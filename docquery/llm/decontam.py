@@ -5,7 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from docquery.llm.common import flat_map_rows, keep_rows
+from docquery.llm.common import arrow_schema, keep_rows, map_rows, small_batches
+from docquery.session import materialise, scratch_path
+from docquery.sources.shared import read_columns
 
 Q = 8  # bytes of a q-gram of normalised text
 EDIT_SHARE = 10  # an item, or a window of it, may differ by one edit for each so many of its normalised bytes
@@ -13,6 +15,7 @@ WINDOW = 13  # words of an item that count as held by themselves
 SHORT = 12  # items of fewer bytes must occur as they are, as whole words
 SLICE_BYTES = 4 << 20  # normalised benchmark bytes held by a task at once
 TABLE_BITS = 22
+TOGETHER = 1 << 17  # bytes of texts that are looked up at once
 # Letters and digits stay (A-Z lower-cased), all other ASCII characters separate words.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -56,6 +59,15 @@ class Items:
         self.wide = np.array([w[2].max() if len(w[0]) else 0 for w in self.windows], np.int64)
         self.span = np.array([(w[1] - w[0]).max() if len(w[0]) else 0 for w in self.windows], np.int64)
         self.least = np.array([w[3].min() if len(w[0]) else 0 for w in self.windows], np.int64)
+        # q-grams that a band must hold: of the whole item, and of the least demanding of its windows as well
+        self.need = self.size - Q + 1 - Q * self.budget
+        self.fewest = np.where(self.least > 0, np.minimum(self.need, self.least), self.need)
+        self.cell = 2 * (np.maximum(self.budget, self.wide) + 1)  # as wide as the widest band
+        # all windows behind one another, those of an item together
+        first = np.cumsum([0, *[len(w[0]) for w in self.windows]])
+        self.first_window, self.windows_of = first[:-1], np.diff(first)
+        self.begin, self.end, self.asks = (
+            np.concatenate([np.zeros(0, np.int64), *[w[c] for w in self.windows]]) for c in (0, 1, 3))
         every = np.concatenate([np.zeros(0, np.uint64), *values])
         item = np.repeat(np.arange(len(rows)), lengths)
         place = np.concatenate([np.zeros(0, np.int64), *[np.arange(n) for n in lengths]])
@@ -88,87 +100,151 @@ class Items:
         step = 1 << 20
         for low in range(0, max(len(data) - Q + 1, 0), step):
             item, place, diagonal = self.hits(data, low, min(low + step + 2 * longest, len(data) - Q + 1))
-            # an item with fewer hits in all than any band needs is out
-            need = self.size - Q + 1 - Q * self.budget
-            least = np.where(self.least > 0, np.minimum(need, self.least), need)
-            ok = (np.bincount(item, minlength=len(self.ids)) >= least)[item]
-            item, place, diagonal = item[ok], place[ok], diagonal[ok]
+            item, place, diagonal = self._crowded(item, place, diagonal)
             if not len(item):
                 continue
-            for shift in (0, 1):
-                for i, d, _, starts, counts in self._bands(item, diagonal, diagonal, self.budget, shift):
-                    ok = counts >= need[i[starts]]
-                    for s, n in zip(starts[ok].tolist(), counts[ok].tolist()):
-                        k, b = int(i[s]), self.budgets[int(i[s])]
-                        whole.add((k, int(d[s:s + n].min()) - b, int(d[s:s + n].max()) + len(self.texts[k]) + b))
-                some = self.least[item] > 0
-                at = (place - diagonal)[some]
-                for i, d, p, starts, counts in self._bands(item[some], diagonal[some], at, self.wide, shift):
-                    group = np.repeat(np.arange(len(starts)), counts)
-                    # enough hits within the length of the longest window
-                    last = np.arange(len(i)) + self.least[i] - 1
-                    inside = last < len(i)
-                    last = np.minimum(last, len(i) - 1)
-                    dense = inside & (group[last] == group) & (p[last] - p <= self.span[i] - Q)
-                    for g in np.unique(group[dense]).tolist():
-                        s, n, k = int(starts[g]), int(counts[g]), int(i[starts[g]])
-                        begins, ends, _, needs = self.windows[k]
-                        places = np.unique(p[s:s + n])
-                        left, right = np.searchsorted(places, begins), np.searchsorted(places, ends - Q, "right")
-                        lowest, highest, b = int(d[s:s + n].min()), int(d[s:s + n].max()), int(self.wide[k])
-                        asked = tuple(np.flatnonzero(right - left >= needs).tolist())
-                        if asked:
-                            partly.add((k, lowest - b, highest + b, asked))
+            need = self.need
+            i, d, starts, counts = self._bands(item, diagonal, diagonal, self.budget)
+            ok = counts >= need[i[starts]]
+            for s, n in zip(starts[ok].tolist(), counts[ok].tolist()):
+                k, b = int(i[s]), self.budgets[int(i[s])]
+                whole.add((k, int(d[s:s + n].min()) - b, int(d[s:s + n].max()) + len(self.texts[k]) + b))
+            some = self.least[item] > 0
+            if some.any():
+                partly |= self._windows_held(item[some], diagonal[some], (place - diagonal)[some])
         return whole, partly
 
+    def _crowded(self, item, place, diagonal):
+        """The hits that may lie in a band with enough of them, found by counting alone.
+
+        An item with fewer hits in all than any of its bands needs is out. A band, of a whole item or of a window,
+        is no wider than a cell of diagonals, so it lies in two neighbouring ones: hits of cells that hold too few
+        together with either neighbour are out as well.
+        """
+        total = np.bincount(item, minlength=len(self.ids))
+        some = (total >= self.fewest) & (total > 0)
+        ok = some[item]
+        item, place, diagonal = item[ok], place[ok], diagonal[ok]
+        if not len(item):
+            return item, place, diagonal
+        cell = diagonal // self.cell[item]
+        cell -= cell.min() - 1
+        span = int(cell.max()) + 2
+        key = (np.cumsum(some) - 1)[item] * span + cell
+        count = np.bincount(key, minlength=int(some.sum()) * span)
+        near = count[key] + np.maximum(count[key - 1], count[key + 1])
+        ok = near >= self.fewest[item]
+        return item[ok], place[ok], diagonal[ok]
+
+    def _windows_held(self, item, diagonal, at) -> set:
+        """(item, lowest and highest diagonal, windows) of bands that hold enough of an item's places in some window."""
+        i, d, starts, counts, p = self._bands(item, diagonal, at, self.wide, True)
+        group = np.repeat(np.arange(len(starts)), counts)
+        # enough hits within the length of the longest window
+        last = np.arange(len(i)) + self.least[i] - 1
+        inside = last < len(i)
+        last = np.minimum(last, len(i) - 1)
+        dense = np.unique(group[inside & (group[last] == group) & (p[last] - p <= self.span[i] - Q)])
+        if not len(dense):
+            return set()
+        number = np.full(len(starts), -1)
+        number[dense] = np.arange(len(dense))
+        new = np.append(True, (p[1:] != p[:-1]) | (group[1:] != group[:-1])) & (number[group] >= 0)
+        length = int(self.size.max()) + 1
+        places = number[group[new]] * length + p[new]
+        owner_item = i[starts[dense]]
+        owner = np.repeat(np.arange(len(dense)), self.windows_of[owner_item])
+        own = np.arange(len(owner)) - np.repeat(np.cumsum(self.windows_of[owner_item]) - self.windows_of[owner_item],
+                                                self.windows_of[owner_item])
+        window = self.first_window[owner_item][owner] + own
+        held = (np.searchsorted(places, owner * length + self.end[window] - Q, "right")
+                - np.searchsorted(places, owner * length + self.begin[window])) >= self.asks[window]
+        out = set()
+        for g in np.unique(owner[held]).tolist():
+            s, n, k = int(starts[dense[g]]), int(counts[dense[g]]), int(owner_item[g])
+            b = int(self.wide[k])
+            out.add((k, int(d[s:s + n].min()) - b, int(d[s:s + n].max()) + b, tuple(own[held & (owner == g)].tolist())))
+        return out
+
     @staticmethod
-    def _bands(item, diagonal, by, budget, shift):
-        """Items, diagonals and ``by`` sorted by (item, band, ``by``), with starts and counts of the groups."""
-        if len(item):
-            width = budget[item] + 1
-            band = (diagonal + shift * width) // (2 * width)
-            order = np.lexsort((by, band, item))
-            i, b = item[order], band[order]
-            starts = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (b[1:] != b[:-1])))
-            yield i, diagonal[order], by[order], starts, np.diff(np.append(starts, len(i)))
+    def _bands(item, diagonal, by, budget, with_by=False):
+        """Items and diagonals sorted by (item, band, ``by``), with starts and counts of the groups; each hit lies in two
+        bands, that of its cell and the one that begins half a cell later."""
+        width = budget[item] + 1
+        band = np.concatenate([diagonal // (2 * width) * 2, (diagonal + width) // (2 * width) * 2 + 1])
+        twice = np.concatenate([np.arange(len(item))] * 2)
+        order = np.lexsort((by[twice], band, item[twice]))
+        i, b, at = item[twice[order]], band[order], twice[order]
+        starts = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (b[1:] != b[:-1])))
+        return i, diagonal[at], starts, np.diff(np.append(starts, len(i))), *([by[at]] if with_by else [])
 
     def found(self, data: bytes) -> list[tuple[int, int, int, int]]:
-        """Per item in the text its best place: (item number, edits, first, end) in normalised bytes.
+        return self.found_in([data])[0]
 
-        The best place of the whole item counts; where that isn't held, the best one of a window.
+    def found_in(self, texts: list[bytes]) -> list[list[tuple[int, int, int, int]]]:
+        """Per text and item its best place: (item number, edits, first, end) in normalised bytes.
+
+        The best place of the whole item counts; where that isn't held, the best one of a window. Texts are looked up
+        together, with a zero byte between them that no item holds; a region that crosses it is cut there.
         """
-        best: dict[int, tuple[int, int, int]] = {}
+        data = b"\0".join(texts)
+        bounds = np.cumsum([0, *[len(t) + 1 for t in texts]])
+        best: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
+        parts: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
+
+        def touched(first: int, end: int):
+            for t in range(max(0, int(np.searchsorted(bounds, first, "right")) - 1), len(texts)):
+                if bounds[t] >= end:
+                    break
+                yield t, int(bounds[t]), int(bounds[t + 1]) - 1
+
         whole, partly = self.regions(data)
         for k, first, end in whole:
-            first = max(first, 0)
-            got = align(self.texts[k], data[first:end], self.budgets[k])
-            if got is not None:
-                place = got[0], first + got[1], first + got[2]
-                best[k] = min(best.get(k, place), place)
-        parts: dict[int, tuple[int, int, int]] = {}
+            for t, low, high in touched(first, end):
+                begin = max(first, low)
+                got = align(self.texts[k], data[begin:min(end, high)], self.budgets[k])
+                if got is not None:
+                    place = got[0], begin - low + got[1], begin - low + got[2]
+                    best[t][k] = min(best[t].get(k, place), place)
         for k, lowest, highest, asked in partly:
-            if k in best:
-                continue
             begins, ends, budgets, _ = self.windows[k]
-            clear = -1
-            for w in asked:
-                if begins[w] < clear:
+            for t, low, high in touched(int(begins[asked[0]]) + lowest, int(ends[asked[-1]]) + highest):
+                if k in best[t]:
                     continue
-                first = max(int(begins[w]) + lowest, 0)
-                edits, start, end = align(self.texts[k][begins[w]:ends[w]], data[first:max(int(ends[w]) + highest, 0)],
-                                          int(budgets[w]), True)
-                if edits <= budgets[w]:
-                    place = edits, first + start, first + end
-                    parts[k] = min(parts.get(k, place), place)
-                else:  # a later window has at least as many edits less the bytes between the two beginnings
-                    clear = begins[w] + edits - self.wide[k]
-        best |= parts
-        for k in self.short:
-            if self.texts[k]:
-                at = (b" " + data + b" ").find(b" " + self.texts[k] + b" ")
-                if at >= 0:
-                    best[k] = 0, at, at + len(self.texts[k])
-        return [(k, *place) for k, place in sorted(best.items())]
+                clear = -1
+                for w in asked:
+                    if begins[w] < clear:
+                        continue
+                    first = max(int(begins[w]) + lowest, low)
+                    region = data[first:max(min(int(ends[w]) + highest, high), first)]
+                    if len(region) < ends[w] - begins[w] - budgets[w]:
+                        continue
+                    edits, start, end = align(self.texts[k][begins[w]:ends[w]], region, int(budgets[w]), True)
+                    if edits <= budgets[w]:
+                        place = edits, first - low + start, first - low + end
+                        parts[t][k] = min(parts[t].get(k, place), place)
+                    else:  # a later window has at least as many edits less the bytes between the two beginnings
+                        clear = begins[w] + edits - self.wide[k]
+        for t, text in enumerate(texts):
+            best[t] |= {k: place for k, place in parts[t].items() if k not in best[t]}
+            for k in self.short:
+                if self.texts[k]:
+                    at = (b" " + text + b" ").find(b" " + self.texts[k] + b" ")
+                    if at >= 0:
+                        best[t][k] = 0, at, at + len(self.texts[k])
+        return [[(k, *place) for k, place in sorted(b.items())] for b in best]
+
+    def found_in_all(self, texts: list[bytes]):
+        """``found_in`` for any number of texts, about TOGETHER bytes at a time."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self.found_in(held)
+                held, size = [], 0
+        if held:
+            yield from self.found_in(held)
 
 
 def windows(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -253,18 +329,37 @@ def align_banded(item: bytes, region: bytes, budget: int) -> tuple[int, int, int
     return int(cost[k]), int(start[k]), int(ends[k])
 
 
-def slices(benchmark: DataFrame, slice_bytes: int = SLICE_BYTES):
-    """The benchmark's normalised items in slices of bounded size, one at a time on the driver."""
-    rows, size = [], 0
-    for row in benchmark.select("item_id", F.col("text").cast("binary").alias("text")).toLocalIterator():
-        text = normalise(bytes(row.text or b""))
-        if rows and size + len(text) > slice_bytes:
-            yield rows
-            rows, size = [], 0
-        rows.append((row.item_id, text))
-        size += len(text)
-    if rows:
-        yield rows
+class Slices:
+    """The normalised benchmark in the shared folder, in slices of bounded size; a task holds one of them at a time."""
+
+    def __init__(self, benchmark: DataFrame, slice_bytes: int = SLICE_BYTES):
+        spark = benchmark.sparkSession
+        self.kind = dict(benchmark.dtypes)["item_id"]
+        rows = benchmark.select("item_id", F.col("text").cast("binary").alias("text"))
+        stored = materialise(map_rows(rows, f"item_id {self.kind}, text binary", lambda: lambda item_id, text: (
+            item_id, normalise(text or b""))).where("length(text) > 0"), "benchmark")
+        total = stored.agg(F.sum(F.length("text"))).first()[0] or 0
+        count = -(-total // slice_bytes)
+        path = scratch_path(spark, "slices")
+        # as many numbers and file names as slices reach the driver
+        (stored.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(count, 1)))).hint("rebalance", "slice")
+         .write.partitionBy("slice").parquet(path))
+        self.files: dict[str, list[str]] = {}
+        for file in (spark.read.parquet(path).inputFiles() if count else []):
+            self.files.setdefault(file.rpartition("/slice=")[2].partition("/")[0], []).append(file)
+
+    def opened(self):
+        """In a task: a function that goes through the slices' ``Items``; the only slice of a small benchmark stays open."""
+        kept: dict[str, Items] = {}
+
+        def items(name: str) -> Items:
+            if name not in kept:
+                kept.clear()
+                tables = [read_columns(file, ["item_id", "text"]) for file in self.files[name]]
+                kept[name] = Items([row for t in tables for row in zip(t["item_id"].to_pylist(), t["text"].to_pylist())])
+            return kept[name]
+
+        return lambda: (items(name) for name in self.files)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
@@ -275,47 +370,50 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, slice_bytes: int = SLICE
     whole words. The lemma: such a part shares at least length - q + 1 - q * edits q-grams with it inside one diagonal
     band, so nothing within the budget is missed. ``edits`` and places are the window's where only that is held. Places
     are bytes of the normalised text. Null and empty texts hold nothing; empty items are never held; repeated rows
-    and repeated items each report. No shuffle: a task holds one slice of at most ``slice_bytes`` of the benchmark
-    (a larger benchmark is gone through slice by slice) and one batch of texts.
+    and repeated items each report. One pass and no shuffle of the documents: a task holds one slice of about
+    ``slice_bytes`` of the benchmark (of a larger one, each batch goes through all slices) and one batch of texts.
     """
-    out = None
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", F.xxhash64("text").alias("__row"), F.col("text").cast("binary").alias("text"))
-    for part in slices(benchmark, slice_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(part)
-
-        def make(shared=shared):
-            items = Items(shared.value)
+    import pyarrow as pa
 
-            def one(doc_id, row, text):
-                data = normalise(text or b"")
-                held = items.found(data) if data else []
+    parts = Slices(benchmark, slice_bytes)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("__row"), F.col("text").cast("binary").alias("text"))
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, __row long, item_id {parts.kind}, edits int, first_byte long, end_byte long"
+    fields = arrow_schema(docs, schema)
+
+    def run(batches):
+        slices = parts.opened()
+        for batch in batches:
+            texts = [normalise(t or b"") for t in batch.column(2).to_pylist()]
+            for items in slices():
+                held = [(at, *h) for at, own in enumerate(items.found_in_all(texts)) for h in own]
                 if held:
-                    yield ([doc_id] * len(held), [row] * len(held), [items.ids[h[0]] for h in held],
-                           *[[h[k] for h in held] for k in (1, 2, 3)])
-
-            return one
+                    at, item, edits, first, end = zip(*held)
+                    at = pa.array(at)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(at), batch.column(1).take(at), *[pa.array(c, f.type) for c, f in zip(
+                            ([items.ids[k] for k in item], edits, first, end), list(fields)[2:])]], schema=fields)
 
-        found = flat_map_rows(rows, f"doc_id {kind}, __row long, item_id long, edits int, first_byte long, end_byte long",
-                              make, rows.columns)
-        out = found if out is None else out.union(found)
-    if out is None:
-        out = docs.sparkSession.createDataFrame(
-            [], f"doc_id {kind}, __row long, item_id long, edits int, first_byte long, end_byte long")
-    return out
+    return small_batches(rows).mapInArrow(run, schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """The rows whose text holds no benchmark item (see ``contaminated``), all columns.
 
-    One narrow pass for each slice of the benchmark: no shuffle and no join. Null and empty texts stay.
+    One narrow pass, no shuffle and no join. Null and empty texts stay.
     """
-    for part in slices(benchmark, slice_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(part)
+    parts = Slices(benchmark, slice_bytes)
+
+    def make():
+        slices = parts.opened()
+
+        def clean(texts):
+            keep = [True] * len(texts)
+            normal = [normalise(t or b"") for t in texts]
+            for items in slices():
+                for k, held in enumerate(items.found_in_all(normal)):
+                    keep[k] &= not held
+            return keep
 
-        def make(shared=shared):
-            items = Items(shared.value)
-            return lambda text: not text or not items.found(normalise(text))
+        return clean
 
-        docs = keep_rows(docs, make)
-    return docs
+    return keep_rows(docs, make)

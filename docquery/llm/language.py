@@ -152,6 +152,6 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
 
     def make():
         held = Model(*shared.value)
-        return lambda text: not held.predict(text)[2]
+        return lambda texts: [not held.predict(text)[2] for text in texts]
 
     return keep_rows(docs, make)
