@@ -49,7 +49,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
         F.array_join(F.zip_with(F.split(text, "\n"), _flags(F.col("__drops")),
                                 lambda line, drop: F.when(drop, None).otherwise(line)), "\n").alias("text"),
         F.size(F.split(text, "\n")).cast("long").alias("n_lines"),
-        F.coalesce(F.size(F.col("__drops")), F.lit(0)).cast("long").alias("n_dropped"))
+        F.when(F.col("__drops").isNull(), 0).otherwise(F.size("__drops")).cast("long").alias("n_dropped"))
 
 
 def _flags(drops: Column) -> Column:
