@@ -28,30 +28,39 @@ LENGTH_BITS, START_BITS = 16, 31
 
 
 class Hashes:
-    """Two independent rolling hashes of byte strings: prefix sums modulo 2^64 of random values times powers."""
+    """Rolling hashes that name sample grams: prefix sums modulo 2^64 of random values times powers.
+
+    Equal grams have equal names; other grams may share one only at the cost of a mixed bucket. Whether strings are
+    equal is never judged by these, which long patterned strings can fool, but by ``contents``.
+    """
 
     def __init__(self, size: int = CHUNK + LENGTH + 1):
         random = np.random.default_rng(20)
-        self.tables = [random.integers(1, 1 << 63, 256, dtype=np.uint64) for _ in range(2)]
-        self.powers = []
-        for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-            powers = np.full(size, base, np.uint64)
-            powers[0] = 1
-            self.powers.append(np.multiply.accumulate(powers))
+        self.table = random.integers(1, 1 << 63, 256, dtype=np.uint64)
+        self.powers = np.full(size, 0x9E3779B97F4A7C15, np.uint64)
+        self.powers[0] = 1
+        self.powers = np.multiply.accumulate(self.powers)
         self.size = size
 
-    def sums(self, data: np.ndarray, which: int) -> np.ndarray:
-        values = self.tables[which][data] * self.powers[which][:len(data)]
+    def sums(self, data: np.ndarray) -> np.ndarray:
+        values = self.table[data] * self.powers[:len(data)]
         return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
 
-    def of(self, sums: np.ndarray, first: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
+    def of(self, sums: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of [first, end): shifted to one power, then mixed."""
-        value = (sums[end] - sums[first]) * self.powers[which][self.size - 1 - first]
+        value = (sums[end] - sums[first]) * self.powers[self.size - 1 - first]
         value ^= value >> np.uint64(32)
         value *= np.uint64(0xD6E8FEB86659FD93)
         return value ^ value >> np.uint64(29)
 
 
+def contents(data: bytes, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """XXH3 of each [first, end) of the bytes: no sum over places, so no pattern of a text makes two of them meet."""
+    from xxhash import xxh3_64_intdigest
+
+    return np.array([xxh3_64_intdigest(data[a:b], 20) for a, b in zip(first.tolist(), end.tolist())], np.uint64).view(np.int64)
+
+
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     count = len(values) - width + 1
     padded = np.full(-(-len(values) // width) * width, np.iinfo(values.dtype).max, values.dtype)
@@ -68,9 +77,9 @@ def runs(data: bytes, hashes: Hashes, length: int = LENGTH, gram: int = GRAM):
     whole = np.frombuffer(data, np.uint8)
     for low in range(0, len(whole) - length + 1, CHUNK):
         part = whole[low:low + CHUNK + length - 1]
-        one = hashes.sums(part, 0)
+        one = hashes.sums(part)
         at = np.arange(len(part) - gram + 1)
-        grams = hashes.of(one, at, at + gram, 0)
+        grams = hashes.of(one, at, at + gram)
         names = sliding_minimum(grams, width)
         starts = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
         # a run's place holds its length in 16 bits
@@ -82,8 +91,8 @@ def runs(data: bytes, hashes: Hashes, length: int = LENGTH, gram: int = GRAM):
         left = starts + (grams[starts[:, None] + lanes] == name[:, None]).argmax(axis=1)
         last = starts + counts - 1
         right = last + width - 1 - (grams[last[:, None] + lanes[::-1]] == name[:, None]).argmax(axis=1)
-        content = hashes.of(hashes.sums(part, 1), starts, starts + counts + length - 1, 1)
-        yield name.view(np.int64), content.view(np.int64), starts + low, counts, left != right
+        starts += low
+        yield name.view(np.int64), contents(data, starts, starts + counts + length - 1), starts, counts, left != right
 
 
 def _place(starts: np.ndarray, counts: np.ndarray, again: np.ndarray) -> np.ndarray:
@@ -192,7 +201,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     another text follow each other by text hash and are documents of their own; fully repeated rows count as one
     document and come back alike; rows without doc_id come before all others. An empty table gives an empty result.
 
-    Equality is that of two 64-bit hashes (a sample gram's and a run's; a window's both). Shuffled are: one narrow
+    Equality is that of a 64-bit XXH3 (a run's or a window's) and of the sample gram's name. Shuffled are: one narrow
     row for each run (about 32 windows), texts twice (for contested runs, for the result), and one row for each
     window of contested runs. All of it is by hash; equal strings are reduced in each task before.
     """
@@ -209,13 +218,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         data = np.frombuffer(text, np.uint8)
         starts, ends = _spans(np.array(places), length)
         for first, end in zip(starts.tolist(), ends.tolist()):
-            part = data[first:end]
-            at = np.arange(len(part) - length + 1)
-            one = hashes.sums(part, 0)
+            at = np.arange(end - first - length + 1)
+            one = hashes.sums(data[first:first + length])
             grams = np.arange(length - gram + 1)
-            name = hashes.of(one, grams, grams + gram, 0).min()  # of the run, as all its windows share it
-            yield (np.full(len(at), name).view(np.int64),
-                   hashes.of(hashes.sums(part, 1), at, at + length, 1).view(np.int64),
+            name = hashes.of(one, grams, grams + gram).min()  # of the run, as all its windows share it
+            yield (np.full(len(at), name).view(np.int64), contents(text, at + first, at + first + length),
                    _place(at + first, np.ones(len(at), np.int64), np.zeros(len(at), np.int64)))
 
     settled = materialise(_settled(_entries(texts, of_text)), "runs")
