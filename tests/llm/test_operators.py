@@ -471,3 +471,117 @@ def test_align_brute():
         assert got[0] == least and row[got[2]][0] == least
         part = region[got[1]:got[2]]
         assert (list(decontam.distances(item, part, True)) or [len(item)])[-1] == least
+
+
+def test_lines_outside_ansi_mode(docs, spark):
+    want = sorted(map(tuple, line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped").collect()))
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        assert sorted(map(tuple, line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped").collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
+def test_samples_are_bounded_under_a_hot_id(spark):
+    from docquery.llm.sampling import bounded, labelled
+
+    rows = [(7, "one text many times", "en")] * 3000 + [(8, f"text {k} of one id", "en") for k in range(500)] + [
+        (k, f"text {k}", "en" if k % 2 else "de") for k in range(100, 400)] + [(None, "no id", "en")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    for n in (1, 20, 700, 5000):
+        got = bounded(frame, n).collect()
+        assert len(got) == min(n, 801) and len(set(got)) == len(got)
+        assert sorted(bounded(frame.repartition(3), n).collect()) == sorted(got)
+        by = bounded(frame, n, "lang").collect()
+        assert len(by) == min(n, 651) + min(n, 150)
+    labels = spark.createDataFrame([(k, k % 2) for k in [*range(100, 400), 7, 7, 7, 8]], "doc_id long, toxic int")
+    got = labelled(frame, labels, "toxic", F.lit(True), 50).collect()
+    assert len(got) == 50 and all(r.label == r.doc_id % 2 for r in got)
+    assert labelled(frame, labels.where("false"), "toxic", F.lit(True), 50).collect() == []
+
+
+def test_operators_leave_the_session_as_it_is(docs, spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    simhash.fingerprints(docs).count()
+    assert spark.conf.get(name) == before
+
+
+def test_decontamination_equals_full_alignment(spark):
+    """Every item, and every window of one, is aligned with every whole text."""
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(60)]
+    words = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [" ".join(words(rng.randint(8, 30))).encode() for _ in range(12)]
+    texts = []
+    for k in range(80):
+        part = items[k % 12].split()
+        low = rng.randrange(len(part))
+        part = [w if rng.random() > 0.05 * (k % 5) else rng.choice(vocabulary).encode() for w in part[low // 2:]]
+        texts.append(b" ".join([*(w.encode() for w in words(rng.randint(0, 40))), *part, *(w.encode() for w in words(rng.randint(0, 40)))]))
+    held = decontam.Items(list(enumerate(items)))
+
+    def by_hand(text):
+        found = set()
+        for k, item in enumerate(items):
+            begins, ends, budgets, _ = decontam.windows(item)
+            asked = [(item, decontam.edit_budget(len(item)))] + [(item[b:e], int(n)) for b, e, n in zip(begins, ends, budgets)]
+            if any(min(decontam.distances(part, text), default=len(part)) <= budget for part, budget in asked):
+                found.add(k)
+        return found
+
+    want = [by_hand(t) for t in texts]
+    assert 20 < sum(map(bool, want)) < 80
+    assert [{h[0] for h in f} for f in held.found_in(texts)] == want  # looked up together
+    assert [{h[0] for h in held.found(t)} for t in texts] == want
+
+
+def test_suffix_is_not_fooled_by_patterned_texts(spark):
+    """Two texts without a common 100-byte string whose polynomial hashes modulo 2^64 are equal."""
+    rng = random.Random(5)
+    gram = "".join(rng.choice("abcdefgh") for _ in range(37))
+    letters = ["".join(rng.choice("ijklmnop") for _ in range(19)) for _ in range(1024)]
+    parity = [bin(k).count("1") % 2 for k in range(1024)]
+    texts = ["".join(gram + own + "YZ"[mark ^ flip] for own, mark in zip(letters, parity)) for flip in (0, 1)]
+    strings = [{t[k:k + 100] for k in range(len(t) - 99)} for t in texts]
+    assert not strings[0] & strings[1]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = suffix_dedup.remove_repeats(frame, 100, suffix_dedup.DIGESTS, suffix_dedup.digests).collect()
+    assert [(r.n_removed, r.n_spans) for r in got] == [(0, 0), (0, 0)]
+
+
+@pytest.mark.parametrize("block", [256, 16])
+def test_similar_texts_in_a_large_family(spark, block, monkeypatch):
+    """A family of texts that are nearly but not quite alike; partners of some of them are found in its crowded bands."""
+    monkeypatch.setattr(shingles, "BLOCK", block)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    base = [word() for _ in range(600)]
+
+    def changed(text, n):
+        out = list(text)
+        for at in rng.sample(range(0, 596, 5), n):  # each replaced word changes shingles of its own
+            out[at] = word()
+        return out
+
+    family = [changed(base, 9) for _ in range(260)]
+    partners = [changed(family[k], 11) for k in range(0, 260, 6)]
+    texts = [" ".join(t) for t in family + partners]
+    sets = [frozenset(shingles.shingle_set(t.encode(), 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = {find(i) for i in range(len(texts))}
+    assert 200 < len(want) < len(texts) - 20  # most of the family stays apart
+    got = shingles.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5))
+    assert {r.doc_id for r in got.collect()} == want
