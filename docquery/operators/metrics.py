@@ -11,10 +11,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docquery import config
-from docquery.functions.quantiles import percentile_exact
+from docquery.functions.quantiles import interpolated, merged, neighbours, percentile_exact, sketch, sketch_bracket
 from docquery.functions.text import hash_bits
 from docquery.operators.logs import since, since_midnight
 from docquery.operators.routing import is_prefixed_error, mentions_error, response_type
+from docquery.session import materialise
 
 
 def _count() -> Column:
@@ -116,20 +117,58 @@ def alert_error_rate(logs: DataFrame, as_of) -> DataFrame:
 SLICES = ("environment", "endpoint_name", "model_name", "date_day")
 
 
-def profile_by_slice(logs: DataFrame, slices=SLICES) -> DataFrame:
-    """Count, mean and p95 latency, mean output tokens: over all rows and per value of each dimension."""
+def profile_cells(logs: DataFrame, slices=SLICES) -> DataFrame:
+    """Sums and a mergeable latency sketch for each combination of the dimensions: what any slice is made of."""
+    return logs.groupBy(*slices).agg(
+        _count().alias("request_count"), F.sum("latency_ms").alias("latency"), F.count("latency_ms").alias("timed"),
+        F.sum("tokens_output").alias("tokens"), F.count("tokens_output").alias("told"), sketch("latency_ms").alias("sketch"))
+
+
+def profile_by_slice(logs: DataFrame, slices=SLICES, p: float = 0.95) -> DataFrame:
+    """Count, mean and p95 latency, mean output tokens: over all rows and per value of each dimension.
+
+    The log is aggregated once to cells; slices are sums and merged sketches of these few rows. For the exact
+    percentile each row meets the brackets of its slices and goes on only where it lies inside one; rows below are
+    counted by cell. A slice whose rank its bracket misses is done again from all its values.
+    """
+    cells = materialise(profile_cells(logs, slices), "cells")
     kind = F.coalesce(*[F.when(F.grouping(s) == 0, F.lit(s)) for s in slices], F.lit("all"))
     value = F.coalesce(*[F.when(F.grouping(s) == 0, F.col(s).cast("string")) for s in slices], F.lit("all"))
-    base = logs.groupingSets([[F.col(s)] for s in slices] + [[]], *[F.col(s) for s in slices]).agg(
-        kind.alias("slice"), value.alias("slice_value"), _count().alias("request_count"),
-        F.avg("latency_ms").alias("avg_latency"), F.avg("tokens_output").alias("avg_tokens_output"),
-    ).drop(*slices)
-    cells = F.array(F.struct(F.lit("all").alias("slice"), F.lit("all").alias("slice_value")), *[
-        F.struct(F.lit(s).alias("slice"), F.coalesce(F.col(s).cast("string"), F.lit("all")).alias("slice_value"))
-        for s in slices])
-    spread = logs.select("latency_ms", F.inline(cells))
-    p95 = percentile_exact(spread, ["slice", "slice_value"], "latency_ms", {"p95_latency": 0.95})
-    return base.join(p95, ["slice", "slice_value"], "left")
+    sets = lambda df, *aggs: df.groupingSets([[F.col(s)] for s in slices] + [[]], *[F.col(s) for s in slices]).agg(
+        kind.alias("slice"), value.alias("slice_value"), *aggs).drop(*slices)
+    total = sets(cells, *[F.sum(c).alias(c) for c in ("request_count", "latency", "timed", "tokens", "told")])
+    whole = sets(cells.where("timed > 0"), merged("sketch").alias("sketch"), F.sum("timed").alias("_n"))
+    low, high = sketch_bracket("sketch", p)
+    brackets = materialise(whole.select("slice", "slice_value", "_n", low.alias("lo"), high.alias("hi")), "brackets")
+
+    near = logs.where("latency_ms IS NOT NULL").select(*slices, F.col("latency_ms").cast("double").alias("_v"))
+    own = []
+    for number, name in enumerate(("all", *slices)):
+        side = brackets.where(F.col("slice") == name).select(
+            F.col("slice_value").alias(f"_k{number}"), F.struct("slice", "slice_value", "lo", "hi").alias(f"_b{number}"))
+        text = F.lit("all") if name == "all" else F.coalesce(F.col(name).cast("string"), F.lit("all"))
+        near = near.join(side, text == F.col(f"_k{number}"))
+        own.append(F.col(f"_b{number}"))
+    below = sets(near.groupBy(*slices).agg(*[F.count_if(F.col("_v") < b["lo"]).alias(f"_u{i}") for i, b in enumerate(own)]),
+                 *[F.sum(f"_u{i}").alias(f"_u{i}") for i in range(len(own))])
+    names = ("all", *slices)
+    below = below.select("slice", "slice_value", F.coalesce(*[
+        F.when(F.col("slice") == n, F.col(f"_u{i}")) for i, n in enumerate(names)]).alias("_below"))
+    inside = near.select("_v", F.inline(F.filter(F.array(*own), lambda b: (F.col("_v") >= b["lo"]) & (F.col("_v") <= b["hi"]))))
+    counted = inside.groupBy("slice", "slice_value", "_v").agg(_count().alias("_c"))
+    order = Window.partitionBy("slice", "slice_value").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (counted.withColumn("_at", F.sum("_c").over(order)).join(brackets.select("slice", "slice_value", "_n"), ["slice", "slice_value"])
+              .join(below, ["slice", "slice_value"]).withColumn("_cum", F.col("_at") + F.col("_below")))
+    picked = materialise(ranked.groupBy("slice", "slice_value", "_n").agg(*neighbours(F.lit(p), F.lit(True))).select(
+        "slice", "slice_value", interpolated(F.lit(p)).alias("p95_latency")), "picked").where("p95_latency IS NOT NULL")
+    missed = brackets.join(picked, ["slice", "slice_value"], "left_anti").select("slice", "slice_value")
+    if not missed.isEmpty():
+        every = F.array(*[F.struct(b["slice"].alias("slice"), b["slice_value"].alias("slice_value")) for b in own])
+        again = near.select("_v", F.inline(every)).join(missed, ["slice", "slice_value"])
+        picked = picked.unionByName(percentile_exact(again, ["slice", "slice_value"], "_v", {"p95_latency": p}))
+    return total.join(picked, ["slice", "slice_value"], "left").select(
+        "slice", "slice_value", "request_count", F.try_divide("latency", "timed").alias("avg_latency"),
+        F.try_divide("tokens", "told").alias("avg_tokens_output"), "p95_latency")
 
 
 def metrics_by_granularity(logs: DataFrame, widths=("1 hour", "1 day")) -> DataFrame:
