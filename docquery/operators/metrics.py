@@ -72,10 +72,34 @@ def feedback_by_day(logs: DataFrame, as_of) -> DataFrame:
     )
 
 
+# Items that a frequent-items summary tracks, and how many of them are counted in full.
+TRACKED, CANDIDATES = 50_000, 1_000
+
+
 def top_queries(logs: DataFrame, n: int = 10) -> DataFrame:
-    """A top-k report; equal counts are ordered by text."""
-    return (logs.groupBy("query").agg(_count().alias("frequency"))
-            .orderBy(F.desc("frequency"), "query").limit(n))
+    """A top-k report; equal counts are ordered by text. Exact, though only candidates are shuffled by text.
+
+    A mergeable summary over hashes names the candidates; they are counted exactly in a second scan, from which at most
+    CANDIDATES rows leave a task. An item that the summary lost is no more frequent than its error, ``rows * 3.5 /
+    TRACKED``, one it ranked behind the candidates no more than their last estimate; where the n-th candidate does not
+    lie above both, all queries are counted.
+    """
+    whole = (logs.groupBy("query").agg(_count().alias("frequency")).orderBy(F.desc("frequency"), "query").limit(n))
+    key = F.xxhash64("query")
+    told = logs.agg(_count().alias("rows"), F.expr(f"approx_top_k(xxhash64(query), {CANDIDATES}, {TRACKED})").alias("top")).first()
+    listed = told.top or []
+    if len(listed) < n:
+        return whole
+    # at most CANDIDATES numbers
+    chosen = logs.where(key.isin([t["item"] for t in listed]))
+    counted = materialise(chosen.groupBy("query").agg(_count().alias("frequency"))
+                          .orderBy(F.desc("frequency"), "query").limit(n), "top-queries")
+    least = counted.agg(F.min("frequency"), _count()).first()
+    behind = listed[-1]["count"] if len(listed) == CANDIDATES else 0
+    lost = told["rows"] * 3.5 / TRACKED if len(listed) == CANDIDATES or told["rows"] > TRACKED else 0
+    if least[1] == n and least[0] > behind + lost:
+        return counted.orderBy(F.desc("frequency"), "query")
+    return whole
 
 
 def top_queries_last_week(logs: DataFrame, as_of, n: int = 10) -> DataFrame:
@@ -219,11 +243,9 @@ def promotion_gate(logs: DataFrame, accuracy: DataFrame, max_latency: float = co
         "promote", F.col("accuracy_ok") & F.col("latency_ok") & F.col("error_rate_ok"))
 
 
-def kpi_summary(logs: DataFrame, latencies: DataFrame | None = None) -> DataFrame:
-    """One row of indicators. ``logs`` also has cache_hit, blocked and rewritten flags.
-
-    ``latencies`` is the log before those flags: the percentiles scan it twice, so passing it spares
-    computing the flags again.
+def kpi_summary(logs: DataFrame, cache_hits: DataFrame | None = None) -> DataFrame:
+    """One row of indicators. ``logs`` also has blocked and rewritten flags, and cache_hit unless ``cache_hits``, a
+    frame of one number (see ``sessions.count_repeated``), tells how many rows a cache would have answered.
     """
     share = lambda flag: percent(F.count_if(flag), _count())
     base = logs.agg(
@@ -231,11 +253,11 @@ def kpi_summary(logs: DataFrame, latencies: DataFrame | None = None) -> DataFram
         F.sum(F.col("tokens_input").cast("bigint")).alias("tokens_input"),
         F.sum(F.col("tokens_output").cast("bigint")).alias("tokens_output"),
         share(is_prefixed_error("response")).alias("error_rate"),
-        share(F.col("cache_hit")).alias("cache_hit_rate"),
+        (percent(cache_hits.scalar(), _count()) if cache_hits is not None else share(F.col("cache_hit"))).alias("cache_hit_rate"),
         share(F.col("blocked")).alias("guardrail_rate"),
         share(F.col("rewritten")).alias("rewrite_rate"),
     )
-    tails = percentile_exact(logs if latencies is None else latencies, [], "latency_ms", {"p95_latency": 0.95, "p99_latency": 0.99})
+    tails = percentile_exact(logs, [], "latency_ms", {"p95_latency": 0.95, "p99_latency": 0.99})
     tail = tails.select(F.struct("*")).scalar()
     return base.withColumn("_t", tail).withColumns(
         {c: F.col(f"_t.{c}") for c in ("p95_latency", "p99_latency")}).drop("_t")
@@ -248,6 +270,40 @@ def active_users(logs: DataFrame, exact: bool = True) -> DataFrame:
                                         distinct("session_id").alias("active_sessions"))
 
 
+# Nominal entries of a distinct-count sketch (log base 2): a standard error of 0.8 %, at most 128 KB a day and column.
+SKETCH_BITS = 14
+
+
+def user_sketches(logs: DataFrame, column: str = "user_id") -> DataFrame:
+    """``day, seen``: a theta sketch of each day's users. Sketches unite over any span of days and intersect, so a span
+    costs one row a day, whatever the log; kept as a table, a new day is one more row."""
+    return logs.groupBy(F.col("date_day").cast("date").alias("day")).agg(F.theta_sketch_agg(column, SKETCH_BITS).alias("seen"))
+
+
+def active_over(sketches: DataFrame, days: int) -> DataFrame:
+    """``day, active, returning``: estimates for each day of the table of the users of the ``days`` days up to it, and of
+    those of the day that were seen in the ``days - 1`` before it as well."""
+    spans = sketches.select(F.explode(F.sequence("day", F.date_add("day", days - 1))).alias("upto"), "day", "seen")
+    earlier = F.when(F.col("day") < F.col("upto"), F.col("seen"))
+    united = spans.groupBy("upto").agg(
+        F.theta_union_agg("seen", SKETCH_BITS).alias("all"), F.theta_union_agg(earlier, SKETCH_BITS).alias("before"),
+        F.count(earlier).alias("days_before"))
+    met = united.join(sketches.select(F.col("day").alias("upto"), F.col("seen").alias("own")), "upto")
+    again = F.when(F.col("days_before") > 0, F.theta_sketch_estimate(F.theta_intersection("own", "before"))).otherwise(0)
+    return met.select(F.col("upto").alias("day"), F.theta_sketch_estimate("all").alias("active"), again.cast("bigint").alias("returning"))
+
+
+def active_over_exact(logs: DataFrame, days: int, column: str = "user_id") -> DataFrame:
+    """The same counted in full: one row for each user, day and span is shuffled."""
+    seen = logs.where(F.col(column).isNotNull()).select(F.col(column).alias("who"), F.col("date_day").cast("date").alias("day")).distinct()
+    present = seen.select("day").distinct()
+    spans = seen.withColumn("upto", F.explode(F.sequence("day", F.date_add("day", days - 1))))
+    flags = spans.groupBy("who", "upto").agg(F.max(F.col("day") == F.col("upto")).alias("own"), F.min("day").alias("first"))
+    counted = flags.groupBy(F.col("upto").alias("day")).agg(
+        _count().alias("active"), F.count_if(F.col("own") & (F.col("first") < F.col("upto"))).alias("returning"))
+    return counted.join(present, "day", "left_semi")
+
+
 def retrieval_quality(hits: DataFrame, truth: DataFrame, k: int, doc_id: str = "doc_id") -> DataFrame:
     """recall@k, precision@k and mean reciprocal rank over the questions in ``truth`` (query_id, doc_id)."""
     relevant = truth.select("query_id", doc_id).distinct()

@@ -139,3 +139,10 @@ def repeated_within(logs: DataFrame, key: str, minutes: int, out: str, ts: str =
     previous = F.coalesce(F.lag(ts).over(w), F.col("_before"))
     gap = F.unix_micros(ts) - F.unix_micros(previous)
     return joined.withColumn(out, F.coalesce(gap <= micros, F.lit(False))).select(*logs.columns, out)
+
+
+def count_repeated(logs: DataFrame, key: str, minutes: int, ts: str = "timestamp", tie: str = "request_id") -> DataFrame:
+    """One number: the rows that ``repeated_within`` would flag. Only a hash of the key, the time and the tie-breaker are
+    shuffled, not the rows."""
+    narrow = logs.select(F.when(F.col(key).isNotNull(), F.xxhash64(key)).alias(key), ts, tie)
+    return repeated_within(narrow, key, minutes, "_repeated", ts, tie).agg(F.count_if("_repeated"))

@@ -208,11 +208,11 @@ SELECT count(*) AS request_count, round(avg(latency_ms), 6) AS avg_latency,
   round(quantile_cont(latency_ms, 0.95), 6) AS p95_latency, round(quantile_cont(latency_ms, 0.99), 6) AS p99_latency
 FROM flagged""")
 def _(spark, sf):
-    from docquery.operators.sessions import repeated_within
+    from docquery.operators.sessions import count_repeated
 
-    df = repeated_within(logs(spark, sf), "query", 60, "cache_hit")
+    df = logs(spark, sf)
     flagged = df.withColumns({"blocked": F.col("metadata")["k"].like("9%"), "rewritten": F.col("tokens_input") > 2})
-    return rounded(M.kpi_summary(flagged, logs(spark, sf)), "avg_latency", "error_rate", "cache_hit_rate", "guardrail_rate",
+    return rounded(M.kpi_summary(flagged, count_repeated(df, "query", 60)), "avg_latency", "error_rate", "cache_hit_rate", "guardrail_rate",
                    "rewrite_rate", "p95_latency", "p99_latency")
 
 
@@ -223,6 +223,22 @@ def _(spark, sf):
     return M.active_users(logs(spark, sf))
 
 
+@register("active_users_week", WITH_LOGS + """,
+seen AS (SELECT DISTINCT user_id, date_day::DATE AS day FROM logs),
+days AS (SELECT DISTINCT day FROM seen)
+SELECT day, count(DISTINCT user_id) AS active,
+  count(DISTINCT user_id) FILTER (user_id IN (SELECT user_id FROM seen s WHERE s.day = days.day) AND seen.day < days.day) AS returning,
+  true AS sketches_agree
+FROM days JOIN seen ON seen.day BETWEEN days.day - 6 AND days.day GROUP BY days.day""".replace("SELECT day, count", "SELECT days.day AS day, count"))
+def _(spark, sf):
+    """Users of the seven days up to each day, in full and by united and intersected sketches."""
+    df = logs(spark, sf)
+    told = M.active_over(M.user_sketches(df), 7).select("day", F.col("active").alias("a"), F.col("returning").alias("r"))
+    near = lambda x, y: F.abs(x - y) <= F.greatest(F.lit(1), 0.05 * F.col("active"))
+    return M.active_over_exact(df, 7).join(told, "day").select(
+        "day", "active", "returning", (near(F.col("active"), F.col("a")) & near(F.col("returning"), F.col("r"))).alias("sketches_agree"))
+
+
 @register("retrieval_quality", "WITH " + knn_sql(5) + """,
 w AS (SELECT label AS query_id, count(*) AS wanted FROM embeddings GROUP BY 1),
 f AS (SELECT query_id, count(*) AS found, min(rank) AS first_rank FROM hits WHERE label = query_id GROUP BY 1)
