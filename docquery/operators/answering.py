@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 import time
+from concurrent.futures import ThreadPoolExecutor
 from typing import Callable, Iterator
 
 import pandas as pd
@@ -111,36 +113,91 @@ def _failure(style: str, error: Exception, attempts: int, model: str) -> tuple:
     return (response, -1.0, 0, 0, 0, model, "error", kind, detail, attempts)
 
 
+# Requests that a task has under way at once.
+IN_FLIGHT = 8
+
+
+class Pace:
+    """At most ``rate`` requests a second, handed out in order; no limit without a rate."""
+
+    def __init__(self, rate: float | None):
+        self.gap = 1.0 / rate if rate else 0.0
+        self.lock = threading.Lock()
+        self.free = time.monotonic()
+
+    def wait(self) -> None:
+        if self.gap:
+            with self.lock:
+                at = max(self.free, time.monotonic())
+                self.free = at + self.gap
+            time.sleep(max(0.0, at - time.monotonic()))
+
+
+class BatchClient:
+    """A batch of requests put to a provider: some at once, failures again together after the rest.
+
+    Equal requests of a batch are put once. A round that leaves failures is followed by one wait (``wait`` to the power
+    of the round) for all of them, so the waits of a batch do not add up over its rows.
+    """
+
+    def __init__(self, provider, max_retries: int, wait: float, in_flight: int = IN_FLIGHT, rate: float | None = None):
+        self.provider, self.max_retries, self.wait, self.in_flight = provider, max_retries, wait, in_flight
+        self.pace = Pace(rate)
+
+    def _ask(self, request: tuple) -> tuple:
+        """(text, milliseconds), or the exception."""
+        self.pace.wait()
+        started = time.perf_counter()
+        try:
+            return self.provider.generate(*request), round((time.perf_counter() - started) * 1000, 2)
+        except Exception as e:
+            return e, -1.0
+
+    def answers(self, requests: list[tuple]) -> dict[tuple, tuple]:
+        """Request -> (text or exception, milliseconds, attempts)."""
+        done: dict[tuple, tuple] = {}
+        open_ = list(dict.fromkeys(requests))
+        with ThreadPoolExecutor(self.in_flight) as pool:
+            for attempt in range(1, self.max_retries + 2):
+                told = pool.map(self._ask, open_) if self.in_flight > 1 else map(self._ask, open_)
+                for request, (text, spent) in zip(open_, told):
+                    done[request] = text, spent, attempt
+                open_ = [r for r in open_ if isinstance(done[r][0], Exception)]
+                if not open_:
+                    break
+                if attempt <= self.max_retries and self.wait > 0:
+                    time.sleep(self.wait**attempt)
+        return done
+
+
 def generate_answers(df: DataFrame, provider_factory: Callable[[], object], question: str = "query",
                      context: str = "context", max_retries: int = 0, wait: float = 2.0,
-                     failure: str = "message") -> DataFrame:
+                     failure: str = "message", in_flight: int = IN_FLIGHT, rate: float | None = None) -> DataFrame:
     """Appends response, latency_ms, token counts, model, status, error columns and attempts.
 
-    One provider per task, Arrow batches in and out, one output row per input row. A failing row gets
-    latency -1 and no tokens. Retries wait wait**n seconds. ``failure``: message, prefixed or apology.
+    One provider per task, Arrow batches in and out, one output row per input row. A task has at most ``in_flight``
+    requests under way (1 for providers that several threads can't call) and starts at most ``rate`` a second. A
+    failing row gets latency -1 and no tokens. Failures of a batch are put again together, after one wait of wait**n
+    seconds (see ``BatchClient``). ``failure``: message, prefixed or apology.
     """
     schema = T.StructType(df.schema.fields + GENERATION.fields)
     names = GENERATION.fieldNames()
 
-    def answer(provider, q, c) -> tuple:
-        for attempt in range(1, max_retries + 2):
-            started = time.perf_counter()
-            try:
-                text = provider.generate(q, c)
-            except Exception as e:
-                if attempt > max_retries:
-                    return _failure(failure, e, attempt, provider.model)
-                time.sleep(wait**attempt if wait > 0 else 0)
-                continue
-            spent = round((time.perf_counter() - started) * 1000, 2)
-            n_in, n_out = len((q or "").split()), len((text or "").split())
-            return (text, spent, n_in, n_out, n_in + n_out, provider.model, "success", None, None, attempt)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = provider_factory()
+        client = BatchClient(provider, max_retries, wait, in_flight, rate)
+
+        def row(request, told) -> tuple:
+            text, spent, attempts = told
+            if isinstance(text, Exception):
+                return _failure(failure, text, attempts, provider.model)
+            n_in, n_out = len((request[0] or "").split()), len((text or "").split())
+            return (text, spent, n_in, n_out, n_in + n_out, provider.model, "success", None, None, attempts)
+
         for batch in batches:
-            rows = [answer(provider, q, c) for q, c in zip(batch[question], batch[context])]
-            made = pd.DataFrame(rows, columns=names, index=batch.index)
+            requests = list(zip(batch[question], batch[context]))
+            told = client.answers(requests)
+            made = pd.DataFrame([row(r, told[r]) for r in requests], columns=names, index=batch.index)
             yield pd.concat([batch, made], axis=1)
 
     return df.mapInPandas(run, schema)

@@ -6,19 +6,18 @@ from dataclasses import dataclass
 from typing import Callable
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from docquery import config
 from docquery.operators import answering, guardrails, rerank, routing, search
 from docquery.operators.chunking import chunk_documents
 from docquery.operators.embedding import embed_tfidf, fit_tfidf, with_embeddings
 from docquery.operators.index import IvfIndex
+from docquery.operators.passages import passages_in as passage_truth  # noqa: F401
 from docquery.session import materialise, scratch_path, spread
 
 # Questions that one task puts to the provider.
 QUESTIONS_PER_TASK = 1_000
-# Leading characters that find a passage without inner words.
-EDGE_CHARS = 8
 
 
 @dataclass
@@ -124,7 +123,8 @@ def answer_batch(questions: DataFrame, index: TextIndex,
         body = F.concat(F.coalesce(F.col(prompt_context), F.lit("")), body)
     if template:
         body = answering.render_prompt(template, F.col("query"), body)
-    # the rows are few bytes, so AQE would otherwise run the provider in one task; tasks grow with the batch
+    # the rows are few bytes, so AQE would otherwise run the provider in one task; tasks grow with the batch, whose size
+    # the written table tells without another scan
     cores = ready.sparkSession.sparkContext.defaultParallelism
     tasks = max(cores, -(-screened.count() // QUESTIONS_PER_TASK))
     ready = ready.withColumn("context", body).repartition(tasks, "query_id")
@@ -144,44 +144,3 @@ def answer_batch(questions: DataFrame, index: TextIndex,
         F.lit(0.0).alias("latency_ms"), F.lit(False).alias("is_safe"),
         *none, *[F.lit(0).alias(c) for c in ("attempts", "prompt_tokens", "completion_tokens")])
     return done.unionByName(held)
-
-
-def passage_truth(docs: DataFrame, passages: DataFrame, doc_id: str, doc_text: str, passage_id: str,
-                  passage_text: str, width: int = 3) -> DataFrame:
-    """(query_id, doc_id) where the document contains the passage verbatim.
-
-    The words between a passage's first and last one must occur in the document as whole words, so the
-    first ``width`` of them are an equi-join key; containment is then tested on the joined rows only.
-    Passages with fewer than width + 2 words use as many inner words as they have; those of one or two words
-    use their first characters (at most ``EDGE_CHARS``). An empty passage lies in every text, a NULL one in none.
-    """
-    from docquery.functions.text import words
-
-    passages = passages.where(F.col(passage_text).isNotNull())
-    inner = F.slice(words(passage_text), F.lit(2), F.greatest(F.size(words(passage_text)) - 2, F.lit(0)))
-    p = passages.select(F.col(passage_id).alias("query_id"), F.col(passage_text).alias("_passage"),
-                        F.slice(inner, 1, width).alias("_anchor"))
-    # the kind of key: a number of words, or the negative of a number of characters
-    p = p.withColumn("_w", F.when(F.size("_anchor") > 0, F.size("_anchor")).otherwise(
-        -F.least(F.char_length("_passage"), F.lit(EDGE_CHARS))))
-    key = F.when(F.col("_w") > 0, F.xxhash64("_w", "_anchor")).otherwise(
-        F.xxhash64("_w", F.slice(F.split("_passage", ""), 1, EDGE_CHARS)))
-    p = p.withColumn("_key", F.when(F.col("_w") == 0, F.lit(0).cast("bigint")).otherwise(key))
-    # at most width + EDGE_CHARS + 1 values; usually one
-    present = sorted(r[0] for r in p.select("_w").distinct().collect())
-
-    def keys(w: int) -> Column:
-        if w == 0:
-            return F.array(F.lit(0).cast("bigint"))
-        parts, n = F.col("_t" if w > 0 else "_c"), abs(w)
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - n + 1, F.lit(1))),
-                           lambda i: F.xxhash64(F.lit(w), F.slice(parts, i, n)))
-
-    tokens = spread(docs.select(doc_id, doc_text), doc_id).where(F.col(doc_text).isNotNull()).select(
-        F.col(doc_id).alias("doc_id"), words(doc_text).alias("_t"), F.split(doc_text, "").alias("_c"))
-    every = F.flatten(F.array(*[keys(w) for w in present or [width]]))
-    grams = tokens.select("doc_id", F.explode(F.array_distinct(every)).alias("_key"))
-    # keys and ids only: the texts join after the anchors have thinned the rows
-    candidates = grams.join(p.select("_key", "query_id", "_passage"), "_key").select("doc_id", "query_id", "_passage")
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("_text"))
-    return candidates.join(texts, "doc_id").where(F.col("_text").contains(F.col("_passage"))).select("query_id", "doc_id").distinct()

@@ -241,6 +241,62 @@ def test_passage_truth_with_short_passages(spark):
     assert P.passage_truth(docs, passages.limit(0), "d", "t", "p", "t").count() == 0
 
 
+def test_passages_over_several_files(spark, monkeypatch):
+    """Passages with common beginnings, more files than one, repeated passages and documents, hits of any length."""
+    import random
+
+    from docquery.operators import passages as automata
+
+    monkeypatch.setattr(automata, "SLICE", 7)
+    monkeypatch.setattr(automata, "ANCHOR", 5)
+    rng = random.Random(1)
+    text = lambda n: "".join(rng.choice("ab \n") for _ in range(n))
+    docs = spark.createDataFrame([(k % 25, text(rng.randint(0, 60))) for k in range(40)], "d int, t string").repartition(3)
+    passages = spark.createDataFrame([(f"p{k % 50}", text(rng.randint(1, 9))) for k in range(60)] + [("e", ""), ("n", None)], "p string, t string")
+    want = {(p.p, d.d) for p in passages.collect() for d in docs.collect() if p.t is not None and p.t in d.t}
+    found = automata.passages_in(docs, passages, "d", "t", "p", "t")
+    assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_batch_client_waits_once_a_round():
+    import threading
+    import time
+
+    from docquery.operators.answering import BatchClient
+
+    class Busy:
+        def __init__(self):
+            self.calls, self.now, self.most, self.lock = {}, 0, 0, threading.Lock()
+
+        def generate(self, question, context):
+            with self.lock:
+                n = self.calls[question] = self.calls.get(question, 0) + 1
+                self.now += 1
+                self.most = max(self.most, self.now)
+            time.sleep(0.001)
+            with self.lock:
+                self.now -= 1
+            number = int(question[1:])
+            if number % 20 == 0 and n <= 1 + number % 40 // 20 or question == "q7":
+                raise RuntimeError("busy")
+            return question.upper()
+
+    busy = Busy()
+    requests = [(f"q{k}", "c") for k in range(1000)] + [("q3", "c")] * 5
+    started = time.monotonic()
+    told = BatchClient(busy, 2, 0.5, in_flight=6).answers(requests)
+    assert time.monotonic() - started < 5  # fifty rows fail once or twice: two waits in all
+    assert 1 < busy.most <= 6 and busy.calls["q3"] == 1
+    assert told[("q1", "c")][0] == "Q1" and told[("q1", "c")][2] == 1
+    assert {told[(f"q{k}", "c")][2] for k in range(0, 1000, 40)} == {2} and {told[(f"q{k}", "c")][2] for k in range(20, 1000, 40)} == {3}
+    assert isinstance(told[("q7", "c")][0], RuntimeError) and told[("q7", "c")][2] == 3
+    started = time.monotonic()
+    BatchClient(Busy(), 0, 0, rate=50).answers([(f"q{k}", "c") for k in range(1, 11)])
+    assert time.monotonic() - started >= 0.17
+
+
 def test_session_path_rewrites_once_and_screens_the_original(spark, tmp_path):
     from docquery.operators.rewrite import rewriter_udf
 
