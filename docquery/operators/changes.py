@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from docquery.session import materialise
+
 
 def content_hash(columns: list[str]):
     """NULL and empty text differ: fields are hashed as JSON."""
@@ -25,9 +27,17 @@ def change_feed(before: DataFrame, after: DataFrame, key: str, columns: list[str
 
 def not_indexed(source: DataFrame, index: DataFrame, key: str, columns: list[str],
                 hash_col: str = "content_hash") -> DataFrame:
-    """Source rows missing from the index or indexed with other content."""
-    hashed = source.withColumn(hash_col, content_hash(columns))
-    return hashed.join(index.select(key, hash_col), [key, hash_col], "left_anti").select(source.columns)
+    """Source rows missing from the index or indexed with other content.
+
+    Keys and hashes alone meet the index; what is new is written, so that its size is known when the rows are fetched:
+    few new rows are looked up in place, and rows that are indexed already never move.
+    """
+    hashed = source.withColumn("_hash", content_hash(columns))
+    known = index.select(F.col(key).alias("_key"), F.col(hash_col).alias("_known"))
+    same = lambda other, value: (F.col(key) == F.col(other)) & (F.col("_hash") == F.col(value))
+    fresh = materialise(hashed.select(key, "_hash").join(known, same("_key", "_known"), "left_anti").distinct(), "fresh")
+    named = fresh.select(F.col(key).alias("_new"), F.col("_hash").alias("_new_hash"))
+    return hashed.join(named, F.col(key).eqNullSafe(F.col("_new")) & (F.col("_hash") == F.col("_new_hash")), "left_semi").select(source.columns)
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
