@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from docquery.operators.chunking import chunk_documents
-from docquery.operators.embedding import fit_tfidf
+from docquery.operators.embedding import embed_tfidf, fit_tfidf
 from docquery.session import scratch_path, spread
 from docquery.sources.sinks import read_log
-from docquery.streaming import index_sync, logs as SL, session_state
+from docquery.streaming import bucketed_index, index_sync, logs as SL, session_state
 from docquery.streaming.run import files_as_stream
 
 from entries import retrieval, sessions  # noqa: F401  (their SQL is reused)
@@ -80,3 +80,19 @@ def _(spark, sf):
     path = scratch_path(spark, "index")
     index_sync.sync_index(table_stream(spark, sf, "documents"), model, path, scratch_path(spark, "ckpt"), "doc_id", "text")
     return index_sync.read_index(spark, path).select("chunk_id", "document_id", "position", "content")
+
+
+@register("stream_index_bucketed", REGISTRY["chunk_packed"][1])
+def _(spark, sf):
+    """All documents as a stream into a bucketed index, then every other document once more with its text doubled and
+    back again: the index ends as the documents' chunks."""
+    docs = load(spark, sf, "documents")
+    model = fit_tfidf(chunk_documents(spread(docs, "doc_id"), "doc_id", "text"))
+    index = bucketed_index.BucketedIndex(spark, scratch_path(spark, "bucketed"), bucketed_index.chunk_schema(spark, model), 16)
+    bucketed_index.sync_bucketed(table_stream(spark, sf, "documents"), model, index, scratch_path(spark, "ckpt"), "doc_id", "text")
+    even = docs.where("doc_id % 2 = 0")
+    keys = even.select(F.col("doc_id").cast("string"))
+    for version, text in ((1 << 40, F.concat("text", F.lit("\n"), "text")), ((1 << 40) + 1, F.col("text"))):
+        again = chunk_documents(spread(even.withColumn("text", text), "doc_id"), "doc_id", "text")
+        index.upsert(embed_tfidf(model, again), keys, version)
+    return index.read().select("chunk_id", "document_id", "position", "content")

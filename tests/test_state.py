@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from docquery import schemas
 from docquery.functions.registered import register_functions
 from docquery.operators import answering as A, changes as C, guardrails as G, logs as L, metrics as M, sessions as S
+from docquery.operators.chunking import chunk_documents
 from docquery.operators.embedding import embed_tfidf, embedding_udf, fit_tfidf, with_embeddings
 from docquery.plans import dashboards, retrieval as P
 from docquery.plans.ask import ask_batch, log_rows
@@ -386,6 +387,52 @@ def test_index_sync_over_batches(spark, tmp_path):
     assert {r.content for r in index_sync.read_index(spark, str(tmp_path / "again")).collect()} == {"two again", "four"}
 
 
+def test_bucketed_index(spark, tmp_path, monkeypatch):
+    """Upserts, deletions, documents left without chunks, a version that stops before its log, and its second run."""
+    from docquery.streaming import bucketed_index
+
+    src, path, ckpt = (str(tmp_path / x) for x in ("src", "index", "ckpt"))
+    schema = "id string, content string, gone boolean"
+    model = fit_tfidf(spark.createDataFrame([("a b c",), ("d e",)], "content string"))
+    index = bucketed_index.BucketedIndex(spark, path, bucketed_index.chunk_schema(spark, model), 4)
+    now = lambda: {r.document_id: r.content for r in index.read().collect()}
+
+    def arrive(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        bucketed_index.sync_bucketed(files_as_stream(spark, src, schema), model, index, ckpt, deleted="gone")
+        return now()
+
+    assert now() == {}
+    assert arrive([(str(k), f"text {k}", None) for k in range(9)]) == {str(k): f"text {k}" for k in range(9)}
+    folders = set(index.folders())
+    assert arrive([("2", "two again", None)])["2"] == "two again"
+    assert len(folders & set(index.folders())) == len(folders) - 1  # one bucket was written anew
+    want = arrive([("1", "one", True), ("3", "", None), (None, "no id", None)])
+    assert want == {**{str(k): f"text {k}" for k in range(9) if k not in (1, 2, 3)}, "2": "two again"}
+    assert "Join" not in index.read()._jdf.queryExecution().executedPlan().toString()
+
+    # a crash between data and log: the old rows stay; the same version run again replaces them
+    chunks = embed_tfidf(model, chunk_documents(spark.createDataFrame([("5", "five again")], "id string, content string")))
+    keys = spark.createDataFrame([("5",), ("6",)], "id string")
+    class Stop(Exception):
+        pass
+
+    before = spark.createDataFrame
+    def fail(data, schema=None, *a, **k):
+        if schema == "bucket int":
+            raise Stop()
+        return before(data, schema, *a, **k)
+    monkeypatch.setattr(spark, "createDataFrame", fail)
+    with pytest.raises(Stop):
+        index.upsert(chunks, keys, 50)
+    monkeypatch.setattr(spark, "createDataFrame", before)
+    assert now() == want
+    index.upsert(chunks, keys, 50)
+    assert now() == {k: v for k, v in want.items() if k not in "56"} | {"5": "five again"}
+    index.upsert(chunks.where("false"), before([(k,) for k in want], "id string"), 51)
+    assert now() == {}
+
+
 def test_unlisted_environment_has_default_limits(spark):
     rows = [("new", at(0), 1, 1)] * 21 + [("dev", at(0), 1, 1)] * 21 + [("few", at(0), 1, 1)] * 20
     log = spark.createDataFrame(rows, "environment string, timestamp timestamp, tokens_input int, tokens_output int")
