@@ -40,3 +40,13 @@ def cache_hits(requests: DataFrame, cache: DataFrame, minutes: int = CACHE_TTL_M
 
 def cache_misses(requests: DataFrame, cache: DataFrame, minutes: int = CACHE_TTL_MINUTES) -> DataFrame:
     return _probe(requests, cache, minutes, "left_anti")
+
+
+def merge_caches(older: DataFrame, newer: DataFrame) -> DataFrame:
+    """The cache of both logs together from the caches of each: a new day is one aggregate over that day, merged by
+    question. Where a question was last used at the same time in both, the newer response stays."""
+    both = older.withColumn("_part", F.lit(0)).unionByName(newer.withColumn("_part", F.lit(1)))
+    return both.groupBy("query_hash").agg(
+        F.max("query").alias("query"), F.max_by("response", F.struct("last_accessed", "_part")).alias("response"),
+        F.min("created_at").alias("created_at"), F.sum("access_count").alias("access_count"),
+        F.max("last_accessed").alias("last_accessed"))

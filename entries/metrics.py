@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 
 from docquery import config
 from docquery.operators import logs as L, metrics as M, routing
-from docquery.operators.cache import build_cache, cache_hits, cache_misses
+from docquery.operators.cache import build_cache, cache_hits, cache_misses, merge_caches
 from docquery.operators.guardrails import Policy, audit, check_input
 from docquery.plans import dashboards
 
-from entries.tables import WITH_LOGS, knn_sql, load, logs, questions, register
+from entries.tables import REGISTRY, WITH_LOGS, knn_sql, load, logs, questions, register
 
 AS_OF = '(SELECT max("timestamp") FROM logs)'
 
@@ -312,6 +312,17 @@ def _(spark, sf):
     return build_cache(logs(spark, sf))
 
 
+@register("cache_merge", REGISTRY["cache_build"][1])
+def _(spark, sf):
+    """The caches of three stretches of the log, merged one after the other."""
+    df = logs(spark, sf)
+    cuts = [L.latest_time(df) - F.expr(f"INTERVAL {h} HOURS") for h in (240, 24)]
+    made = build_cache(df.where(F.col("timestamp") < cuts[0]))
+    for part in (df.where((F.col("timestamp") >= cuts[0]) & (F.col("timestamp") < cuts[1])), df.where(F.col("timestamp") >= cuts[1])):
+        made = merge_caches(made, build_cache(part))
+    return made
+
+
 @register("cache_hits", CACHE + """
 SELECT request_id, query FROM r WHERE EXISTS (SELECT 1 FROM c WHERE c.query_hash = r.h
   AND r."timestamp" - c.last_accessed <= INTERVAL 1440 MINUTES)""")
