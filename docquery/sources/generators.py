@@ -21,7 +21,8 @@ SENTENCE = ("This is a synthetic paragraph about ", ". ")
 
 def _below(n, *parts) -> Column:
     """An integer in [0, n)."""
-    return F.pmod(hash_bits(*parts), F.lit(n) if isinstance(n, int) else n).cast("int")
+    wide = isinstance(n, int) and n > 1 << 31  # keys of more rows than 32 bits count
+    return F.pmod(hash_bits(*parts), F.lit(n) if isinstance(n, int) else n).cast("long" if wide else "int")
 
 
 def _one_of(values: list[str], *parts) -> Column:
