@@ -585,3 +585,75 @@ def test_similar_texts_in_a_large_family(spark, block, monkeypatch):
     assert 200 < len(want) < len(texts) - 20  # most of the family stays apart
     got = shingles.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5))
     assert {r.doc_id for r in got.collect()} == want
+
+
+def plain_model(rows):
+    """The language model of (doc_id, text, lang) rows by loops: frequencies over all, centroids over each language."""
+    seen = np.zeros(language.SIZE)
+    for _, text, _ in rows:
+        seen += language.gram_counts(text.encode()) > 0
+    idf = np.log((1 + len(rows)) / (1 + seen)) + 1
+    found = []
+    for lang in sorted({r[2] for r in rows}):
+        own = sorted(language.vector(t.encode(), idf).astype(np.float32).tobytes() for _, t, l in rows if l == lang)
+        centroids, floors = language.cluster(np.stack([np.frombuffer(v, np.float32) for v in own]), language.CLUSTERS)
+        found += [(lang, c.astype(np.float32).tobytes(), f) for c, f in zip(centroids, floors)]
+    found.sort(key=lambda r: r[:2])
+    return language.Model(idf, [f[0] for f in found], np.stack([np.frombuffer(f[1], np.float32) for f in found]),
+                          language.REJECT_SHARE * np.array([f[2] for f in found]))
+
+
+def test_pipeline_brute(spark, sf):
+    """Every stage by loops over whole texts, each over what the one before it kept."""
+    import sentencepiece
+
+    import corpus_pipeline
+
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    model = plain_model(rows)
+    rows = [r for r in rows if not model.predict(r[1].encode())[2]]
+
+    strip = lambda line: line.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
+    holders = {}
+    for doc, text, _ in rows:
+        for line in text.split("\n"):
+            if len(strip(line)) >= 10:
+                holders.setdefault(strip(line), set()).add(doc)
+    texts = {doc: "\n".join(x for x in text.split("\n") if len(holders.get(strip(x), ())) < 2 or min(holders[strip(x)]) == doc)
+             for doc, text, _ in rows}
+
+    ids = sorted(texts)
+    sets = [frozenset(shingles.shingle_set(texts[i].encode(), 5).tolist()) for i in ids]
+    group = list(range(len(ids)))
+    for i in range(len(ids)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or 10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both) > 0:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    first = {}
+    for k, g in enumerate(group):
+        first.setdefault(g, ids[k])
+    kept = sorted(first.values())
+
+    items = [decontam.normalise(r.text.encode()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+
+    def holds(text):
+        for item in items:
+            begins, ends, budgets, _ = decontam.windows(item)
+            asked = [(item, decontam.edit_budget(len(item)))] + [(item[b:e], int(n)) for b, e, n in zip(begins, ends, budgets)]
+            # an edit spoils at most Q of a part's q-grams, the others stand in the text as they are
+            if any(sum(part[k:k + decontam.Q] in text for k in range(len(part) - decontam.Q + 1))
+                   >= len(part) - decontam.Q + 1 - decontam.Q * budget and min(decontam.distances(part, text), default=99) <= budget
+                   for part, budget in asked):
+                return True
+        return False
+
+    clean = [i for i in kept if not holds(decontam.normalise(texts[i].encode()))]
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    want = {}
+    for i in clean:
+        tokens = library.encode(texts[i])
+        want[i] = (len(tokens), sha(",".join(map(str, tokens)).encode()), sha(library.decode(tokens).encode()))
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, sf).collect()}
+    assert got == want and len(ids) > len(kept) > len(clean)
