@@ -15,6 +15,8 @@ ENGINE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Arrow batches end at this size, so a worker's memory follows it and not the length of texts.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
