@@ -14,7 +14,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from docquery.llm.common import map_rows, small_batches
+from docquery.llm.common import map_rows, per_worker, small_batches
 from docquery.session import materialise
 
 LENGTH = 100  # bytes of a repeated string
@@ -54,6 +54,36 @@ class Hashes:
         return value ^ value >> np.uint64(29)
 
 
+class WindowHashes:
+    """Polynomial hashes of windows modulo two primes of 31 bits, at bases drawn once: 62 bits in all.
+
+    Modulo a prime two different windows agree for at most ``length`` of all bases, whatever their pattern.
+    """
+
+    PRIMES = (2147483647, 2147483629)
+
+    def __init__(self, size: int = (1 << LENGTH_BITS) + LENGTH):
+        random = np.random.default_rng(21)
+        self.size, self.powers = size, []
+        for prime in self.PRIMES:
+            base, powers = int(random.integers(1 << 30, prime)), np.ones(1, np.uint64)
+            while len(powers) < size:
+                step = np.uint64(pow(base, len(powers), prime))
+                powers = np.concatenate([powers, powers * step % np.uint64(prime)])
+            self.powers.append(powers[:size])
+
+    def __call__(self, part: np.ndarray, length: int) -> np.ndarray:
+        """Of each window of ``length`` bytes of a part of at most ``size``."""
+        at = np.arange(len(part) - length + 1)
+        out = np.zeros(len(at), np.uint64)
+        values = part.astype(np.uint64) + np.uint64(1)
+        for prime, powers in zip(map(np.uint64, self.PRIMES), self.powers):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers[:len(part)] % prime)])
+            own = (sums[at + length] - sums[at]) % prime * powers[self.size - 1 - at] % prime
+            out = out << np.uint64(31) | own
+        return out.view(np.int64)
+
+
 def contents(data: bytes, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """XXH3 of each [first, end) of the bytes: no sum over places, so no pattern of a text makes two of them meet."""
     from xxhash import xxh3_64_intdigest
@@ -120,7 +150,7 @@ NAMES = ["h1", "h2", "doc", "row", "place", "later"]
 
 
 def _entries(rows: DataFrame, find) -> DataFrame:
-    """Hash pairs with their places; ``later``: an equal one lies earlier in the same few megabytes of text.
+    """Hash pairs with their places; ``later``: an equal one lies earlier in the same few megabytes of text (no hashes).
 
     That is the map-side sum of this search: a string in a third of all documents is shuffled once for each group of
     texts instead of once for each document.
@@ -134,8 +164,10 @@ def _entries(rows: DataFrame, find) -> DataFrame:
         def flush():
             h1, h2, doc, row, place = (np.concatenate(c) for c in zip(*held))
             kept, later = _repeats([h1, h2], doc, row, place)
+            # what repeats an earlier entry is settled: it goes on without its hashes
+            names = (np.where(later, 0, h[kept]) for h in (h1, h2))
             return pa.RecordBatch.from_arrays(
-                [*(pa.array(c[kept]) for c in (h1, h2, doc, row, place)), pa.array(later)], names=NAMES)
+                [*map(pa.array, names), *(pa.array(c[kept]) for c in (doc, row, place)), pa.array(later)], names=NAMES)
 
         for batch in batches:
             for values in zip(*(c.to_pylist() for c in batch.columns)):
@@ -201,7 +233,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     another text follow each other by text hash and are documents of their own; fully repeated rows count as one
     document and come back alike; rows without doc_id come before all others. An empty table gives an empty result.
 
-    Equality is that of a 64-bit XXH3 (a run's or a window's) and of the sample gram's name. Shuffled are: one narrow
+    Equality is that of a run's 64-bit XXH3, or of a window's hashes modulo two primes, and of the sample gram's name. Shuffled are: one narrow
     row for each run (about 32 windows), texts twice (for contested runs, for the result), and one row for each
     window of contested runs. All of it is by hash; equal strings are reduced in each task before.
     """
@@ -216,13 +248,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     def of_windows(hashes, text, places):
         data = np.frombuffer(text, np.uint8)
+        windows = per_worker("suffix-windows", WindowHashes)
         starts, ends = _spans(np.array(places), length)
         for first, end in zip(starts.tolist(), ends.tolist()):
             at = np.arange(end - first - length + 1)
             one = hashes.sums(data[first:first + length])
             grams = np.arange(length - gram + 1)
             name = hashes.of(one, grams, grams + gram).min()  # of the run, as all its windows share it
-            yield (np.full(len(at), name).view(np.int64), contents(text, at + first, at + first + length),
+            yield (np.full(len(at), name).view(np.int64), windows(data[first:end], length),
                    _place(at + first, np.ones(len(at), np.int64), np.zeros(len(at), np.int64)))
 
     settled = materialise(_settled(_entries(texts, of_text)), "runs")
