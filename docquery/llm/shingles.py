@@ -1,4 +1,5 @@
-"""Near-duplicates by shared shingles: banded minimum fingerprints propose pairs, their exact Jaccard similarity decides."""
+"""Near-duplicates by shared shingles: fingerprints that meet in the middle of a small ball and banded minimum fingerprints
+propose pairs, their exact Jaccard similarity decides."""
 
 from __future__ import annotations
 
@@ -7,13 +8,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from docquery.llm.common import map_rows
 from docquery.llm.components import components
-from docquery.llm.simhash import rows_of, shingle_hashes
+from docquery.llm.simhash import majority, near_links, rows_of, shingle_hashes
 from docquery.session import materialise
 
 # A band is the minima of ROWS independent hashes. Two sets of similarity s share a band of BANDS with probability
 # 1 - (1 - s^ROWS)^BANDS: 0.99993 at 0.8.
 BANDS, ROWS = 24, 5
 FIRST = 4  # the first holders of a band are compared at once with each other, each later one with the one before it
+RADIUS = 3  # bits in which fingerprints of a ball differ at most
 BLOCK = 256  # texts of a crowded band that meet its outsiders in one task
 _random = np.random.default_rng(7)
 FACTORS = _random.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -23,7 +25,11 @@ MIX = _random.integers(1, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
     """The distinct shingles' hashes, ascending."""
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words)]))
+    return _distinct(shingle_hashes(text, words))
+
+
+def _distinct(pieces) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *pieces]))
 
 
 def name(shingles: np.ndarray) -> int:
@@ -51,6 +57,19 @@ def alike(a: bytes, b: bytes, tenths: int) -> bool:
     return 10 * both >= tenths * (len(one) + len(two) - both)
 
 
+def ball_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``node, size, other`` (node and size) of nodes ``node, size, fp`` whose fingerprints meet in a ball.
+
+    The smallest node of a fingerprint stands for it in its links; other nodes of the fingerprint meet that one.
+    """
+    heads = nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("head"))
+    links = materialise(near_links(heads, radius), "balls")
+    met = (links.join(heads.toDF("a", "head"), "a").join(heads.toDF("b", "other"), "b")
+           .select("head.node", "head.size", "other"))
+    same = nodes.join(heads.withColumnRenamed("head", "other"), "fp").select("node", "size", "other")
+    return met.union(same).where("node <> other.node")
+
+
 def keep_first(docs: DataFrame, words: int = 5, tenths: int = 8) -> DataFrame:
     """The row of each near-duplicate group that has the smallest doc_id (then the smallest text hash), all columns.
 
@@ -60,24 +79,25 @@ def keep_first(docs: DataFrame, words: int = 5, tenths: int = 8) -> DataFrame:
     (see BANDS). Equal sets are one node, texts without words are all copies of each other. Rows without doc_id stay
     only where no other row of the group has one.
 
-    Pairs are compared in two steps. First all pairs of small bands, and chains through crowded ones, which join most
-    families. Then, in bands that still hold several groups, every text outside the band's largest group meets all
+    Pairs are compared in two steps. First those whose fingerprints meet in a ball (see ``simhash``), all pairs of small
+    bands, and chains through crowded ones, which join most families. Then, in bands that still hold several groups, every text outside the band's largest group meets all
     others (see ``_outsiders``); pairs of one group need no link. So a family of alike texts costs a chain, and only
     texts that are nearly but not quite alike cost a comparison each with each, spread over tasks in blocks.
 
-    Shuffled are: one narrow row for each text and band, the sets of proposed pairs, and texts twice.
+    Shuffled are: the variants of each fingerprint, one narrow row for each text and band, the sets of proposed pairs, and texts twice.
     """
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.xxhash64("text").alias("__row"), F.col("text").cast("binary").alias("text"))
 
     def sketch():
         def row(doc_id, own, text):
-            found = shingle_set(text or b"", words)
-            return doc_id, own, name(found), len(found), bands(found).tolist()
+            hashes = list(shingle_hashes(text or b"", words))
+            found = _distinct(hashes)
+            return doc_id, own, majority(hashes), name(found), len(found), bands(found).tolist()
 
         return row
 
-    stored = materialise(map_rows(rows, f"doc_id {kind}, __row long, node long, size int, bands array<long>", sketch), "bands")
+    stored = materialise(map_rows(rows, f"doc_id {kind}, __row long, fp long, node long, size int, bands array<long>", sketch), "bands")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
     firsts = stored.groupBy("node").agg(F.min(row).alias("first"))
     nodes = stored.groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
@@ -90,6 +110,7 @@ def keep_first(docs: DataFrame, words: int = 5, tenths: int = 8) -> DataFrame:
     pairs = materialise(
         holders.select("node", "size", F.array_compact(F.array(*earlier)).alias("earlier"))
         .select("node", "size", F.explode("earlier").alias("other"))
+        .union(ball_pairs(stored.select("node", "size", "fp").distinct()))
         # sets of too different sizes can't be alike
         .where(10 * F.least("size", "other.size") >= tenths * F.greatest("size", "other.size"))
         .select(F.least("node", "other.node").alias("a"), F.greatest("node", "other.node").alias("b")).distinct(), "pairs")

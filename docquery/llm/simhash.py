@@ -35,8 +35,13 @@ def shingle_hashes(text: bytes, words: int, seed: int = 42):
 
 def fingerprint(text: bytes, words: int, seed: int = 42) -> int:
     """A bit is set if over half of the shingles' XXH64 values have it; no word: zero."""
+    return majority(shingle_hashes(text, words, seed))
+
+
+def majority(pieces) -> int:
+    """The bits that over half of all hashes have."""
     votes, shingles = np.zeros(BITS, np.int64), 0
-    for hashes in shingle_hashes(text, words, seed):
+    for hashes in pieces:
         shingles += len(hashes)
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         votes += bits.sum(axis=0, dtype=np.uint32)

@@ -429,6 +429,28 @@ def test_similar_brute(spark):
     assert sorted(r.text or "" for r in corpus_pipeline.dedup_near(spark, docs, "").collect()) == want
 
 
+def test_similar_texts_meet_in_balls(spark, monkeypatch):
+    """The stage looks for partners in the balls of its fingerprints, and links only texts that are alike."""
+    import corpus_pipeline
+
+    fp = simhash.fingerprint(b"a few words that name a place", 5)
+    rows = [(1, 10, fp), (2, 10, fp), (3, 11, fp ^ 7), (4, 10, fp ^ (7 << 20)), (5, 10, ~fp)]
+    met = {tuple(sorted((r.node, r.other.node))) for r in shingles.ball_pairs(
+        spark.createDataFrame(rows, "node long, size int, fp long")).collect()}
+    assert met == {(1, 2), (1, 3), (1, 4)}
+
+    found = []
+    links = shingles.near_links
+    monkeypatch.setattr(shingles, "near_links", lambda *a: found.append(links(*a)) or found[-1])
+    base = [f"w{k}" for k in range(2000)]
+    texts = [" ".join(base), " ".join(base[:1500] + ["other"] + base[1501:]), " ".join(base[::-1])]
+    fps = [simhash.fingerprint(t.encode(), 5) for t in texts]
+    assert 0 < ((fps[0] ^ fps[1]) & (1 << 64) - 1).bit_count() <= 3
+    kept = corpus_pipeline.dedup_near(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
+    assert [{r.a, r.b} for r in found[0].collect()] == [set(fps[:2])]
+
+
 def test_similar_odd_and_empty(odd, nothing):
     kept = [(r.doc_id, r.text) for r in shingles.keep_first(odd).collect()]
     assert (1, None) in kept and (4, "another text under the same id") in kept
