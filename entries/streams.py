@@ -1,5 +1,7 @@
 """Streams run over the tables until nothing is left, then read back."""
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from docquery.operators.chunking import chunk_documents
@@ -94,5 +96,5 @@ def _(spark, sf):
     keys = even.select(F.col("doc_id").cast("string"))
     for version, text in ((1 << 40, F.concat("text", F.lit("\n"), "text")), ((1 << 40) + 1, F.col("text"))):
         again = chunk_documents(spread(even.withColumn("text", text), "doc_id"), "doc_id", "text")
-        index.upsert(embed_tfidf(model, again), keys, version)
+        index.upsert(again, keys, version, partial(embed_tfidf, model))
     return index.read().select("chunk_id", "document_id", "position", "content")

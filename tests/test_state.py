@@ -387,6 +387,36 @@ def test_index_sync_over_batches(spark, tmp_path):
     assert {r.content for r in index_sync.read_index(spark, str(tmp_path / "again")).collect()} == {"two again", "four"}
 
 
+@pytest.mark.parametrize("many", [32, 0])
+def test_bucketed_index_moves_neither_old_rows_nor_vectors(spark, tmp_path, monkeypatch, many):
+    """Vectors are made after new rows are dealt out, rows that stay are copied in place; beyond MANY_FILES they are dealt
+    out anew. The rows are the same."""
+    from docquery.streaming import bucketed_index
+
+    monkeypatch.setattr(bucketed_index, "MANY_FILES", many)
+    model = fit_tfidf(spark.createDataFrame([("a b c",), ("d e",)], "content string"))
+    index = bucketed_index.BucketedIndex(spark, str(tmp_path / "index"), bucketed_index.chunk_schema(spark, model), 2)
+    chunks = lambda rows: chunk_documents(spark.createDataFrame(rows, "id string, content string"))
+    hinted, finished = [], []
+    frame = type(index.read())
+    hint = frame.hint
+    monkeypatch.setattr(frame, "hint", lambda self, *a: hinted.append(set(self.columns)) or hint(self, *a))
+
+    def finish(rows):
+        finished.append("RebalancePartitions" in rows._jdf.queryExecution().optimizedPlan().toString())
+        return embed_tfidf(model, rows)
+
+    texts = {str(k): f"a text {k}" for k in range(12)}
+    for version, ids in enumerate([range(12), range(0, 12, 2), range(0, 12, 3)]):
+        texts |= {str(k): f"version {version} of {k}" for k in ids}
+        new = [(str(k), texts[str(k)]) for k in ids]
+        index.upsert(chunks(new), spark.createDataFrame([(i,) for i, _ in new], "id string"), version, finish)
+    assert {r.document_id: r.content for r in index.read().collect()} == texts
+    assert index.read().count() == 12 and all(len(r.embedding) == 512 for r in index.read().collect())
+    wide = [c for c in hinted if "embedding" in c]
+    assert finished == [True] * 3 and len(hinted) - len(wide) == 3 and len(wide) == (2 if many == 0 else 0)
+
+
 def test_bucketed_index(spark, tmp_path, monkeypatch):
     """Upserts, deletions, documents left without chunks, a version that stops before its log, and its second run."""
     from docquery.streaming import bucketed_index
