@@ -33,7 +33,7 @@ def sync_index(docs: DataFrame, model, path: str, checkpoint: str, id_col: str =
         number = (epoch << EPOCH_BITS) + batch_id + 1
         gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
         chunks = chunk_documents(spread(batch.where(~gone), id_col), id_col, text_col)
-        embed_tfidf(model, chunks).write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
+        embed_tfidf(model, chunks).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/chunks/batch={number}")
         # a document left without any chunk still replaces its older version; the keys, written last, publish the batch
         batch.select(F.col(id_col).cast("string").alias("document_id")).write.mode("overwrite").parquet(
             f"{path}/keys/batch={number}")
