@@ -13,6 +13,9 @@ from docquery.llm.common import map_rows, per_worker
 BLANK = "▁".encode()  # what a space becomes in normalised text
 # Fixed values of the model format: kinds of pieces.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+# A worker keeps its chunk store between stages, so the store is bounded in bytes, whatever the chunks' number and length.
+STORE_BYTES = 16 << 20
+CHUNK_BYTES = 130  # of a stored chunk besides its own bytes and those of its ids
 
 
 class CharacterMap:
@@ -107,12 +110,12 @@ class PieceEncoder:
     """Ids of a text with the span of text bytes of each, as one model has them; decoding is the model's own.
 
     No piece of a model that splits by white space spans the border between another character and a blank, so the
-    normalised text is cut there and each distinct chunk is encoded once (``cached`` chunks are kept, then the store
-    starts anew). For other models a text is one chunk. Chunks that start with the blank the prefix would add are
+    normalised text is cut there and each distinct chunk is encoded once (they are kept up to about ``store_bytes``, then
+    the store starts anew). For other models a text is one chunk. Chunks that start with the blank the prefix would add are
     handed to the library as they are read; the ids are those of the whole text.
     """
 
-    def __init__(self, model: str, cached: int = 1_200_000):
+    def __init__(self, model: str, store_bytes: int = STORE_BYTES):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -136,7 +139,7 @@ class PieceEncoder:
         self.blank = np.array([self.model.piece_to_id(mark)], "<i4").tobytes()  # alone: the library drops it
         self.cut &= self.model.piece_to_id(mark) != self.model.unk_id()
         self.store: dict[bytes, bytes] = {b"": self.blank}
-        self.cached = cached
+        self.held, self.store_bytes = 0, store_bytes
 
     def encode(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and the first byte and the byte after the last of each piece's span."""
@@ -169,14 +172,17 @@ class PieceEncoder:
             return np.frombuffer(b"".join([store[c] for c in chunks]), "<i4")
         except KeyError:
             new = [c for c in set(chunks) if c not in store]
-            if len(store) + len(new) > self.cached:
-                store.clear()
-                store[b""] = self.blank
-                new = list(set(chunks) - {b""})
             # the library adds the first blank itself
             found = self.model.encode([c.decode().replace(BLANK.decode(), " ") for c in new], num_threads=1)
-            store.update((c, np.array(ids, "<i4").tobytes()) for c, ids in zip(new, found))
-            return np.frombuffer(b"".join([store[c] for c in chunks]), "<i4")
+            fresh = {c: np.array(ids, "<i4").tobytes() for c, ids in zip(new, found)}
+            store.update(fresh)
+            out = np.frombuffer(b"".join([store[c] for c in chunks]), "<i4")
+            self.held += sum(CHUNK_BYTES + len(c) + len(ids) for c, ids in fresh.items())
+            if self.held > self.store_bytes:
+                store.clear()
+                store[b""] = self.blank
+                self.held = 0
+            return out
 
     def _searched(self, ids: np.ndarray, normal: bytes) -> np.ndarray:
         """Ends of pieces where an unknown piece has no fixed width: what lies up to the next known piece."""

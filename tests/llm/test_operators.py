@@ -219,6 +219,24 @@ def test_pieces_equal_the_library(texts):
             assert begins[0] == 0 and ends[-1] == len(data) and (begins[1:] <= ends[:-1]).all()
 
 
+@pytest.mark.parametrize("length, chunks, texts", [(10, 240_000, 30), (20_000, 500, 50)])  # many chunks, long ones
+def test_chunk_store_is_bounded_in_bytes(length, chunks, texts):
+    import sys
+
+    import sentencepiece
+
+    library, encoder, rng = sentencepiece.SentencePieceProcessor(model_file=MODEL), pieces.PieceEncoder(MODEL), random.Random(3)
+    each, largest = chunks // texts, 0
+    for k in range(texts):
+        text = " ".join(["the", *("".join(rng.choices("abcdefghij", k=length)) for _ in range(each)), "the"])
+        ids = encoder.encode(text.encode())[0]
+        if k % 10 == 0:
+            assert ids.tolist() == library.encode(text)
+        store = encoder.store
+        largest = max(largest, sys.getsizeof(store) + sum(sys.getsizeof(c) + sys.getsizeof(i) for c, i in store.items()))
+    assert 1 << 20 < largest < 20 << 20
+
+
 def test_character_map_takes_the_longest_source():
     # two sources, "a" -> "x" and "ab" -> "yz", laid out as a double array by hand
     units = [0] * 1024
