@@ -14,10 +14,15 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
-from docquery.operators.search import (SCORE_DIGITS, STRIP, _ids, _matrix, _unit, best, every, scan, with_vector,
-                                       write_tiles)
+from docquery.operators.search import (BLOCK, SCORE_DIGITS, Board, TileStore, _ids, _matrix, _same_dimension, _unit, best,
+                                       cosines, every, scan, slack_of, with_vector, write_tiles)
 from docquery.session import materialise
 
+# Pairs under a key of a band, on average, from which whole matrices are multiplied key by key.
+CROWD = 1024
+# Vectors in a file of a band index, so that a scan has tasks whatever the files of the table.
+FILE_ROWS = 1 << 14
+
 
 def _has_length(vector_col: str):
     return F.exists(vector_col, lambda x: x != 0)
@@ -105,7 +110,7 @@ class HyperplaneIndex:
         @F.pandas_udf("array<int>")
         def band_keys(rows: pd.Series) -> pd.Series:
             m = np.stack(rows.to_numpy()).astype(np.float64)
-            signs = np.einsum("nd,abd->nab", m, planes) >= 0
+            signs = (m @ planes.reshape(bands * bits, -1).T).reshape(len(m), bands, bits) >= 0
             codes = (signs * (1 << np.arange(bits))).sum(2)
             return pd.Series(list((codes + np.arange(bands) * (1 << bits)).astype(np.int32)))
 
@@ -113,14 +118,16 @@ class HyperplaneIndex:
 
     def write(self, vectors: DataFrame, path: str, vector_col: str = "embedding") -> None:
         """Index table with the band keys stored beside the vectors; no shuffle."""
-        vectors.withColumn("band_keys", self.cells(vector_col)).write.parquet(path)
+        vectors.withColumn("band_keys", self.cells(vector_col)).write.option("maxRecordsPerFile", FILE_ROWS).parquet(path)
 
     def search(self, vectors: DataFrame, questions: DataFrame, k: int, metric: str = "cosine",
                id_col: str = "vec_id", vector_col: str = "embedding", work=None) -> DataFrame:
         """``vectors`` is the written index, or any vectors: then the keys are computed on the way.
 
-        In each task the band keys of a batch meet those of a tile of questions; only pairs that share one are
-        multiplied, once each.
+        In each task the band keys of a block of vectors meet those of a tile of questions, and only pairs that share one
+        are multiplied. Cosines are looked over as in an exact search: where many rows and questions lie under the keys,
+        key by key in one product each, so a pair that shares several keys is multiplied again; else question by
+        question with the rows under any of its keys, each pair once.
         """
         keys = F.col("band_keys") if "band_keys" in vectors.columns else self.cells(vector_col)
         index = vectors.where(F.col(vector_col).isNotNull()).select(id_col, vector_col, keys.alias("_keys"))
@@ -128,30 +135,85 @@ class HyperplaneIndex:
         files = write_tiles(asked).get(None, [])
 
         def score(board, tiles, batch):
-            vectors, ids, own = _matrix(batch.column(1)), _ids(batch.column(0)), _matrix(batch.column(2)).astype(np.int64)
-            for file in files:
-                tile = tiles[file]
-                for low in range(0, len(tile.numbers), STRIP):
-                    some = slice(low, low + STRIP)
-                    row, column = _shared(own, tile.keys[some])
-                    board.pairs += len(row)
-                    board.offer(tile.numbers[some][column], _pair_scores(vectors[row], tile.vectors[some][column], metric), ids[row])
+            banded(board, tiles, files, _matrix(batch.column(1)), _ids(batch.column(0)),
+                   _matrix(batch.column(2)).astype(np.int64), metric)
 
         columns = ("query_id", "query_vector", "query_keys")
-        return best(scan(index, questions, ["_keys"], score, k, id_col, vector_col, columns, work), k, metric, id_col)
-
-
-def _shared(rows: np.ndarray, questions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, question) of all pairs with an equal key in the same band, each once."""
-    found = []
-    for mine, theirs in zip(rows.T, questions.T):  # band by band
-        order = np.argsort(theirs, kind="stable")
-        first = np.searchsorted(theirs[order], mine, "left")
-        count = np.searchsorted(theirs[order], mine, "right") - first
-        row = np.repeat(np.arange(len(mine)), count)
-        entry = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
-        found.append(row * len(questions) + order[entry])
-    return np.divmod(np.unique(np.concatenate(found)), max(len(questions), 1))
+        return best(scan(index, questions, ["_keys"], score, k, id_col, vector_col, columns, work, BLOCK), k, metric, id_col)
+
+
+def banded(board: Board, tiles: TileStore, files: list[str], vectors: np.ndarray, ids: np.ndarray, keys: np.ndarray,
+           metric: str) -> None:
+    """Vectors against the questions that share a key with them."""
+    listed, cosine = Postings(keys), metric == "cosine"
+    if cosine:
+        vectors = _unit(vectors)
+        single = vectors.astype(np.float32)
+        slack, whole = slack_of(vectors), not np.isnan(single).any()
+    for file in files:
+        tile = tiles[file]
+        _same_dimension(vectors, tile.vectors)
+        asked = _unit(tile.vectors) if cosine else tile.vectors
+        if cosine:
+            brief = asked.astype(np.float32)
+            if whole and listed.crowded(tile.keys) and not np.isnan(brief).any():
+                for band, rows, places in listed.shared(tile.keys):
+                    def exact(r, c):
+                        r, c = places[r], rows[c]
+                        met = (tile.keys[r, :band] == keys[c, :band]).any(axis=1)  # a band before this one has the pair
+                        return np.where(met, np.nan, cosines(asked[r], vectors[c]))
+
+                    scores = brief.take(places, axis=0) @ single.take(rows, axis=0).T
+                    board.matrix(tile.numbers[places], scores, ids[rows], slack, exact)
+                continue
+        for place, rows in enumerate(listed.sharing(tile.keys)):
+            number = tile.numbers[place:place + 1]
+            if cosine:
+                scores = single.take(rows, axis=0) @ brief[place]
+                board.matrix(number, scores[None], ids[rows], slack,
+                             lambda r, c: cosines(asked[place + r], vectors[rows[c]]))
+            else:
+                scores = _pair_scores(vectors[rows], asked[place:place + 1], metric)
+                board.matrix(number, scores[None], ids[rows])
+            lost = rows[np.isnan(scores)]
+            if len(lost):  # a score that is not a number fills a place that no other takes
+                board.offer(np.repeat(number, len(lost)), np.full(len(lost), np.nan), ids[lost])
+
+
+class Postings:
+    """The rows of a block listed by their key in each band."""
+
+    def __init__(self, keys: np.ndarray):
+        self.rows = len(keys)
+        self.order = [np.argsort(own, kind="stable") for own in keys.T]
+        self.sorted = [own[order] for own, order in zip(keys.T, self.order)]
+
+    def crowded(self, keys: np.ndarray) -> bool:
+        """Whether the keys of some questions hold CROWD pairs each, on average."""
+        pairs = sum(np.sum(np.searchsorted(own, asked, "right") - np.searchsorted(own, asked, "left"))
+                    for own, asked in zip(self.sorted, keys.T))
+        return bool(pairs >= CROWD * sum(len(np.unique(asked)) for asked in keys.T))
+
+    def shared(self, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(band, rows, questions) under each key that has both."""
+        for band, (own, order, asked) in enumerate(zip(self.sorted, self.order, keys.T)):
+            theirs = np.argsort(asked, kind="stable")
+            each, begins, count = np.unique(asked[theirs], return_index=True, return_counts=True)
+            for low, high, begin, many in zip(*(x.tolist() for x in (
+                    np.searchsorted(own, each, "left"), np.searchsorted(own, each, "right"), begins, count))):
+                if low < high:
+                    yield band, order[low:high], theirs[begin:begin + many]
+
+    def sharing(self, keys: np.ndarray) -> Iterator[np.ndarray]:
+        """For each question the rows with an equal key in the same band, each once, ascending."""
+        first, last = (np.array([np.searchsorted(own, asked, side) for own, asked in zip(self.sorted, keys.T)]).T
+                       for side in ("left", "right"))
+        marked = np.zeros(self.rows, bool)
+        for begins, ends in zip(first.tolist(), last.tolist()):
+            marked[:] = False
+            for order, begin, end in zip(self.order, begins, ends):
+                marked[order[begin:end]] = True
+            yield np.flatnonzero(marked)
 
 
 def _pair_scores(vectors: np.ndarray, questions: np.ndarray, metric: str) -> np.ndarray:
@@ -160,7 +222,7 @@ def _pair_scores(vectors: np.ndarray, questions: np.ndarray, metric: str) -> np.
         return -np.round(np.linalg.norm(vectors - questions, axis=1), SCORE_DIGITS)
     if metric == "cosine":
         vectors, questions = _unit(vectors), _unit(questions)
-    return np.round(np.einsum("ij,ij->i", vectors, questions), SCORE_DIGITS)
+    return cosines(vectors, questions)
 
 
 class CompressedIndex:

@@ -69,6 +69,16 @@ def _scores(vectors: np.ndarray, questions: np.ndarray, metric: str) -> np.ndarr
     return -np.round(np.sqrt(np.maximum(gaps, 0.0)), SCORE_DIGITS)
 
 
+def cosines(vectors: np.ndarray, questions: np.ndarray) -> np.ndarray:
+    """Cosines of unit vectors, row by row."""
+    return np.round(np.einsum("ij,ij->i", vectors, questions), SCORE_DIGITS)
+
+
+def slack_of(vectors: np.ndarray) -> float:
+    """Twice the most that rounding to single precision can add up to over the products of two unit vectors."""
+    return 2.0 * (vectors.shape[1] + 8) * 2.0**-24
+
+
 @dataclass
 class Tile:
     """Some questions: their numbers on the task's board, vectors, and band keys where an index has them."""
@@ -118,7 +128,7 @@ class Board:
             keep = order[place < self.k]
             self.rows = [(numbers[place < self.k], scores[keep], ids[keep])]
             last = place == self.k - 1
-            self.floor[numbers[last]] = scores[order[last]]
+            self.floor[numbers[last]] = np.nan_to_num(scores[order[last]], nan=-np.inf, posinf=np.inf, neginf=-np.inf)
         self.pending = 0
 
     def matrix(self, numbers: np.ndarray, scores: np.ndarray, ids: np.ndarray, slack: float = 0.0, exact=None) -> None:
@@ -250,8 +260,7 @@ def every(board: Board, tiles: TileStore, files: list[str], vectors: np.ndarray,
     if coarse:
         vectors = _unit(vectors)
         single = vectors.astype(np.float32)
-        # twice the most that rounding can add up to over the products of two unit vectors
-        slack = 2.0 * (vectors.shape[1] + 8) * 2.0**-24
+        slack = slack_of(vectors)
     for file in files:
         tile = tiles[file]
         for low in range(0, len(tile.numbers), STRIP):
@@ -263,7 +272,7 @@ def every(board: Board, tiles: TileStore, files: list[str], vectors: np.ndarray,
             for begin in range(0, len(vectors), ROWS):
                 own = vectors[begin:begin + ROWS]
                 if coarse:
-                    exact = lambda r, c: np.round(np.einsum("ij,ij->i", asked[r], own[c]), SCORE_DIGITS)
+                    exact = lambda r, c: cosines(asked[r], own[c])
                     board.matrix(numbers, brief @ single[begin:begin + ROWS].T, ids[begin:begin + ROWS], slack, exact)
                 else:
                     board.matrix(numbers, np.ascontiguousarray(_scores(own, asked, metric).T), ids[begin:begin + ROWS])
