@@ -160,8 +160,10 @@ def banded(board: Board, tiles: TileStore, files: list[str], vectors: np.ndarray
                 for band, rows, places in listed.shared(tile.keys):
                     def exact(r, c):
                         r, c = places[r], rows[c]
-                        met = (tile.keys[r, :band] == keys[c, :band]).any(axis=1)  # a band before this one has the pair
-                        return np.where(met, np.nan, cosines(asked[r], vectors[c]))
+                        first = (tile.keys[r, :band] != keys[c, :band]).all(axis=1)  # else a band before has had the pair
+                        scores = np.full(len(r), np.nan)
+                        scores[first] = cosines(asked[r[first]], vectors[c[first]])
+                        return scores
 
                     scores = brief.take(places, axis=0) @ single.take(rows, axis=0).T
                     board.matrix(tile.numbers[places], scores, ids[rows], slack, exact)
